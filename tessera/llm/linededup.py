@@ -25,21 +25,17 @@ MIN_WORDS = 50
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, line, at, id, words, upto): lines with a word, at counting them from 0 in each row.
-
-    upto is the number of words in the row up to the line.
-    """
+    """(row, doc_id, line, at, id, words): lines with a word, at counting them from 0 in each row."""
     lines = docs.select("row", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "s")).where(F.col("s").rlike(WORD))
     words = F.size(F.filter(F.split("s", SPACE), lambda w: w != ""))
-    w = W.partitionBy("row").orderBy("line")
     hashed = lines.select("row", "doc_id", "line", F.xxhash64("s").alias("id"), words.cast("long").alias("words"))
-    return hashed.withColumns({"at": F.row_number().over(w) - 1, "upto": F.sum("words").over(w)})
+    return hashed.withColumn("at", (F.row_number().over(W.partitionBy("row").orderBy("line")) - 1).cast("long"))
 
 
-def _ranked(suffixes: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
+def _ranked(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
     """suffixes whose keys occur at least twice, with the keys' place in their sorted order as column name."""
     twice = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    ranks = materialize(twice.orderBy(*keys).withColumn(name, F.monotonically_increasing_id()), label)
+    ranks = materialize(twice.orderBy(*keys).withColumn(name, F.monotonically_increasing_id()), "order")
     return suffixes.join(ranks, keys)
 
 
@@ -48,20 +44,24 @@ def _ahead(name: str, by: int) -> Column:
     return F.max(name).over(W.partitionBy("row").orderBy("at").rangeBetween(by, by))
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(row, doc_id, start, n): shortest windows of at least min_words words that start, or that end, at a line."""
-    before = F.col("upto") - F.col("words")
-    w = W.partitionBy("row")
-    # the first line at which the words from this line on reach min_words, and the last line from which they do up to this one
-    ends = F.min("at").over(w.orderBy("upto").rangeBetween(min_words, W.unboundedFollowing))
-    starts = F.max("at").over(w.orderBy("before").rangeBetween(W.unboundedPreceding, -min_words))
-    forward = lines.select("row", "doc_id", "at", F.col("upto") - F.col("words") + 0, "upto", "words").toDF("row", "doc_id", "at", "before", "upto", "words")
-    edges = forward.select("row", "doc_id", "at", "before", "upto")
-    points = edges.select("row", "doc_id", "at", F.col("before").alias("p"), F.lit(0).alias("kind")).union(edges.select("row", "doc_id", "at", F.col("upto").alias("p"), F.lit(1).alias("kind")))
+def _windows(held: DataFrame, min_words: int) -> DataFrame:
+    """(row, doc_id, start, n): shortest windows of at least min_words words that start, or that end, at a line.
+
+    Windows lie within stretches of held lines, as a line that occurs once is in no repeated run.
+    """
+    by_row = W.partitionBy("row").orderBy("at")
+    gap = (F.col("at") - F.lag("at").over(by_row) > 1).cast("int")
+    stretch = held.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("stretch", F.sum("gap").over(by_row))
+    w = W.partitionBy("row", "stretch")
+    stretch = stretch.withColumn("upto", F.sum("words").over(w.orderBy("at")))
+    begins = F.struct(F.lit(0).alias("kind"), (F.col("upto") - F.col("words")).alias("p"))
+    ends = F.struct(F.lit(1).alias("kind"), F.col("upto").alias("p"))
+    points = stretch.select("row", "doc_id", "stretch", "at", F.inline(F.array(begins, ends)))
+    far = (W.unboundedPreceding, -min_words)
     near = points.withColumns(
         {
-            "end": F.min(F.when(F.col("kind") == 1, F.col("at"))).over(w.orderBy("p").rangeBetween(min_words, W.unboundedFollowing)),
-            "start": F.max(F.when(F.col("kind") == 0, F.col("at"))).over(w.orderBy("p").rangeBetween(W.unboundedPreceding, -min_words)),
+            "end": F.min(F.when(F.col("kind") == 1, F.col("at"))).over(w.orderBy(F.desc("p")).rangeBetween(*far)),
+            "start": F.max(F.when(F.col("kind") == 0, F.col("at"))).over(w.orderBy("p").rangeBetween(*far)),
         }
     )
     begun = near.where("kind = 0 AND end IS NOT NULL").select("row", "doc_id", F.col("at").alias("start"), (F.col("end") - F.col("at") + 1).alias("n"))
@@ -69,51 +69,46 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     return begun.union(ended).distinct()
 
 
+def _intervals(held: DataFrame, windows: DataFrame) -> DataFrame | None:
+    """windows with the interval of the suffix array that they lie in: (n, a, b); None if there is no window.
+
+    Windows whose prefixes occur once are left out.
+    """
+    longest = windows.agg(F.max("n")).first()[0] or 0
+    ranks, named, level = held.select("row", "at", F.col("r0").alias("r")), None, 0
+    while longest >> level:
+        size = 1 << level
+        mine = windows.where((F.col("n") >= size) & (F.col("n") < 2 * size)).withColumn("tail", F.col("start") + F.col("n") - size)
+        first = mine.join(ranks.select("row", F.col("at").alias("start"), F.col("r").alias("a")), ["row", "start"])
+        part = first.join(ranks.select("row", F.col("at").alias("tail"), F.col("r").alias("b")), ["row", "tail"])
+        named = part if named is None else named.unionByName(part)
+        if longest >> level > 1:
+            pairs = ranks.withColumn("s", _ahead("r", size)).where("s IS NOT NULL")
+            ranks = materialize(_ranked(pairs, ["r", "s"], "q").select("row", "at", F.col("q").alias("r")), "ranks")
+        level += 1
+    return named
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, line): lines of later copies of repeated runs; docs has row (unique), doc_id and text.
 
     Copies are ordered by doc_id (nulls last), then row, then line.
     """
     lines = materialize(line_table(docs), "lines")
-    held = _ranked(lines, ["id"], "r0", "rank").select("row", "doc_id", "line", "at", "words", "upto", "r0")
-    held = materialize(held, "suffixes")
-    # windows lie within stretches of held lines, since a line that occurs once is in no repeated run
-    stretch = held.withColumn("gap", (F.col("at") - F.lag("at").over(W.partitionBy("row").orderBy("at")) > 1).cast("int"))
-    stretch = stretch.withColumn("stretch", F.sum(F.coalesce("gap", F.lit(0))).over(W.partitionBy("row").orderBy("at")))
-    windows = materialize(_within(_windows(lines_of(stretch), min_words), stretch), "windows")
-    longest = windows.agg(F.max("n")).first()[0] or 0
-    named, level = None, 0
-    ranks = held.select("row", "at", F.col("r0").alias("r"))
-    while longest >= 1 << level:
-        ranks = materialize(ranks, "ranks") if level else ranks
-        mine = windows.where(f"n >= {1 << level} AND n < {2 << level}")
-        first = mine.join(ranks.withColumnRenamed("at", "start").withColumnRenamed("r", "a"), ["row", "start"])
-        last = first.withColumn("tail", F.col("start") + F.col("n") - (1 << level)).join(ranks.select("row", F.col("at").alias("tail"), F.col("r").alias("b")), ["row", "tail"])
-        part = last.select("row", "doc_id", "start", "n", F.lit(level).alias("level"), "a", "b")
-        named = part if named is None else named.unionByName(part)
-        pairs = ranks.withColumn("s", _ahead("r", 1 << level)).where("s IS NOT NULL")
-        ranks = _ranked(pairs, ["r", "s"], "q", "rank").select("row", "at", F.col("q").alias("r"))
-        level += 1
+    held = materialize(_ranked(lines, ["id"], "r0").select("row", "doc_id", "line", "at", "words", "r0"), "suffixes")
+    windows = materialize(_windows(held, min_words), "windows")
+    named = _intervals(held, windows)
     if named is None:
         return held.where("false").select("row", "line")
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "start")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     named = materialize(named.withColumn("place", place), "intervals")
-    interval = ["n", "a", "b"]
-    firsts = named.groupBy(*interval).agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = named.join(firsts, interval).where("place > first").select("row", "start", "n")
+    firsts = named.groupBy("n", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = named.join(firsts, ["n", "a", "b"]).where("place > first")
     spans = later.groupBy("row", "start").agg(F.max("n").alias("n"))
     gone = spans.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
     return gone.join(held.select("row", "at", "line"), ["row", "at"]).select("row", "line")
 
 
-def lines_of(stretch: DataFrame) -> DataFrame:
-    return stretch
-
-
-def _within(windows: DataFrame, stretch: DataFrame) -> DataFrame:
-    return windows
-
-
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the lines of later copies of repeated runs deleted from text; a column lines_removed is added.
 
