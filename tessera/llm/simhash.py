@@ -29,6 +29,8 @@ BLOCK = 1 << 16
 SAMPLE, LEAF, MAX_LEAVES = 16_384, 2_048, 1_024
 #: Rows of a shard that are compared at a time, each with each.
 BRUTE = 512
+#: Samples of the words of a text, words of a sample, shingle hashes kept to estimate a similarity.
+SAMPLES, SAMPLED, LEAST = 6, 6, 256
 
 
 def fingerprint(text: bytes | None, size: int) -> int:
@@ -188,13 +190,90 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = 5, most: int = 3) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; the columns stay.
+def profile(text: bytes | None, size: int) -> tuple[int, list[int], bytes]:
+    """SimHash of the shingles; SimHashes of small samples of the words; the least shingle hashes (32 bits).
 
-    Groups are those of near_duplicates over shingles of size words.  Rows without a word are in no
-    group of copies of one another's content and all stay.
+    Each sample holds the SAMPLED words that are least under another mixing of their hashes: near copies
+    have most samples in common, however long they are.
     """
+    words = text.lower().split() if text else []
+    total = max(1, len(words) - size + 1)
+    ones, least = np.zeros(64, np.int64), np.zeros(0, np.uint32)
+    for at in range(0, total, BLOCK):
+        part = words[at : at + BLOCK + size - 1]
+        n = max(1, len(part) - size + 1)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(part[i : i + size]), SEED) for i in range(n)), np.uint64, n)
+        ones += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        least = np.unique(np.concatenate([least, (hashes >> np.uint64(32)).astype(np.uint32)]))[:LEAST]
+    own = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+    samples = []
+    for k in range(SAMPLES):
+        mixed = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        mixed ^= mixed >> np.uint64(32)
+        few = np.sort(mixed)[:SAMPLED]
+        bits = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        samples.append(int(np.packbits(2 * bits > len(few), bitorder="little").view(np.int64)[0]))
+    full = int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+    return full, samples, least.tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity from the least hashes of two sets: exact up to LEAST hashes in all, else an estimate."""
+    both = np.union1d(a, b)[:LEAST]
+    return float(np.mean(np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True))) if len(both) else 1.0
+
+
+def similar_links(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id) of the rows of docs (row, doc_id, text), and their links (a, b).
+
+    Rows are paired if their SimHashes differ in at most most bits or a sample's SimHash is the same, each row of
+    such a class with one that stands for it; pairs below the similarity of their shingles are dropped.
+    Equal texts are linked without comparing them, and so are texts without a word.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full, samples, least = zip(*[profile(t, size) for t in b.column(1).cast(pa.large_binary()).to_pylist()], strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["row", "full", "samples", "least"])
+
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    groups = near_duplicates(docs.where(worded), size, most)
-    later = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(later, docs["doc_id"] == later["_id"], "left_anti")
+    same = materialize(docs.select("row", "doc_id", F.when(worded, F.sha2("text", 256)).otherwise("").alias("sha")), "texts")
+    firsts = same.groupBy("sha").agg(F.min("row").alias("rep"))
+    equal = same.join(firsts, "sha").where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    one_each = docs.where(worded).join(firsts.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "text")
+    rows = materialize(one_each.mapInArrow(run, "row long, full long, samples array<bigint>, least binary"), "profiles")
+    # classes: rows with the same sample, or the same SimHash; each row is paired with the first or last of its class
+    keys = rows.select("row", F.posexplode("samples").alias("kind", "fp")).union(rows.select("row", F.lit(-1).alias("kind"), F.col("full").alias("fp")))
+    ends = keys.groupBy("kind", "fp").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
+    centre = F.when(F.pmod("kind", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high"))
+    starred = keys.join(ends, ["kind", "fp"]).select(F.col("row").alias("a"), centre.alias("b"))
+    reps = rows.groupBy(F.col("full").alias("fp")).agg(F.min("row").alias("rep"))
+    near = hamming_links(rows.select(F.col("full").alias("fp")), most)
+    near = near.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    pairs = starred.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [[np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3)]
+            good = pa.array([similarity(x, y) >= least_similarity for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
+
+    held = rows.select("row", "least")
+    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return same.select("row", "doc_id"), both.mapInArrow(compare, "a long, b long").union(equal)
+
+
+def deduplicate(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id (nulls last); the columns stay.
+
+    Near copies have at least that similarity of their shingles of size words.  Null and empty texts and those
+    without a word form one group; a text of fewer words than size is one shingle.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    ids, links = similar_links(rows.select(F.col("_row").alias("row"), "doc_id", "text"), size, most, least_similarity)
+    parts = materialize(connected_components(links).join(ids.withColumnRenamed("row", "node"), "node"), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("node"))
+    stays = parts.groupBy("component").agg(F.min(place).alias("first"))
+    gone = parts.join(stays, "component").where("node <> first.node").select(F.col("node").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").drop("_row")

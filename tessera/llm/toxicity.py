@@ -146,7 +146,16 @@ def pick_marks(sample: DataFrame, most: int = MARKS) -> list[str]:
     likely = counts.where(F.col("one") >= 3).withColumn("g2", g2)
     candidates = likely.count()
     telling = likely.where((F.col("one") / ones > RATIO * F.col("none") / nones) & (F.col("g2") >= 2 * np.log(max(2, candidates))))
-    return [r["mark"] for r in telling.orderBy(F.desc("g2"), "mark").limit(most).collect()]
+    rows = telling.orderBy(F.desc("g2"), "mark").limit(2 * most).collect()
+    return [r["mark"] for r in rows if not _owed_to_longer(r, rows)][:most]
+
+
+def _owed_to_longer(r, rows) -> bool:
+    """Whether a word beginning that label 0 has too owes its rows of label 1 to a longer mark that label 0 has less of."""
+    if not r["none"] or not r["mark"].endswith("-"):
+        return False
+    stem = r["mark"][:-1]
+    return any(o["mark"].startswith(stem) and o["mark"] != r["mark"] and o["one"] >= 0.9 * r["one"] and o["none"] < r["none"] for o in rows)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, LabelModel | None]:
