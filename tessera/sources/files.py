@@ -22,7 +22,7 @@ def write_json_lines(rows: DataFrame, path: str, least: int = 30) -> None:
 
 def read_markdown(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
     """(name, meta, body) of Markdown files with front matter; hidden files, README.md and short bodies are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     named = raw.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "\r\n", "\n").alias("value")).where("NOT startswith(name, '.') AND name <> 'README.md'")
     return named.select("name", front_matter(F.col("value")).alias("meta"), body(F.col("value")).alias("body")).where(F.length("body") >= least)
 
