@@ -44,14 +44,20 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def width(path: str) -> int:
+    """Bytes that hold any id of the vocabulary."""
+    return 2 if max(load(path).bytes_of) < 1 << 16 else 4
+
+
 def token_table(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, source, n, ids) with ids as little-endian numbers of four bytes and the end id after each document."""
+    """(doc_id, source, n, ids) with ids as little-endian numbers of width(path) bytes and the end id after each document."""
     small_batches(docs.sparkSession)
+    kind = f"<u{width(path)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            ids = [np.append(encode(t) if t else np.zeros(0, np.uint32), end).astype("<u4") for t in b.column(2).to_pylist()]
+            ids = [np.append(encode(t) if t else np.zeros(0, np.uint32), end).astype(kind) for t in b.column(2).to_pylist()]
             blobs = pa.array([x.tobytes() for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in ids], pa.int64()), blobs], names=["doc_id", "source", "n", "ids"])
 
@@ -139,7 +145,7 @@ def pack(docs: DataFrame, path: str, end: int = 0, length: int = LENGTH, window:
     grid = whole.join(sources).join(sums, ["bucket", "source"], "left").fillna(0, ["n"])
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     state = grid.select("bucket", "source", F.col("natural").alias("share"), F.coalesce(F.col("natural") * F.sum("all").over(before) - F.sum("n").over(before), F.lit(0.0)).alias("deficit"))
-    step = length * window
+    step, kind = length * window, f"<u{width(path)}"
 
     def run(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", ignore_index=True)
@@ -151,7 +157,7 @@ def pack(docs: DataFrame, path: str, end: int = 0, length: int = LENGTH, window:
         filled = fill(queues, states["share"].to_numpy(float), states["deficit"].to_numpy(float), step)
         out = list(cut((p for w in filled for p in w), int(rows["n"].sum()), length))
         doc, start, n, sequence, offset = np.array(out, np.int64).reshape(-1, 5).T
-        blobs = [memoryview(x) for x in rows["ids"]]
+        blobs = [memoryview(np.frombuffer(x, kind).astype("<u4").tobytes()) for x in rows["ids"]]
         crc = [zlib.crc32(blobs[d][4 * a : 4 * (a + k)]) for d, a, k in zip(doc.tolist(), start.tolist(), n.tolist(), strict=True)]
         picked = rows.iloc[doc]
         return pd.DataFrame({"doc_id": picked["doc_id"].to_numpy(), "source": picked["source"].to_numpy(), "start": start, "length": n, "ids_crc32": crc, "doc_tokens": picked["n"].to_numpy(), "sequence_id": (int(key[0]) << 32) + sequence, "offset": offset})
