@@ -1,11 +1,12 @@
 """Legacy archive converter: ARC archives of versions 1 and 2 to WARC records, and reading WARC archives back.
 
 Archives are written by Spark's text writer: a record is one value, the record's closing line ends the writer's
-line separator.  They are read whole as binary files of bounded size and cut by declared lengths only.
+line separator, and files are compressed.  They are read whole as binary files of bounded size and cut by declared lengths only.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -159,7 +160,12 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
             out = []
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+
+
+def plain(data: bytes) -> bytes:
+    """The bytes of an archive file, which may be compressed as a whole or by record."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -173,7 +179,7 @@ def arc_records(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(1).to_pylist():
+            for data in map(plain, b.column(1).to_pylist()):
                 rows = []
                 for r in read_arc(data):
                     head, payload = split_http(r["content"])
@@ -214,7 +220,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, revisit_from: in
     small_batches(spark)
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     n = max(1, -(-total // FILE_BYTES))
-    rows.repartition(n, "record_id").mapInArrow(run, "value string").write.option("lineSep", END).text(warc_path)
+    rows.repartition(n, "record_id").mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").text(warc_path)
 
 
 def warc_index(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +229,7 @@ def warc_index(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(1).to_pylist():
+            for data in map(plain, b.column(1).to_pylist()):
                 rows = []
                 for h, block in read_warc(data):
                     head, payload = split_http(block)
