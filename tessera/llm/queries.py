@@ -38,7 +38,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.archive_round_trip(table(spark, sf_dir, "pages"))
+    return archive.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_rules, op2_simhash, op3_nearest, op4_line_dedup, op5_toxicity, op6_archives, op7_token_counts, op8_packing, op9_bpe, op10_katz)
 }
 
-#: Page_id and payload columns of op6; the record's identifiers and dates are further columns that SQL leaves out.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_archives": f"""SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+        CASE WHEN copy THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN copy THEN last END AS refers_to
+        FROM (SELECT *, strlen(h) >= {archive.REVISIT_FROM} AND page_id < last AS copy FROM
+        (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages))"""
+}
