@@ -28,4 +28,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import corpus, ordered, quality, records, usage  # noqa: F401
+    from . import choices, corpus, ordered, quality, records, usage  # noqa: F401
