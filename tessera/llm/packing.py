@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from .bpe import PATTERN, load
 from .common import materialize, small_batches
 
-#: Tokens of a sequence, sequences of a window, tokens of a bucket.
-LENGTH, WINDOW, BUCKET = 1024, 16, 1_000_000
+#: Tokens of a sequence, sequences of a window, tokens of a bucket, buckets of a block.
+LENGTH, WINDOW, BUCKET, BLOCK = 1024, 16, 1_000_000, 4_096
 
 _ENCODERS: dict = {}
 
@@ -124,6 +124,17 @@ def cut(pieces: Iterator[tuple[int, int, int]], total: int, length: int) -> Iter
                 sequence, offset = sequence + 1, 0
 
 
+def _before(sums: DataFrame, name: str) -> DataFrame:
+    """(bucket, source, name): the sum of n over a source's earlier buckets; by blocks of buckets, so that no task sorts them all."""
+    blocks = sums.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    earlier = (W.unboundedPreceding, -1)
+    within = blocks.withColumn("near", F.sum("n").over(W.partitionBy("block", "source").orderBy("bucket").rowsBetween(*earlier)))
+    totals = blocks.groupBy("block", "source").agg(F.sum("n").alias("n"))
+    far = totals.select("block", "source", F.sum("n").over(W.partitionBy("source").orderBy("block").rowsBetween(*earlier)).alias("far"))
+    zero = F.lit(0).cast("long")
+    return within.join(far, ["block", "source"]).select("bucket", "source", (F.coalesce("near", zero) + F.coalesce("far", zero)).alias(name))
+
+
 def pack(docs: DataFrame, path: str, end: int = 0, length: int = LENGTH, window: int = WINDOW, mixture: dict[str, float] | None = None, bucket_tokens: int = BUCKET) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
@@ -136,15 +147,16 @@ def pack(docs: DataFrame, path: str, end: int = 0, length: int = LENGTH, window:
     n_buckets = max(1, -(-total // bucket_tokens))
     tokens = tokens.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(n_buckets)))
     sums = materialize(tokens.groupBy("bucket", "source").agg(F.sum("n").alias("n")), "packing-sums")
-    sources = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("natural"))
+    sources = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("share"))
     if mixture:
         wanted = docs.sparkSession.createDataFrame([(json.dumps(mixture),)], "m string").select(F.explode(F.from_json("m", "map<string,double>")).alias("source", "wanted"))
-        sources = sources.join(F.broadcast(wanted), "source", "left").withColumn("natural", F.coalesce("wanted", "natural")).drop("wanted")
-        sources = sources.crossJoin(F.broadcast(sources.agg(F.sum("natural").alias("all")))).select("source", (F.col("natural") / F.col("all")).alias("natural"))
-    whole = sums.groupBy("bucket").agg(F.sum("n").alias("all"))
-    grid = whole.join(sources).join(sums, ["bucket", "source"], "left").fillna(0, ["n"])
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    state = grid.select("bucket", "source", F.col("natural").alias("share"), F.coalesce(F.col("natural") * F.sum("all").over(before) - F.sum("n").over(before), F.lit(0.0)).alias("deficit"))
+        sources = sources.join(F.broadcast(wanted), "source", "left").select("source", F.coalesce("wanted", "share").alias("share"))
+        weight = sources.agg(F.sum("share")).first()[0] or 1.0
+        sources = sources.withColumn("share", F.col("share") / F.lit(weight))
+    # a source that has nothing in a bucket changes none of its windows, so only pairs that occur are held
+    whole = _before(sums.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("source", F.lit("")), "all")
+    own = _before(sums, "own").join(whole.drop("source"), "bucket").join(sources, "source")
+    state = own.select("bucket", "source", "share", (F.col("share") * F.col("all") - F.col("own")).alias("deficit"))
     step, kind = length * window, f"<u{width(path)}"
 
     def run(key: tuple, rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:

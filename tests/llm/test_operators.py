@@ -269,6 +269,15 @@ def test_packing(spark, odd, documents, empty):
     assert packing.pack(empty, BYTE_BPE).count() == 0
 
 
+def test_sums_before_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    rng = random.Random(9)
+    sums = {(b, s): rng.randint(1, 90) for b in range(20) for s in "xyz" if rng.random() < 0.6}
+    frame = spark.createDataFrame([(b, s, n) for (b, s), n in sums.items()], "bucket long, source string, n long")
+    got = {(r["bucket"], r["source"]): r["all"] for r in packing._before(frame, "all").collect()}
+    assert got == {(b, s): sum(n for (c, t), n in sums.items() if t == s and c < b) for b, s in sums}
+
+
 def test_windows_hold_the_mixture():
     rng = np.random.default_rng(1)
     queues = [[(1000 * s + i, int(n)) for i, n in enumerate(rng.integers(1, 3000, size))] for s, size in enumerate((300, 100, 20))]
