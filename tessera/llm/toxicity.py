@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, materialize, small_batches
 
 #: Labelled rows of the sample, by label.
 POSITIVES, NEGATIVES = 2_000, 6_000
@@ -135,7 +135,8 @@ def pick_marks(sample: DataFrame, most: int = MARKS) -> list[str]:
             names += [m for m in tally[0] if m not in tally[1]]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([tally[y][m] for m in names], pa.int64()) for y in (1, 0)]], names=["mark", "one", "none"])
 
-    counts = sample.mapInArrow(run, "mark string, one long, none long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("none").alias("none"))
+    tallies = sample.mapInArrow(run, "mark string, one long, none long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("none").alias("none"))
+    counts = materialize(tallies.where(F.col("one") >= 3), "toxicity-marks")
     size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, nones = float(size.get(1, 0)), float(size.get(0, 0))
     if not ones or not nones:
@@ -143,9 +144,8 @@ def pick_marks(sample: DataFrame, most: int = MARKS) -> list[str]:
     all_, n = F.col("one") + F.col("none"), ones + nones
     term = lambda c, total: F.when(c > 0, c * F.log(c * n / (all_ * total))).otherwise(0.0)
     g2 = 2 * (term(F.col("one"), F.lit(ones)) + term(F.col("none"), F.lit(nones)))
-    likely = counts.where(F.col("one") >= 3).withColumn("g2", g2)
-    candidates = likely.count()
-    telling = likely.where((F.col("one") / ones > RATIO * F.col("none") / nones) & (F.col("g2") >= 2 * np.log(max(2, candidates))))
+    candidates = counts.count()
+    telling = counts.withColumn("g2", g2).where((F.col("one") / ones > RATIO * F.col("none") / nones) & (F.col("g2") >= 2 * np.log(max(2, candidates))))
     rows = telling.orderBy(F.desc("g2"), "mark").limit(2 * most).collect()
     return [r["mark"] for r in rows if not _owed_to_longer(r, rows)][:most]
 
@@ -162,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, La
     """Marks, coefficients of the classifier (the intercept last) and the label model."""
     small_batches(docs.sparkSession)
     sample, rate = _sample(docs.select("doc_id", "text"), labels)
+    sample = materialize(sample, "toxicity-sample")  # read four times; the documents once
     marks = pick_marks(sample)
     if not marks:
         return [], np.array([-5.0]), None
