@@ -23,7 +23,7 @@ WINDOW = 5
 #: Fixed-point steps of a transformed statistic.
 SCALE = 1000
 #: Share of a group's documents in the half-sample, C-steps, documents below which a group is pooled.
-SUBSET, STEPS, MIN_GROUP = 0.75, 4, 100
+SUBSET, STEPS, MIN_GROUP = 0.5, 4, 100
 #: Standard deviations that are always allowed for, by statistic: log words, log word length, symbols, repeated words and repeated lines.
 FLOORS = (0.30, 0.08, 0.08, 0.12, 0.12)
 #: Chance, under the normal model, of a document beyond the cutoff.

@@ -72,6 +72,20 @@ def test_quality_rules_reject_outliers(spark):
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 160))
 
 
+def symbol_rows(clean, junk, marks):
+    """clean plain texts, then junk texts with a symbol word after each tenth of marks words; one group."""
+    rng = random.Random(1)
+    texts = [["".join(rng.choice("abcde") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(60, 200))] for _ in range(clean + junk)]
+    dirty = [" ".join(w + "#" * (k % 10 < marks) for k, w in enumerate(t)) if i >= clean else " ".join(t) for i, t in enumerate(texts)]
+    return [(i, t, "en", "s") for i, t in enumerate(dirty)]
+
+
+def test_quality_rules_reject_a_third_of_junk(spark):
+    rows = spark.createDataFrame(symbol_rows(160, 80, 10), "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(rows).collect()}
+    assert all(got[i] for i in range(160)) and not any(got[i] for i in range(160, 240))
+
+
 def test_fingerprints_and_links(spark, odd, documents, empty):
     assert simhash.fingerprint(b"A b", 3) == xxhash.xxh64_intdigest(b"a b", 42)
     for docs in (odd, documents):
