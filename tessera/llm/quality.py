@@ -24,10 +24,11 @@ WINDOW = 5
 SCALE = 1000
 #: Share of a group's documents in the half-sample, C-steps, documents below which a group is pooled.
 SUBSET, STEPS, MIN_GROUP = 0.5, 4, 100
-#: Standard deviations that are always allowed for, by statistic: log words, log word length, symbols, repeated words and repeated lines.
-FLOORS = (0.30, 0.08, 0.08, 0.12, 0.12)
+#: Least standard deviation, by statistic given those before it: log words, log word length, symbols, repeated words and
+#: repeated lines.  It takes the place of a smaller scatter only, as most documents have no symbols or repeats at all.
+FLOORS = (0.15, 0.08, 0.04, 0.12, 0.12)
 #: Chance, under the normal model, of a document beyond the cutoff.
-TAIL = 1e-9
+TAIL = 1e-5
 NAMES = ("z_words", "z_length", "z_symbols", "z_repeats", "z_lines")
 
 
@@ -118,7 +119,7 @@ def _estimate(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
     p = range(len(NAMES))
     n = F.greatest(F.col("n").cast("double"), F.lit(1.0))
     out = moments.select(*keys, *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in p], *[(F.col(f"s{i}_{j}") / n / SCALE**2).alias(f"e{i}_{j}") for i in p for j in p if j <= i])
-    cov = {(i, j): factor * (F.col(f"e{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0) for i in p for j in p if j <= i}
+    cov = {(i, j): factor * (F.col(f"e{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) for i in p for j in p if j <= i}
     out = out.select(*keys, *[f"m{i}" for i in p], *[c.alias(f"c{i}_{j}") for (i, j), c in cov.items()])
     return _inverse(out, keys)
 
@@ -130,7 +131,7 @@ def _inverse(out: DataFrame, keys: list[str]) -> DataFrame:
     for i in p:
         for j in range(i):
             out = out.withColumn(f"l{i}_{j}", (F.col(f"c{i}_{j}") - total(F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j))) / F.col(f"l{j}_{j}"))
-        out = out.withColumn(f"l{i}_{i}", F.sqrt(F.greatest(F.lit(1e-9), F.col(f"c{i}_{i}") - total(F.col(f"l{i}_{k}") ** 2 for k in range(i)))))
+        out = out.withColumn(f"l{i}_{i}", F.sqrt(F.greatest(F.lit(FLOORS[i] ** 2), F.col(f"c{i}_{i}") - total(F.col(f"l{i}_{k}") ** 2 for k in range(i)))))
     for j in p:
         out = out.withColumn(f"k{j}_{j}", 1 / F.col(f"l{j}_{j}"))
         for i in range(j + 1, len(NAMES)):
@@ -191,7 +192,7 @@ def _medians(z: DataFrame) -> DataFrame:
     mad = middle(away.drop("med"), "mad")
     both = med.join(mad, ["grp", "i"]).groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(NAMES)) for c in ("med", "mad")])
     p = range(len(NAMES))
-    diag = [((1.4826 * F.col(f"mad{i}") * 10 / SCALE) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in p for j in p if j <= i]
+    diag = [((1.4826 * F.col(f"mad{i}") * 10 / SCALE) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in p for j in p if j <= i]
     return _inverse(both.select("grp", F.lit(0).alias("start"), *[(F.col(f"med{i}") * 10.0 / SCALE).alias(f"m{i}") for i in p], *diag), ["grp", "start"])
 
 

@@ -86,6 +86,12 @@ def test_quality_rules_reject_a_third_of_junk(spark):
     assert all(got[i] for i in range(160)) and not any(got[i] for i in range(160, 240))
 
 
+def test_quality_rules_reject_three_symbols_in_ten_words(spark):
+    rows = spark.createDataFrame(symbol_rows(160, 40, 3), "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(rows).collect()}
+    assert all(got[i] for i in range(160)) and not any(got[i] for i in range(160, 200))
+
+
 def test_fingerprints_and_links(spark, odd, documents, empty):
     assert simhash.fingerprint(b"A b", 3) == xxhash.xxh64_intdigest(b"a b", 42)
     for docs in (odd, documents):
