@@ -31,6 +31,8 @@ SAMPLE, LEAF, MAX_LEAVES = 16_384, 2_048, 1_024
 BRUTE = 512
 #: Samples of the words of a text, words of a sample, shingle hashes kept to estimate a similarity.
 SAMPLES, SAMPLED, LEAST = 6, 6, 256
+#: Distance from the least similarity up to which an estimate is not trusted: six standard errors of LEAST hashes.
+MARGIN = 0.15
 
 
 def fingerprint(text: bytes | None, size: int) -> int:
@@ -223,11 +225,43 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True))) if len(both) else 1.0
 
 
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """All distinct shingle hashes of a text (64 bits)."""
+    words = text.lower().split() if text else []
+    n = max(1, len(words) - size + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+
+
+def verdict(a: np.ndarray, b: np.ndarray, least_similarity: float) -> bool | None:
+    """Whether two sets are similar, from their least hashes; None if that is an estimate near the threshold."""
+    s = similarity(a, b)
+    whole = max(len(a), len(b)) < LEAST and len(np.union1d(a, b)) <= LEAST
+    return s >= least_similarity if whole or abs(s - least_similarity) > MARGIN else None
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, least_similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows of docs whose whole shingle sets have at least that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                hashes = shingle_set(b.column(1).slice(at, 1).cast(pa.large_binary())[0].as_py(), size)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), pa.array([hashes], pa.list_(pa.int64()))], names=["row", "hashes"])
+
+    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    sets = materialize(docs.join(asked, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, hashes array<bigint>"), "shingles")
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    counted = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
+    return counted.where(F.col("common") / (F.col("sizes") - F.col("common")) >= least_similarity).select("a", "b")
+
+
 def similar_links(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id) of the rows of docs (row, doc_id, text), and their links (a, b).
 
     Rows are paired if their SimHashes differ in at most most bits or a sample's SimHash is the same, each row of
-    such a class with one that stands for it; pairs below the similarity of their shingles are dropped.
+    such a class with one that stands for it; pairs below the similarity of their shingles are dropped.  The least
+    hashes decide where they are the whole sets or far from the threshold; else the whole sets are compared.
     Equal texts are linked without comparing them, and so are texts without a word.
     """
     small_batches(docs.sparkSession)
@@ -256,12 +290,14 @@ def similar_links(docs: DataFrame, size: int = 5, most: int = 3, least_similarit
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [[np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3)]
-            good = pa.array([similarity(x, y) >= least_similarity for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(good)
+            good = pa.array([verdict(x, y, least_similarity) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), good], names=["a", "b", "good"])
 
     held = rows.select("row", "least")
     both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return same.select("row", "doc_id"), both.mapInArrow(compare, "a long, b long").union(equal)
+    judged = materialize(both.mapInArrow(compare, "a long, b long, good boolean").where("good OR good IS NULL"), "judged")
+    verified = _verified(one_each, judged.where("good IS NULL").select("a", "b"), size, least_similarity)
+    return same.select("row", "doc_id"), judged.where("good").select("a", "b").union(verified).union(equal)
 
 
 def deduplicate(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> DataFrame:

@@ -144,6 +144,34 @@ def test_deduplicate(spark, odd, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def halves_apart():
+    """120 long texts in 60 pairs, the similarity of a pair's five-word shingles being from about 0.77 to 0.83."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    texts = []
+    for k in range(60):
+        one = [word() for _ in range(1000)]
+        new = 85 + k % 30 * 2 // 3 * 2
+        texts += [" ".join(one), " ".join(one[:300] + [word() for _ in range(new)] + one[300 + new :])]
+    return texts
+
+
+def test_similarity_of_long_texts_is_exact(spark):
+    texts = halves_apart()
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(996)} for t in texts]
+    profiles = [simhash.profile(t.encode(), 5) for t in texts]
+    want, wrong = set(), 0
+    for i in range(0, 120, 2):
+        (f, s, x), (g, t, y) = profiles[i], profiles[i + 1]
+        if any(p == q for p, q in zip(s, t, strict=True)) or (f ^ g).bit_count() <= 3:
+            exact = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8
+            wrong += exact != (simhash.similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= 0.8)
+            want |= {(i, i + 1)} if exact else set()
+    assert want and wrong  # the least hashes alone misjudge some
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    assert {tuple(sorted(r)) for r in simhash.similar_links(docs)[1].collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 200), rng.randint(0, 200)) for _ in range(120)] + [(500 + i, 501 + i) for i in range(40)]
