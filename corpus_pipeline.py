@@ -13,17 +13,24 @@ from tessera.llm.common import materialize, table
 from tessera.llm.queries import vocabulary
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number that is written with the row, as ids may be null or repeated."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the robust outlier test."""
-    rejected = quality.quality_rules(docs).where("NOT kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    """Documents that pass the base rules and the robust outlier test; each row is judged by its own text."""
+    rows = numbered(docs)
+    rejected = quality.quality_rules(rows, key="_row").where("NOT kept").select("_row")
+    return rows.join(rejected, "_row", "left_anti").drop("_row")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    scores = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_id"]), "left_anti")
+    """Documents that are not predicted toxic; each row is judged by its own text."""
+    rows = numbered(docs)
+    scores = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row="_row")
+    rejected = scores.where("predicted = 1").select("_row")
+    return rows.join(rejected, "_row", "left_anti").drop("_row")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,16 +221,16 @@ def mcd_distances(stats: DataFrame, subset: float = SUBSET, steps: int = STEPS)
     return _joined(z, materialize(final, "mcd"))
 
 
-def quality_rules(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """One row per document: doc_id, the base statistics, base_failed, the robust distance d2 and kept.
+def quality_rules(docs: DataFrame, tail: float = TAIL, key: str = "doc_id") -> DataFrame:
+    """One row per document: its key column, the base statistics, base_failed, the robust distance d2 and kept.
 
-    docs has doc_id, text, lang and source; null languages and sources form groups of their own; further
+    docs has the key column, text, lang and source; null languages and sources form groups of their own; further
     columns are ignored.  Repeated rows are scored each.  Documents that fail the base rules take no part
     in the estimates and have a null d2.  kept is false for them and for documents beyond the cutoff.
     """
-    stats = materialize(base_statistics(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality")
+    stats = materialize(base_statistics(docs.select(key, "text", "lang", "source")).drop("text"), "quality")
     cutoff = chi2_quantile(1 - tail, len(NAMES))
-    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    cols = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = mcd_distances(stats.where("NOT base_failed")).select(*cols, "d2", (F.col("d2") <= cutoff).alias("kept"))
     failed = stats.where("base_failed").select(*cols, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
     return passed.unionByName(failed)

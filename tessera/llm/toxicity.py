@@ -188,21 +188,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, La
     return marks, fit_linear(x.astype(float), posterior, weights), model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text; further columns are ignored).
 
+    row names a column of longs of docs that is put before them, to tell rows of the same doc_id apart.
+
     labels has doc_id and toxic; only rows whose crc32(doc_id as text) mod 3 is not 1 are learnt from, and where an
     id has several labels the largest counts.  Without labels of both kinds, or without telling marks, every
     score is that of an empty text.  Null texts count as empty; a null doc_id is not held out.
     """
     marks, w, _ = train(docs, labels)
+    carried = [row] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spotter = Spotter(marks)
         for b in batches:
             z = np.array([w[-1] + w[spotter.of(t)].sum() for t in b.column(2).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=["doc_id", "held_out", "score"])
+            score = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(0), b.column(1), score], names=[*carried, "doc_id", "held_out", "score"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.mapInArrow(run, "".join(f"{c} long, " for c in carried) + "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,8 +11,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tessera.llm import archive, bpe, linededup, lm, packing, permutation, quality, simhash, tokencount, toxicity
 from tessera.llm.components import connected_components
 
@@ -244,6 +246,18 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(odd, labels.where("false")).where("predicted = 1").count() == 0
 
 
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_pipeline_judges_rows_not_ids(spark, monkeypatch, same_id):
+    texts = [f"plain words number {i} of many in this clean little text" for i in range(20)] + ["short", "an awfulword among the other words of this little text"]
+    docs = spark.createDataFrame([(same_id, t, "en", "s") for t in texts], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(toxicity, "train", lambda docs, labels: (["awfulword"], np.array([10.0, -5.0]), None))
+    out = corpus_pipeline.toxicity_stage(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(texts[:21])
+    monkeypatch.setattr(quality, "mcd_distances", lambda stats: stats.withColumn("d2", F.lit(0.0)))
+    out = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(texts[:20] + texts[21:])
+
+
 def test_archives(spark):
     long = "<p>é</p>" * 300
     rows = [(1, "http://a/ b", long), (7, None, long), (3, "http://c", long), (4, "u", None), (5, "u", "x"), (6, "u", "x")]
