@@ -9,46 +9,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import linededup, packing, quality, simhash, toxicity
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, table, unused
 from tessera.llm.queries import vocabulary
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number that is written with the row, as ids may be null or repeated."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the robust outlier test; each row is judged by its own text."""
-    rows = numbered(docs)
-    rejected = quality.quality_rules(rows, key="_row").where("NOT kept").select("_row")
-    return rows.join(rejected, "_row", "left_anti").drop("_row")
+    """Documents that pass the base rules and the robust outlier test; each row is judged by its own text.
+
+    Null and empty texts fail the base rules.  Rows of a repeated or null doc_id are judged apart; all columns stay.
+    """
+    return quality.passing(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; each row is judged by its own text."""
-    rows = numbered(docs)
-    scores = toxicity.toxicity(rows, table(spark, sf_dir, "labels"), row="_row")
-    rejected = scores.where("predicted = 1").select("_row")
-    return rows.join(rejected, "_row", "left_anti").drop("_row")
+    """Documents that are not predicted toxic; each row is judged by its own text.
+
+    Null and empty texts are not toxic.  Without labels of both kinds all rows stay; all columns stay.
+    """
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; n_chars follows the text.
+    """Documents without later copies of repeated line runs; n_chars, where docs has it, follows the text.
 
-    A document that had nothing else goes.
+    A document that had nothing else goes; null and empty texts stay as they are, and so do all columns.
     """
-    out = linededup.line_dedup(docs).where((F.col("lines_removed") == 0) | F.col("text").rlike(quality.WORD)).drop("lines_removed")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    removed = unused(docs.columns, "lines_removed")
+    out = linededup.line_dedup(docs, removed=removed)
+    out = out.where((F.col(removed) == 0) | F.col("text").rlike(quality.WORD))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words and a similarity of 0.8."""
+    """One document of each group of near copies, by shingles of five words and a similarity of 0.8.
+
+    Texts without a word are one group; the smallest doc_id stays, nulls last; all columns stay.
+    """
     return simhash.deduplicate(docs, size=5, least_similarity=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, in the sources' proportions."""
+    """Pieces of training sequences, in the sources' proportions; a null text is packed as an empty one."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -60,7 +63,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage but the first can be expressed in SQL; the stages are tested against brute force.
+#: No stage but the first can be expressed in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Documents of one Arrow batch; keeps a batch of long texts within a worker's memory.
 ARROW_ROWS = 512
-#: Rows up to which a small side is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 20_000
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,30 +23,52 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share; on a local master that names none, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written; results that have not been read yet are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and any executor may be lost later."""
+    """Write df to the shared folder and read it back: lineage is cut and any executor may be lost later.
+
+    A small table is then broadcast by Spark where the size of its files is below the session's threshold.  The
+    shuffle files of the write are deleted when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most limit rows, else df as it is (joined by shuffle).
-
-    df should be materialized; it is counted up to limit + 1 rows.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def unused(columns: list[str], name: str) -> str:
+    """name, with underscores before it as long as a column is called so (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def let(value: Column, body) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import materialize, unused
 from .quality import SPACE, WORD
 
 #: Words from which a repeated run of lines is deleted.
@@ -109,18 +109,20 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return gone.join(held.select("row", "at", "line"), ["row", "at"]).select("row", "line")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with the lines of later copies of repeated runs deleted from text; a column lines_removed is added.
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "lines_removed") -> DataFrame:
+    """docs with the lines of later copies of repeated runs deleted from text; their number is column removed.
 
     Runs of lines with at least min_words words that occur earlier, in the order of doc_id and line, are deleted;
     lines without a word stay as they are.  Null texts stay null; empty tables give empty results; repeated rows
-    are copies like any other.  A text whose lines all go is empty.
+    are copies like any other.  A text whose lines all go is empty.  A column of docs called like removed is replaced; further
+    columns stay, whatever their names.
     """
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = materialize(keyed, "documents")
-    gone = repeated_lines(rows.select(F.col("_row").alias("row"), "doc_id", "text"), min_words).groupBy("row").agg(F.collect_list("line").alias("_gone"))
-    joined = rows.join(gone, rows["_row"] == gone["row"], "left").drop("row", "_row")
-    lines = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    return lines.withColumns({"text": text, "lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_lines", "_gone")
+    own, cut, parts = (unused(docs.columns, c) for c in ("_row", "_gone", "_lines"))
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "documents")
+    gone = repeated_lines(rows.select(F.col(own).alias("row"), "doc_id", "text"), min_words)
+    gone = materialize(gone.groupBy(F.col("row").alias(own)).agg(F.collect_list("line").alias(cut)), "gone")
+    lines = rows.join(gone, own, "left").withColumn(parts, F.when(F.col(cut).isNotNull(), F.split("text", "\n")))
+    keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col(parts), i)), "\n"))
+    out = lines.withColumns({"text": text, removed: F.coalesce(F.size(cut), F.lit(0)).cast("long")})
+    return out.select(*[c for c in docs.columns if c.lower() != removed.lower()], removed)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_broadcast, let, materialize
+from .common import let, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,14 +22,19 @@ SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
 #: Fixed-point steps of a transformed statistic.
 SCALE = 1000
-#: Share of a group's documents in the half-sample, C-steps, documents below which a group is pooled.
-SUBSET, STEPS, MIN_GROUP = 0.5, 4, 100
+#: Share of a group's documents in the half-sample, C-steps at most, documents below which a group is pooled.
+SUBSET, STEPS, MIN_GROUP = 0.5, 6, 100
+#: Share of normal vectors within the last step's cut, by which the centre and scatter are taken again.
+REWEIGHT = 0.975
 #: Least standard deviation, by statistic given those before it: log words, log word length, symbols, repeated words and
 #: repeated lines.  It takes the place of a smaller scatter only, as most documents have no symbols or repeats at all.
 FLOORS = (0.15, 0.08, 0.04, 0.12, 0.12)
 #: Chance, under the normal model, of a document beyond the cutoff.
 TAIL = 1e-5
 NAMES = ("z_words", "z_length", "z_symbols", "z_repeats", "z_lines")
+P = range(len(NAMES))
+#: The sums that moments need: of each statistic, and of each product.
+SUMS = [str(i) for i in P] + [f"{i}_{j}" for i in P for j in range(i + 1)]
 
 
 def _repeat_words(words: Column) -> Column:
@@ -116,121 +121,130 @@ def chi2_quantile(p: float, df: int) -> float:
 
 def _estimate(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
     """Centre m_i, inverse scatter a_i_j and log determinant from sums s_i, s_i_j and n."""
-    p = range(len(NAMES))
-    n = F.greatest(F.col("n").cast("double"), F.lit(1.0))
-    out = moments.select(*keys, *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in p], *[(F.col(f"s{i}_{j}") / n / SCALE**2).alias(f"e{i}_{j}") for i in p for j in p if j <= i])
-    cov = {(i, j): factor * (F.col(f"e{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) for i in p for j in p if j <= i}
-    out = out.select(*keys, *[f"m{i}" for i in p], *[c.alias(f"c{i}_{j}") for (i, j), c in cov.items()])
-    return _inverse(out, keys)
+    means = moments.selectExpr(*keys, *[f"CAST(s{k} AS DOUBLE) / greatest(n, 1) / {SCALE ** (1 + k.count('_'))} AS e{k}" for k in SUMS])
+    cov = [f"{factor!r}D * (e{i}_{j} - e{i} * e{j}) AS c{i}_{j}" for i in P for j in range(i + 1)]
+    return _inverse(means.selectExpr(*keys, *[f"e{i} AS m{i}" for i in P], *cov), keys)
 
 
 def _inverse(out: DataFrame, keys: list[str]) -> DataFrame:
     """Inverse of the scatter c_i_j by Cholesky factors l and their inverse k, column by column."""
-    p = range(len(NAMES))
-    total = lambda terms: sum(terms, F.lit(0.0))
-    for i in p:
-        for j in range(i):
-            out = out.withColumn(f"l{i}_{j}", (F.col(f"c{i}_{j}") - total(F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") for k in range(j))) / F.col(f"l{j}_{j}"))
-        out = out.withColumn(f"l{i}_{i}", F.sqrt(F.greatest(F.lit(FLOORS[i] ** 2), F.col(f"c{i}_{i}") - total(F.col(f"l{i}_{k}") ** 2 for k in range(i)))))
-    for j in p:
-        out = out.withColumn(f"k{j}_{j}", 1 / F.col(f"l{j}_{j}"))
-        for i in range(j + 1, len(NAMES)):
-            out = out.withColumn(f"k{i}_{j}", -total(F.col(f"l{i}_{k}") * F.col(f"k{k}_{j}") for k in range(j, i)) / F.col(f"l{i}_{i}"))
-    inverse = [total(F.col(f"k{k}_{i}") * F.col(f"k{k}_{j}") for k in range(i, len(NAMES))).alias(f"a{i}_{j}") for i in p for j in p if j <= i]
-    return out.select(*keys, *[f"m{i}" for i in p], *inverse, total(2 * F.log(F.col(f"l{i}_{i}")) for i in p).alias("log_det"))
-
-
-def _distance() -> Column:
-    """Squared Mahalanobis distance of a row that carries the estimate of its group."""
-    p = range(len(NAMES))
-    x = [F.col(NAMES[i]) / SCALE - F.col(f"m{i}") for i in p]
-    return sum((F.col(f"a{i}_{j}") * x[i] * x[j] * (1 if i == j else 2) for i in p for j in p if j <= i), F.lit(0.0))
+    total = lambda terms: "(" + " + ".join(["0D", *terms]) + ")"
+    for j in P:
+        square = f"c{j}_{j} - {total(f'l{j}_{k} * l{j}_{k}' for k in range(j))}"
+        out = out.selectExpr("*", f"sqrt(greatest({FLOORS[j] ** 2!r}D, {square})) AS l{j}_{j}")
+        out = out.selectExpr("*", *[f"(c{i}_{j} - {total(f'l{i}_{k} * l{j}_{k}' for k in range(j))}) / l{j}_{j} AS l{i}_{j}" for i in P if i > j])
+    out = out.selectExpr("*", *[f"1 / l{j}_{j} AS k{j}_{j}" for j in P])
+    for by in range(1, len(NAMES)):
+        below = [(j + by, j) for j in range(len(NAMES) - by)]
+        out = out.selectExpr("*", *[f"-{total(f'l{i}_{k} * k{k}_{j}' for k in range(j, i))} / l{i}_{i} AS k{i}_{j}" for i, j in below])
+    inverse = [f"{total(f'k{k}_{i} * k{k}_{j}' for k in range(i, len(NAMES)))} AS a{i}_{j}" for i in P for j in range(i + 1)]
+    return out.selectExpr(*keys, *[f"m{i}" for i in P], *inverse, f"{total(f'2 * ln(l{i}_{i})' for i in P)} AS log_det")
+
+
+#: Squared Mahalanobis distance of a row that carries the estimate of its group.
+DISTANCE = " + ".join(f"a{i}_{j} * ({NAMES[i]} / {SCALE}D - m{i}) * ({NAMES[j]} / {SCALE}D - m{j}) * {1 if i == j else 2}" for i in P for j in range(i + 1))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    p = range(len(NAMES))
-    z = lambda i: F.col(NAMES[i]).cast("decimal(20,0)")
-    sums = [F.sum(z(i)).cast("double").alias(f"s{i}") for i in p]
-    sums += [F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).cast("double").alias(f"s{i}_{j}") for i in p for j in p if j <= i]
+    """n and the sums of the statistics and of their products, in integers."""
+    of = lambda k: " * ".join(NAMES[int(i)] for i in k.split("_"))
+    sums = [F.expr(f"CAST(sum({of(k)}) AS DECIMAL(38,0)) AS s{k}") for k in SUMS]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
 
 
 def _joined(z: DataFrame, estimates: DataFrame) -> DataFrame:
-    return z.join(bounded_broadcast(estimates), "grp").withColumn("d2", _distance())
+    return z.join(estimates, "grp").withColumn("d2", F.expr(DISTANCE))
+
+
+def consistency(share: float) -> float:
+    """What the scatter of the nearest share of normal vectors must be multiplied by."""
+    return share / max(1e-9, _gamma_p(len(NAMES) / 2 + 1, chi2_quantile(share, len(NAMES)) / 2))
 
 
-def _c_step(z: DataFrame, estimates: DataFrame, keys: list[str], share: float) -> DataFrame:
+def _c_step(z: DataFrame, estimates: DataFrame, share: float) -> DataFrame:
     """The next estimates: moments of the documents within the share-quantile of distances.
 
-    Distances are counted in bins of one hundredth of a log unit (at most about 4,000 bins a group)
-    and all documents of the bins up to the quantile form the subset.
+    One aggregation gives the moments of bins of distances, one hundredth of a log unit each (at most about
+    4,000 bins a group); those of the bins up to the quantile, all their documents with them, are added up.
     """
-    rows = _joined(z, estimates).withColumn("bin", F.greatest(F.lit(-700), F.least(F.lit(3300), F.floor(F.log(F.col("d2") + 1e-3) * 100))).cast("int"))
-    bins = rows.groupBy(*keys, "bin").agg(F.count("*").alias("c"))
-    upto = bins.withColumns(
-        {"upto": F.sum("c").over(W.partitionBy(*keys).orderBy("bin")), "all": F.sum("c").over(W.partitionBy(*keys))}
-    ).where(F.col("upto") - F.col("c") < share * F.col("all"))
-    limits = materialize(upto.groupBy(*keys).agg(F.max("bin").alias("last")), "mcd-limits")
-    kept = rows.join(bounded_broadcast(limits), keys).where("bin <= last")
-    factor = share / max(1e-9, _gamma_p(len(NAMES) / 2 + 1, chi2_quantile(share, len(NAMES)) / 2))
-    return materialize(_estimate(_moments(kept, keys), keys, factor), "mcd")
+    keys = ["grp", "start"]
+    bin_ = F.greatest(F.lit(-700), F.least(F.lit(3300), F.floor(F.log(F.col("d2") + 1e-3) * 100))).cast("int")
+    bins = _moments(_joined(z, estimates).withColumn("bin", bin_), [*keys, "bin"])
+    w = W.partitionBy(*keys)
+    near = bins.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)}).where(F.col("upto") - F.col("n") < share * F.col("all"))
+    sums = near.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum("s" + k).alias("s" + k) for k in SUMS])
+    return materialize(_estimate(sums, keys, consistency(share)), "mcd")
 
 
 def _medians(z: DataFrame) -> DataFrame:
-    """Coordinate-wise median and MAD by group, exactly over the fixed-point values' bins of ten steps."""
-    long = z.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(n) / 10).cast("int").alias("v")) for i, n in enumerate(NAMES)])).alias("x")).select("grp", "x.i", "x.v")
-
-    def middle(counts: DataFrame, name: str) -> DataFrame:
-        w = W.partitionBy("grp", "i")
-        return (
-            counts.withColumns({"u": F.sum("c").over(w.orderBy("v")), "all": F.sum("c").over(w)}).where("2 * u >= all").groupBy("grp", "i").agg(F.min("v").alias(name))
-        )
-
-    counts = materialize(long.groupBy("grp", "i", "v").agg(F.count("*").alias("c")), "mcd-bins")
-    med = middle(counts, "med")
-    away = counts.join(med, ["grp", "i"]).withColumn("v", F.abs(F.col("v") - F.col("med"))).groupBy("grp", "i", "v", "med").agg(F.sum("c").alias("c"))
-    mad = middle(away.drop("med"), "mad")
-    both = med.join(mad, ["grp", "i"]).groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(NAMES)) for c in ("med", "mad")])
-    p = range(len(NAMES))
-    diag = [((1.4826 * F.col(f"mad{i}") * 10 / SCALE) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in p for j in p if j <= i]
-    return _inverse(both.select("grp", F.lit(0).alias("start"), *[(F.col(f"med{i}") * 10.0 / SCALE).alias(f"m{i}") for i in p], *diag), ["grp", "start"])
+    """Coordinate-wise median and MAD by group, over the fixed-point values' bins of ten steps."""
+    v = lambda i: F.round(F.col(NAMES[i]) / 10)
+    med = materialize(z.groupBy("grp").agg(*[F.percentile(v(i), F.lit(0.5)).alias(f"med{i}") for i in P]), "mcd-medians")
+    both = z.join(med, "grp").groupBy("grp").agg(*[F.max(f"med{i}").alias(f"med{i}") for i in P], *[F.percentile(F.abs(v(i) - F.col(f"med{i}")), F.lit(0.5)).alias(f"mad{i}") for i in P])
+    diag = [((1.4826 * F.col(f"mad{i}") * 10 / SCALE) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in P for j in range(i + 1)]
+    return _inverse(both.select("grp", F.lit(0).alias("start"), *[(F.col(f"med{i}") * 10.0 / SCALE).alias(f"m{i}") for i in P], *diag), ["grp", "start"])
 
 
 def _grouped(z: DataFrame) -> DataFrame:
-    """grp: language and source; groups of few documents are pooled by language, then over all."""
+    """grp: language and source; groups of fewer than MIN_GROUP documents are pooled by language, then over all.
+
+    A scatter of five statistics needs more documents than that to have a half-sample at all.
+    """
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
     z = z.withColumns({"_l": name("lang"), "_s": name("source")})
-    sizes = materialize(z.groupBy("_l", "_s").agg(F.count("*").alias("n")), "mcd-groups")
+    sizes = z.groupBy("_l", "_s").agg(F.count("*").alias("n"))
     few = F.col("n") < MIN_GROUP
     pooled = F.sum(F.when(few, F.col("n")).otherwise(0)).over(W.partitionBy("_l"))
     key = F.when(~few, F.concat_ws("\u0001", "_l", "_s")).when(F.col("pooled") >= MIN_GROUP, F.col("_l")).otherwise(F.lit("\u0001"))
     groups = materialize(sizes.withColumn("pooled", pooled).select("_l", "_s", key.alias("grp")), "mcd-keys")
-    return z.join(bounded_broadcast(groups), ["_l", "_s"]).drop("_l", "_s")
+    return z.join(groups, ["_l", "_s"]).drop("_l", "_s")
 
 
 def mcd_distances(stats: DataFrame, subset: float = SUBSET, steps: int = STEPS) -> DataFrame:
-    """doc rows of stats (doc_id, lang, source and the base statistics) with grp and robust d2."""
-    z = materialize(_grouped(transformed(stats)), "mcd-z")
+    """Rows of stats (lang, source and the base statistics) with grp and the robust squared distance d2.
+
+    C-steps go on until no group's determinants change, steps times at most.
+    """
+    rows = _grouped(transformed(stats))
+    z = materialize(rows.select("grp", *NAMES), "mcd-z")
     start = _medians(z).unionByName(_estimate(_moments(z, ["grp"]), ["grp"], 1.0).withColumn("start", F.lit(1)))
-    estimates = materialize(start, "mcd")
+    estimates, seen = materialize(start, "mcd"), None
     for _ in range(steps):
-        estimates = _c_step(z, estimates, ["grp", "start"], subset)
+        estimates = _c_step(z, estimates, subset)
+        now = estimates.agg(F.sum(F.xxhash64("grp", "start", F.round("log_det", 3)).cast("decimal(38,0)"))).first()
+        if now == seen:
+            break
+        seen = now
     best = estimates.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy("log_det", "start"))).where("r = 1").drop("r")
-    rows = _joined(z, materialize(best, "mcd"))
-    final = _estimate(_moments(rows.where(F.col("d2") <= chi2_quantile(0.975, len(NAMES))), ["grp"]), ["grp"], 1.0)
-    return _joined(z, materialize(final, "mcd"))
+    near = _joined(z, best).where(F.col("d2") <= chi2_quantile(REWEIGHT, len(NAMES)))
+    final = materialize(_estimate(_moments(near, ["grp"]), ["grp"], consistency(REWEIGHT)), "mcd")
+    return _joined(rows, final)
+
+
+def _judged(packed: DataFrame, tail: float) -> DataFrame:
+    """Rows of packed (doc, text, lang, source), text excepted, with all statistics, mcd_group, d2 and kept."""
+    stats = materialize(base_statistics(packed).drop("text"), "quality")
+    level = F.when(F.col("grp") == "\u0001", "all").when(F.contains("grp", F.lit("\u0001")), "language and source").otherwise("language")
+    cutoff = F.col("d2") <= chi2_quantile(1 - tail, len(NAMES))
+    passed = mcd_distances(stats.where("NOT base_failed")).select(*stats.columns, level.alias("mcd_group"), "d2", cutoff.alias("kept"))
+    null = lambda t: F.lit(None).cast(t)
+    failed = stats.where("base_failed").select(*stats.columns, null("string").alias("mcd_group"), null("double").alias("d2"), F.lit(False).alias("kept"))
+    return passed.unionByName(failed)
 
 
-def quality_rules(docs: DataFrame, tail: float = TAIL, key: str = "doc_id") -> DataFrame:
-    """One row per document: its key column, the base statistics, base_failed, the robust distance d2 and kept.
+def quality_rules(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """One row per document: doc_id, the base statistics, base_failed, mcd_group, the robust distance d2, kept.
 
-    docs has the key column, text, lang and source; null languages and sources form groups of their own; further
-    columns are ignored.  Repeated rows are scored each.  Documents that fail the base rules take no part
-    in the estimates and have a null d2.  kept is false for them and for documents beyond the cutoff.
+    docs has doc_id, text, lang and source; null languages and sources form groups of their own; further
+    columns are ignored.  Repeated rows are scored each; an empty table gives an empty result.  mcd_group tells
+    whether a document was held against its language and source, its language, or all; documents that fail the
+    base rules take no part in the estimates and have a null mcd_group and d2.  kept is false for them and for
+    documents beyond the cutoff.
     """
-    stats = materialize(base_statistics(docs.select(key, "text", "lang", "source")).drop("text"), "quality")
-    cutoff = chi2_quantile(1 - tail, len(NAMES))
-    cols = [key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    passed = mcd_distances(stats.where("NOT base_failed")).select(*cols, "d2", (F.col("d2") <= cutoff).alias("kept"))
-    failed = stats.where("base_failed").select(*cols, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept"))
-    return passed.unionByName(failed)
+    out = _judged(docs.select(F.struct("doc_id").alias("doc"), "text", "lang", "source"), tail)
+    return out.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "mcd_group", "d2", "kept")
+
+
+def passing(docs: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows of docs that quality_rules keeps, each judged by its own text, with all their columns."""
+    return _judged(docs.select(F.struct(*docs.columns).alias("doc"), "text", "lang", "source"), tail).where("kept").select("doc.*")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import crc_mod, materialize, small_batches
 
@@ -68,19 +69,20 @@ class LabelModel:
     def __init__(self, prior: float):
         self.prior = min(0.5, max(1e-3, prior))
 
-    def fit(self, votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
-        """votes: rows by voters, 0 or 1; start: first guesses of the rows' probabilities of label 1."""
+    def fit(self, votes: np.ndarray, start: np.ndarray, times: np.ndarray, rounds: int = 15) -> LabelModel:
+        """votes: rows by voters, 0 or 1; start: first guesses of the rows' probabilities of label 1; times: how often a row occurs."""
         p = start.astype(float)
         for _ in range(rounds):
-            one, none = p.sum(), (1 - p).sum()
-            self.fires = np.array([(votes.T @ p + 0.1) / (one + 1), (votes.T @ (1 - p) + 0.01) / (none + 1)])
-            self.correlations = self._correlations(votes, p)
+            one, none = times * p, times * (1 - p)
+            self.fires = np.array([(votes.T @ one + 0.1) / (one.sum() + 1), (votes.T @ none + 0.01) / (none.sum() + 1)])
+            self.correlations = self._correlations(votes, p, times)
             p = self.posterior(votes)
         return self
 
-    def _correlations(self, votes: np.ndarray, p: np.ndarray) -> np.ndarray:
+    def _correlations(self, votes: np.ndarray, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Correlations of what the label leaves unexplained."""
         rest = votes - (np.outer(p, self.fires[0]) + np.outer(1 - p, self.fires[1]))
+        rest *= np.sqrt(times)[:, None]
         rest /= np.sqrt((rest**2).sum(axis=0) + 1e-9)
         out = np.maximum(0, rest.T @ rest)
         np.fill_diagonal(out, 0)
@@ -97,14 +99,16 @@ class LabelModel:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1e-2, rounds: int = 12) -> np.ndarray:
-    """Logistic regression on probabilities y by Newton steps; the last coefficient is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Logistic regression on probabilities y by Newton steps; x has a last column of ones, for the intercept."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weights * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
+        h = np.diag(penalty)
+        for at in range(0, len(x), 1024):  # in blocks, so that no second matrix of this size is held
+            part = x[at : at + 1024].astype(float)
+            h += (part * (weights * np.maximum(p * (1 - p), 1e-6))[at : at + 1024, None]).T @ part
         step = np.linalg.solve(h, x.T @ (weights * (p - y)) + penalty * w)
         w -= step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
     return w
@@ -117,7 +121,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     most = ((1, POSITIVES), (0, NEGATIVES))
     picked = [train.where(f"y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in most]
     picked = F.broadcast(picked[0].union(picked[1]))
-    return docs.join(picked, docs["doc_id"] == picked["_id"]).select(F.col("text").cast("string").alias("text"), "y"), rate
+    rows = docs.join(picked, docs["doc_id"] == picked["_id"]).select(F.col("text").cast("string").alias("text"), "y", F.xxhash64("_id", "text").alias("h"))
+    # an id may have any number of rows: as many rows as ids at most, by the hash of id and text, are taken of each label
+    bounded = [rows.where(f"y = {y}").dropDuplicates(["h"]).orderBy("h").limit(n) for y, n in most]
+    return bounded[0].union(bounded[1]).select("text", "y"), rate
 
 
 def pick_marks(sample: DataFrame, most: int = MARKS) -> list[str]:
@@ -174,39 +181,50 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, La
 
     rows = sample.mapInArrow(run, "found array<int>, y int").groupBy("found", "y").agg(F.count("*").alias("n")).collect()  # bounded by the sample
     rows.sort(key=lambda r: (r["y"], r["found"]))
-    x = np.zeros((sum(r["n"] for r in rows), len(marks)), np.float32)
-    y, at = np.zeros(len(x)), 0
-    for r in rows:
-        x[at : at + r["n"], r["found"]] = 1
-        y[at : at + r["n"]] = r["y"]
-        at += r["n"]
-    votes = x[:, :VOTERS]
+    times = np.array([r["n"] for r in rows], float)  # rows of the same marks and label are held once, with their number
+    x = np.zeros((len(rows), len(marks) + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, r["found"]] = 1
+    x[:, -1] = 1
+    y = np.array([r["y"] for r in rows])
+    votes = x[:, : min(VOTERS, len(marks))]
     votes = np.hstack([votes, votes.sum(axis=1, keepdims=True) == 0])  # the last voter: no other has fired
-    model = LabelModel(float(y.mean())).fit(votes, np.where(votes[:, -1] == 0, 0.9, 0.02))
+    share = float(np.average(y, weights=times))
+    model = LabelModel(share).fit(votes, np.where(votes[:, -1] == 0, 0.9, 0.02), times)
     posterior = model.posterior(votes)
-    weights = np.where(y == 1, rate / max(1e-9, y.mean()), (1 - rate) / max(1e-9, 1 - y.mean()))
-    return marks, fit_linear(x.astype(float), posterior, weights), model
+    weights = times * np.where(y == 1, rate / max(1e-9, share), (1 - rate) / max(1e-9, 1 - share))
+    return marks, fit_linear(x, posterior, weights), model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, row: str | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text; further columns are ignored).
+def _scored(packed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Rows of packed (doc, a struct that has doc_id and text) with score and predicted."""
+    marks, w, _ = train(packed.select("doc.doc_id", "doc.text"), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spotter = Spotter(marks)
+        for b in batches:
+            texts = b.column(0).field("text").to_pylist() if b.num_rows else []
+            z = np.array([w[-1] + w[spotter.of(t)].sum() for t in texts])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())], names=["doc", "score"])
+
+    small_batches(packed.sparkSession)
+    schema = StructType([packed.schema["doc"], StructField("score", DoubleType())])
+    return packed.select("doc").mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
-    row names a column of longs of docs that is put before them, to tell rows of the same doc_id apart.
+
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text; further columns are ignored).
 
     labels has doc_id and toxic; only rows whose crc32(doc_id as text) mod 3 is not 1 are learnt from, and where an
     id has several labels the largest counts.  Without labels of both kinds, or without telling marks, every
-    score is that of an empty text.  Null texts count as empty; a null doc_id is not held out.
+    score is that of an empty text.  Null texts count as empty; a null doc_id is not held out; repeated rows are
+    scored each; an empty table gives an empty result.
     """
-    marks, w, _ = train(docs, labels)
-    carried = [row] if row else []
+    doc = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("doc")
+    held_out = F.coalesce(crc_mod("doc.doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return _scored(docs.select(doc), labels, threshold).select("doc.doc_id", held_out, "score", "predicted")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spotter = Spotter(marks)
-        for b in batches:
-            z = np.array([w[-1] + w[spotter.of(t)].sum() for t in b.column(2).to_pylist()])
-            score = pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[3:], b.column(0), b.column(1), score], names=[*carried, "doc_id", "held_out", "score"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"), *carried)
-    return rows.mapInArrow(run, "".join(f"{c} long, " for c in carried) + "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that are not predicted toxic, each judged by its own text, with all their columns."""
+    return _scored(docs.select(F.struct(*docs.columns).alias("doc")), labels, threshold).where("predicted = 0").select("doc.*")

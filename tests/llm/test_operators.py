@@ -14,7 +14,6 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-import corpus_pipeline
 from tessera.llm import archive, bpe, linededup, lm, packing, permutation, quality, simhash, tokencount, toxicity
 from tessera.llm.components import connected_components
 
@@ -94,6 +93,54 @@ def test_quality_rules_reject_three_symbols_in_ten_words(spark):
     assert all(got[i] for i in range(160)) and not any(got[i] for i in range(160, 200))
 
 
+def numpy_mcd(z, steps=6):
+    """Squared distances by the same method on whole sorted half-samples, floors included."""
+    def scatter(c):
+        low = np.zeros_like(c)
+        for j in range(5):
+            low[j, j] = math.sqrt(max(quality.FLOORS[j] ** 2, c[j, j] - (low[j, :j] ** 2).sum()))
+            for i in range(j + 1, 5):
+                low[i, j] = (c[i, j] - low[i, :j] @ low[j, :j]) / low[j, j]
+        return low
+
+    def distances(m, low):
+        y = np.linalg.solve(low, (z - m).T)
+        return (y**2).sum(axis=0)
+
+    def of(part, factor):
+        return part.mean(axis=0), scatter(factor * np.cov(part.T, bias=True))
+
+    best = None
+    med = np.median(np.round(z * 100), axis=0)
+    mad = np.median(np.abs(np.round(z * 100) - med), axis=0)
+    for m, low in ((med / 100, scatter(np.diag((1.4826 * mad / 100) ** 2))), of(z, 1.0)):
+        for _ in range(steps):
+            m, low = of(z[np.argsort(distances(m, low))[: len(z) // 2]], quality.consistency(0.5))
+        det = 2 * np.log(np.diag(low)).sum()
+        if best is None or det < best[0]:
+            best = det, m, low
+    near = distances(*best[1:]) <= quality.chi2_quantile(quality.REWEIGHT, 5)
+    return distances(*of(z[near], quality.consistency(quality.REWEIGHT)))
+
+
+def test_robust_distances_against_numpy(spark):
+    rows = spark.createDataFrame(symbol_rows(400, 100, 4), "doc_id long, text string, lang string, source string")
+    stats = quality.transformed(quality.base_statistics(rows)).orderBy("doc_id").collect()
+    want = numpy_mcd(np.array([[r[n] / quality.SCALE for n in quality.NAMES] for r in stats]))
+    got = {r["doc_id"]: r for r in quality.quality_rules(rows).collect()}
+    d2 = np.array([got[r["doc_id"]]["d2"] for r in stats])
+    cutoff = quality.chi2_quantile(1 - quality.TAIL, 5)
+    assert np.corrcoef(np.log1p(d2), np.log1p(want))[0, 1] > 0.99
+    assert [got[r["doc_id"]]["kept"] for r in stats] == [x <= cutoff for x in want]
+
+
+def test_small_groups_are_pooled(spark):
+    rows = [(i, t, "en" if i < 150 else "fr", f"s{i % 3}") for i, t, *_ in symbol_rows(220, 0, 0)]
+    rows += [(300 + i, t, "de", "big") for i, t, *_ in symbol_rows(120, 0, 0)]
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {(r["doc_id"] < 150, r["doc_id"] >= 300, r["mcd_group"]) for r in got} == {(True, False, "language"), (False, False, "all"), (False, True, "language and source")}
+
+
 def test_fingerprints_and_links(spark, odd, documents, empty):
     assert simhash.fingerprint(b"A b", 3) == xxhash.xxh64_intdigest(b"a b", 42)
     for docs in (odd, documents):
@@ -146,32 +193,44 @@ def test_deduplicate(spark, odd, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
-def halves_apart():
-    """120 long texts in 60 pairs, the similarity of a pair's five-word shingles being from about 0.77 to 0.83."""
+def near_copies():
+    """Originals with copies of a few replaced words, so that the similarity lies on both sides of 0.8; all distinct."""
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
     texts = []
-    for k in range(60):
-        one = [word() for _ in range(1000)]
-        new = 85 + k % 30 * 2 // 3 * 2
-        texts += [" ".join(one), " ".join(one[:300] + [word() for _ in range(new)] + one[300 + new :])]
-    return texts
-
-
-def test_similarity_of_long_texts_is_exact(spark):
-    texts = halves_apart()
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(996)} for t in texts]
-    profiles = [simhash.profile(t.encode(), 5) for t in texts]
-    want, wrong = set(), 0
-    for i in range(0, 120, 2):
-        (f, s, x), (g, t, y) = profiles[i], profiles[i + 1]
-        if any(p == q for p, q in zip(s, t, strict=True)) or (f ^ g).bit_count() <= 3:
-            exact = len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) >= 0.8
-            wrong += exact != (simhash.similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= 0.8)
-            want |= {(i, i + 1)} if exact else set()
-    assert want and wrong  # the least hashes alone misjudge some
-    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
-    assert {tuple(sorted(r)) for r in simhash.similar_links(docs)[1].collect()} == want
+    for k in range(12):
+        one = [word() for _ in range(rng.choice([12, 60, 400]))]
+        texts.append(" ".join(one))
+        for _ in range(rng.randint(1, 12)):
+            copy = [word() if rng.random() < 0.004 * k else w for w in one]
+            texts.append(" ".join(copy))
+    return sorted(set(texts))
+
+
+def linked_parts(texts, least=0.8):
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    part = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= least * math.sqrt(len(a) * len(sets[j])) - 1e-9 and part[i] != part[j]:
+                old, new = max(part[i], part[j]), min(part[i], part[j])
+                part = [new if p == old else p for p in part]
+    return part
+
+
+def test_closure():
+    texts = near_copies()
+    root = simhash.closure([simhash.shingle_set(t.encode(), 5) for t in texts], 0.8)
+    assert root.tolist() == linked_parts(texts) and len({*root.tolist()}) > 20
+    assert len(simhash.closure([], 0.8)) == 0
+
+
+@pytest.mark.parametrize("rows_a_task", [4096, 4])
+def test_near_copies_against_brute_force(spark, monkeypatch, rows_a_task):
+    monkeypatch.setattr(simhash, "CLUSTER_ROWS", rows_a_task)
+    texts = near_copies()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.deduplicate(docs).collect()} == {*linked_parts(texts)}
 
 
 def test_components(spark):
@@ -246,18 +305,6 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0 and toxicity.toxicity(odd, labels.where("false")).where("predicted = 1").count() == 0
 
 
-@pytest.mark.parametrize("same_id", [None, 7])
-def test_pipeline_judges_rows_not_ids(spark, monkeypatch, same_id):
-    texts = [f"plain words number {i} of many in this clean little text" for i in range(20)] + ["short", "an awfulword among the other words of this little text"]
-    docs = spark.createDataFrame([(same_id, t, "en", "s") for t in texts], "doc_id long, text string, lang string, source string")
-    monkeypatch.setattr(toxicity, "train", lambda docs, labels: (["awfulword"], np.array([10.0, -5.0]), None))
-    out = corpus_pipeline.toxicity_stage(spark, docs, SF)
-    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(texts[:21])
-    monkeypatch.setattr(quality, "mcd_distances", lambda stats: stats.withColumn("d2", F.lit(0.0)))
-    out = corpus_pipeline.quality_stage(spark, docs, SF)
-    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == sorted(texts[:20] + texts[21:])
-
-
 def test_archives(spark):
     long = "<p>é</p>" * 300
     rows = [(1, "http://a/ b", long), (7, None, long), (3, "http://c", long), (4, "u", None), (5, "u", "x"), (6, "u", "x")]
