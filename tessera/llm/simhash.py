@@ -10,6 +10,8 @@ shard the same recursion goes on over the shard's own rows.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import materialize, small_batches, unused
 from .components import connected_components
 
 SEED = 42
@@ -29,10 +31,10 @@ BLOCK = 1 << 16
 SAMPLE, LEAF, MAX_LEAVES = 16_384, 2_048, 1_024
 #: Rows of a shard that are compared at a time, each with each.
 BRUTE = 512
-#: Samples of the words of a text, words of a sample, shingle hashes kept to estimate a similarity.
-SAMPLES, SAMPLED, LEAST = 6, 6, 256
-#: Distance from the least similarity up to which an estimate is not trusted: six standard errors of LEAST hashes.
-MARGIN = 0.15
+#: Samples of the words of a text, words of a sample.
+SAMPLES, SAMPLED = 6, 6
+#: Rows and shingles of candidates that one task compares; larger clusters are compared by pairs of blocks.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 4_096, 2_000_000
 
 
 def fingerprint(text: bytes | None, size: int) -> int:
@@ -192,124 +194,143 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 3) -> DataFrame:
     return rows.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def profile(text: bytes | None, size: int) -> tuple[int, list[int], bytes]:
-    """SimHash of the shingles; SimHashes of small samples of the words; the least shingle hashes (32 bits).
+def profile(text: bytes | None, size: int) -> tuple[int, list[int], int]:
+    """SimHash of the shingles; SimHashes of small samples of the words; the number of shingles.
 
     Each sample holds the SAMPLED words that are least under another mixing of their hashes: near copies
     have most samples in common, however long they are.
     """
     words = text.lower().split() if text else []
-    total = max(1, len(words) - size + 1)
-    ones, least = np.zeros(64, np.int64), np.zeros(0, np.uint32)
-    for at in range(0, total, BLOCK):
-        part = words[at : at + BLOCK + size - 1]
-        n = max(1, len(part) - size + 1)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(part[i : i + size]), SEED) for i in range(n)), np.uint64, n)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        least = np.unique(np.concatenate([least, (hashes >> np.uint64(32)).astype(np.uint32)]))[:LEAST]
     own = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
     samples = []
     for k in range(SAMPLES):
         mixed = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
         mixed ^= mixed >> np.uint64(32)
-        few = np.sort(mixed)[:SAMPLED]
+        few = np.sort(np.partition(mixed, SAMPLED)[:SAMPLED]) if len(mixed) > SAMPLED else np.sort(mixed)
         bits = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
         samples.append(int(np.packbits(2 * bits > len(few), bitorder="little").view(np.int64)[0]))
-    full = int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
-    return full, samples, least.tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from the least hashes of two sets: exact up to LEAST hashes in all, else an estimate."""
-    both = np.union1d(a, b)[:LEAST]
-    return float(np.mean(np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True))) if len(both) else 1.0
+    full = int(np.uint64(fingerprint(text, size)).view(np.int64))
+    return full, samples, max(1, len(words) - size + 1)
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     """All distinct shingle hashes of a text (64 bits)."""
     words = text.lower().split() if text else []
     n = max(1, len(words) - size + 1)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + size]), SEED) for i in range(n)), np.uint64, n))
 
 
-def verdict(a: np.ndarray, b: np.ndarray, least_similarity: float) -> bool | None:
-    """Whether two sets are similar, from their least hashes; None if that is an estimate near the threshold."""
-    s = similarity(a, b)
-    whole = max(len(a), len(b)) < LEAST and len(np.union1d(a, b)) <= LEAST
-    return s >= least_similarity if whole or abs(s - least_similarity) > MARGIN else None
+def closure(sets: list[np.ndarray], least_similarity: float) -> np.ndarray:
+    """The root of each set under the closure of all pairs of at least that cosine similarity; exact.
 
-
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, least_similarity: float) -> DataFrame:
-    """The pairs (a, b) of rows of docs whose whole shingle sets have at least that similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(b.num_rows):
-                hashes = shingle_set(b.column(1).slice(at, 1).cast(pa.large_binary())[0].as_py(), size)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 1), pa.array([hashes], pa.list_(pa.int64()))], names=["row", "hashes"])
-
-    asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(asked, "row", "left_semi").select("row", "text").mapInArrow(run, "row long, hashes array<bigint>"), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    counted = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
-    return counted.where(F.col("common") / (F.col("sizes") - F.col("common")) >= least_similarity).select("a", "b")
+    Breadth first: a set that has been reached is compared at once with all that have not, by a table of its members.
+    Sets that have been reached are taken out when they are half of those held.
+    """
+    size = np.array([len(s) for s in sets])
+    members = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    root, waiting = np.arange(len(sets)), np.ones(len(sets), bool)
+    table = np.zeros(int(members.max()) + 1 if len(members) else 0, bool)
+    held, flat, starts = np.arange(len(sets)), members, at[:-1]
+    left = len(sets)
+    for first in range(len(sets)):
+        if not waiting[first]:
+            continue
+        waiting[first], left, reached = False, left - 1, [first]
+        while reached and left:
+            if 2 * left <= len(held):
+                flat, held = flat[np.repeat(waiting[held], size[held])], held[waiting[held]]
+                starts = np.concatenate([[0], np.cumsum(size[held])])[:-1]
+            one = reached.pop()
+            table[members[at[one] : at[one + 1]]] = True
+            alike = np.add.reduceat(table[flat], starts, dtype=np.int64) / np.sqrt(size[held] * float(size[one]))
+            table[members[at[one] : at[one + 1]]] = False
+            new = (alike >= least_similarity - 1e-12) & waiting[held]
+            found = held[new][np.argsort(alike[new], kind="stable")]  # the most similar goes next
+            waiting[found], root[found], left = False, first, left - len(found)
+            reached.extend(found.tolist())
+    return root
+
+
+def candidates(rows: DataFrame, most: int) -> DataFrame:
+    """(a, b): links by which rows (row, full, samples) of the same sample or of near fingerprints are connected."""
+    keys = rows.select("row", F.posexplode("samples").alias("kind", "fp")).union(rows.select("row", F.lit(-1).alias("kind"), F.col("full").alias("fp")))
+    ends = keys.groupBy("kind", "fp").agg(F.min("row").alias("b"), F.max("row").alias("high")).where("b <> high").drop("high")
+    starred = keys.join(ends, ["kind", "fp"]).select(F.col("row").alias("a"), "b").where("a <> b")
+    reps = rows.groupBy(F.col("full").alias("fp")).agg(F.min("row").alias("rep"))
+    near = hamming_links(rows.select(F.col("full").alias("fp")), most)
+    near = near.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return starred.union(near)
 
 
 def similar_links(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id) of the rows of docs (row, doc_id, text), and their links (a, b).
+    """Rows of docs (row, doc_id, text) with rep, the least row of equal text, and the links (a, b) among reps.
 
-    Rows are paired if their SimHashes differ in at most most bits or a sample's SimHash is the same, each row of
-    such a class with one that stands for it; pairs below the similarity of their shingles are dropped.  The least
-    hashes decide where they are the whole sets or far from the threshold; else the whole sets are compared.
-    Equal texts are linked without comparing them, and so are texts without a word.
+    Candidates are rows whose SimHashes differ in at most most bits or that share a sample's SimHash, and all that are
+    so connected form a cluster.  Within a cluster the sets of shingles are compared whole: (a, b) gives the closure of
+    all its pairs whose cosine similarity, which is what SimHashes estimate, is large enough.  A cluster with more
+    than CLUSTER_ROWS rows or CLUSTER_SHINGLES shingles is dealt into blocks and compared by pairs of blocks, so
+    that no task holds more.  Texts without a word have one rep, and no links.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}
         for b in batches:
-            full, samples, least = zip(*[profile(t, size) for t in b.column(1).cast(pa.large_binary()).to_pylist()], strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(full, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(least, pa.binary())], names=["row", "full", "samples", "least"])
-
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    same = materialize(docs.select("row", "doc_id", F.when(worded, F.sha2("text", 256)).otherwise("").alias("sha")), "texts")
-    firsts = same.groupBy("sha").agg(F.min("row").alias("rep"))
-    equal = same.join(firsts, "sha").where("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    one_each = docs.where(worded).join(firsts.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "text")
-    rows = materialize(one_each.mapInArrow(run, "row long, full long, samples array<bigint>, least binary"), "profiles")
-    # classes: rows with the same sample, or the same SimHash; each row is paired with the first or last of its class
-    keys = rows.select("row", F.posexplode("samples").alias("kind", "fp")).union(rows.select("row", F.lit(-1).alias("kind"), F.col("full").alias("fp")))
-    ends = keys.groupBy("kind", "fp").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high")
-    centre = F.when(F.pmod("kind", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high"))
-    starred = keys.join(ends, ["kind", "fp"]).select(F.col("row").alias("a"), centre.alias("b"))
-    reps = rows.groupBy(F.col("full").alias("fp")).agg(F.min("row").alias("rep"))
-    near = hamming_links(rows.select(F.col("full").alias("fp")), most)
-    near = near.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    pairs = starred.union(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            out = []
+            for t in b.column(2).cast(pa.large_binary()).to_pylist():
+                sha = hashlib.sha256(t).digest() if t and t.split() else b""
+                if sha not in seen:
+                    seen = {} if len(seen) > 4096 else seen
+                    seen[sha] = (sha, *profile(t, size)) if sha else (sha, 0, [], 0)
+                out.append(seen[sha])
+            sha, full, samples, n = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(sha, pa.binary()), pa.array(full, pa.int64()), pa.array(samples, pa.list_(pa.int64())), pa.array(n, pa.int64())], names=["row", "doc_id", "sha", "full", "samples", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [[np.frombuffer(x, np.uint32) for x in b.column(i).to_pylist()] for i in (2, 3)]
-            good = pa.array([verdict(x, y, least_similarity) for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), good], names=["a", "b", "good"])
-
-    held = rows.select("row", "least")
-    both = pairs.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    judged = materialize(both.mapInArrow(compare, "a long, b long, good boolean").where("good OR good IS NULL"), "judged")
-    verified = _verified(one_each, judged.where("good IS NULL").select("a", "b"), size, least_similarity)
-    return same.select("row", "doc_id"), judged.where("good").select("a", "b").union(verified).union(equal)
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in rows.groupby("cluster", sort=False):
+            ids = part["row"].to_numpy()
+            root = closure([shingle_set(t.encode(), size) for t in part["text"]], least_similarity)
+            linked = root != np.arange(len(ids))
+            out.append(pd.DataFrame({"a": ids[linked], "b": ids[root[linked]]}))
+        return pd.concat(out)
+
+    texts = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    profiles = materialize(texts.mapInArrow(run, "row long, doc_id long, sha binary, full long, samples array<bigint>, shingles long"), "profiles")
+    firsts = profiles.groupBy("sha").agg(F.min("row").alias("rep"))
+    same = materialize(profiles.select("row", "doc_id", "sha").join(firsts, "sha").select("row", "doc_id", "rep"), "texts")
+    reps = same.where("row = rep").select("row")
+    rows = materialize(profiles.where("shingles > 0").join(reps, "row", "left_semi").select("row", "full", "samples", "shingles"), "reps")
+    clusters = connected_components(candidates(rows, most)).select(F.col("node").alias("row"), F.col("component").alias("cluster"))
+    held = materialize(rows.select("row", "shingles").join(clusters, "row"), "clusters")
+    sizes = held.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("shingles").alias("s"))
+    blocks = F.ceil(F.greatest(F.col("n") / CLUSTER_ROWS, F.col("s") / CLUSTER_SHINGLES)).cast("int")
+    sizes = materialize(sizes.select("cluster", "s", blocks.alias("blocks")), "cluster-sizes")
+    total = sizes.where("blocks = 1").agg(F.sum("s")).first()[0] or 0
+    bins = max(1, math.ceil(total / CLUSTER_SHINGLES))
+    sized = held.join(sizes.drop("s"), "cluster").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("blocks")))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("mine"))
+    pairs = F.transform(others, lambda i: F.struct(F.col("cluster").alias("c"), F.least("mine", i).cast("long").alias("i"), F.greatest("mine", i).cast("long").alias("j")))
+    pooled = F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(bins)).alias("c"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j")))
+    dealt = materialize(sized.select("row", "cluster", F.explode(F.when(F.col("blocks") == 1, pooled).otherwise(pairs)).alias("shard")), "dealt")
+    links = texts.select("row", "text").join(dealt, "row").groupBy("shard").applyInPandas(link, "a long, b long")
+    return same, materialize(links.distinct(), "links")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, most: int = 3, least_similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id (nulls last); the columns stay.
 
-    Near copies have at least that similarity of their shingles of size words.  Null and empty texts and those
-    without a word form one group; a text of fewer words than size is one shingle.
+    Near copies have at least that cosine similarity of their shingles of size words.  Null and empty texts and those
+    without a word form one group; a text of fewer words than size is one shingle.  Repeated rows are copies; ties of
+    doc_id go to the earlier row; an empty table gives an empty result.
     """
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    ids, links = similar_links(rows.select(F.col("_row").alias("row"), "doc_id", "text"), size, most, least_similarity)
-    parts = materialize(connected_components(links).join(ids.withColumnRenamed("row", "node"), "node"), "groups")
-    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("node"))
-    stays = parts.groupBy("component").agg(F.min(place).alias("first"))
-    gone = parts.join(stays, "component").where("node <> first.node").select(F.col("node").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    own = unused(docs.columns, "_row")
+    rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "documents")
+    same, links = similar_links(rows.select(F.col(own).alias("row"), "doc_id", "text"), size, most, least_similarity)
+    parts = connected_components(links).withColumnRenamed("node", "rep")
+    grouped = materialize(same.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("row"))
+    stays = grouped.groupBy("component").agg(F.min(place).alias("first"))
+    gone = materialize(grouped.join(stays, "component").where("row <> first.row").select(F.col("row").alias(own)), "gone")
+    return rows.join(gone, own, "left_anti").drop(own)
