@@ -10,6 +10,7 @@ by bucket and source, so that no bucket waits for another.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from .common import materialize, small_batches
 LENGTH, WINDOW, BUCKET, BLOCK = 1024, 16, 1_000_000, 4_096
 
 _ENCODERS: dict = {}
+_LONG_BLANK = re.compile(r"\s{10000}").search
 
 
 def encoder(path: str):
@@ -40,7 +42,9 @@ def encoder(path: str):
         else:
             ranks = {t: i for i, t in bpe.bytes_of.items() if i not in bpe.special.values()}
             lib = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=bpe.special)
-            _ENCODERS[path] = lambda text: lib.encode_to_numpy(text, allowed_special="all")
+            # that library's pattern backtracks on each blank of a run, and fails on very long ones
+            own = lambda text: np.array(bpe.encode(text), np.uint32)
+            _ENCODERS[path] = lambda text: own(text) if _LONG_BLANK(text) else lib.encode_to_numpy(text, allowed_special="all")
     return _ENCODERS[path]
 
 
