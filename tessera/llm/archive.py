@@ -22,6 +22,8 @@ from .common import materialize, shared_dir, small_batches
 
 #: Payload bytes from which equal payloads are stored once; bytes of an archive file, about.
 REVISIT_FROM, FILE_BYTES = 1_000, 16_000_000
+#: Records of an ARC file at most.
+FILE_RECORDS = 2_048
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the published name space of URLs
 END = "\r\n\r\n"
 #: Fields of an URL record, by version.
@@ -141,26 +143,31 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
     """pages (page_id, url, html) as ARC files, by turns of versions 1 and 2; a null html has an empty body.
 
-    The page's id is kept in a field of the archived HTTP head.  Each task writes one file.
+    The page's id is kept in a field of the archived HTTP head.  A file holds FILE_RECORDS records at most, its version
+    block among them; each task begins a new one.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        version, name = 1 + part % 2, f"part-{part:05d}.arc"
-        out, offset = [arc_version_block(version, name, date)], 0
+        version, written = 1 + part % 2, 0
+        out, offset = [], 0
         for b in batches:
             for page, url, html in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 body = html or ""
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body.encode())}\r\n" + ("" if page is None else f"X-Page-Id: {page}\r\n") + "\r\n"
+                if written % FILE_RECORDS == 0:
+                    name, offset = f"part-{part:05d}-{written // FILE_RECORDS:05d}.arc", 0
+                    out.append(arc_version_block(version, name, date))
+                    written += 1
                 out.append(arc_record(version, name, offset, url, date, "text/html", head + body))
-                offset += 1
+                offset, written = offset + 1, written + 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
             out = []
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def plain(data: bytes) -> bytes:
