@@ -65,16 +65,19 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
 
     vectors has vec_id and embedding; queries likewise, by default the rows whose vec_id is divisible by every.
     A query is no candidate of its own.  Vectors that are null, zero or hold null or non-finite components,
-    and null ids, take no part; the vectors must have one length.  Repeated rows count once.
+    and null ids, take no part, nor do those of another length than that of the smallest vec_id.  Repeated rows count
+    once; of different vectors of one id the least, component by component, counts.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     rows = usable(vectors)
     asked = usable(queries) if queries is not None else rows.where(F.col("vec_id") % every == 0)
-    asked = asked.dropDuplicates(["vec_id"])
+    lengths = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0]
+    one_each = lambda d: d.where(F.size("v") == F.lit(lengths)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows, asked = one_each(rows), one_each(asked)
     # equal vectors once, with their k + 1 smallest ids (the query itself may be among them)
     same = W.partitionBy("v").orderBy("vec_id")
-    few = rows.dropDuplicates(["vec_id"]).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
+    few = rows.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
     classes = materialize(few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("vec_id", F.col("ids")[0]), "vectors")
     n, longest = classes.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:

@@ -438,3 +438,33 @@ def test_katz(spark, odd, documents, empty):
         assert r["score"] == pytest.approx(score, abs=1e-6) and r["base_score"] == pytest.approx(base_score, abs=1e-6)
     assert lm.katz_scores(odd).count() == len(ODD) + 1
     assert lm.katz_scores(empty).count() == 0
+
+
+def test_packing_takes_long_blanks():
+    text = "a" + " " * 1_000_000 + "b\n" * 20_000 + "\n" * 20_000
+    tokenizer = Tokenizer.from_file(BYTE_BPE)
+    assert packing.encoder(BYTE_BPE)(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_archives_are_rolled(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(archive, "FILE_RECORDS", 4)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "é" * i) for i in range(23)], "page_id long, url string, html string").coalesce(1)
+    archive.write_arc(pages, str(tmp_path / "arc"))
+    assert len([*(tmp_path / "arc").glob("part-*")]) == 8  # three pages a file, after its version block
+    got = archive.archive_round_trip(pages).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(i, 3 + 2 * i, "response") for i in range(23)]
+
+
+def test_search_with_conflicting_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 2.0, 3.0])]
+    got = permutation.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == [(0, 1, 2, 1.0), (0, 2, 1, 0.5)]
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 7)
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    sample, _ = toxicity._sample(docs, labels)
+    assert sample.where("y = 1").count() <= 5 and sample.where("y = 0").count() <= 7
