@@ -61,23 +61,30 @@ def objective_answer(text: Column) -> Column:
 
 
 #: Patterns of a problem number, by priority; the number is in the first group.
-NUMBER_PATTERNS = (r"문항\s*(\d{1,3})", r"(?<![A-Za-z0-9])(\d{1,2})\s*번(?![A-Za-z0-9])", r"(?m)^\s*\[(\d{1,2})\]", r"(?m)^\s*(\d{1,2})\)", r"(?m)^\s*(\d{1,2})\.(?!\d)")
+NUMBER_PATTERNS = (
+    r"\[(?:문항|해설)\s*(\d{1,3})\]",
+    r"\*\*\s*(\d{1,3})\s*[.)]\s*\*\*",
+    r"(?:예제|유형|문제|문항)\s*(\d{1,3})(?:[^A-Za-z0-9_]|$)",
+    r"^\s*(\d{1,2})\s*[.)]\s+[가-힣$(\\\[°∀-⋿]",
+    r"(?:^|[^A-Za-z0-9_])(\d{1,2})\s*번(?:[^A-Za-z0-9_]|$)",
+)
 
 
 def problem_number(text: Column, within: int = 250, highest: int = 99) -> Column:
-    """The number by the first pattern that gives one from 1 to highest in the beginning of the text."""
-    head = F.substring(text, 1, within)
+    """The number by the first pattern whose first match is from 1 to highest, in the beginning of the squeezed text."""
+    head = F.trim(F.substring(F.regexp_replace(text, BLANK + "+", " "), 1, within))
     found = [F.regexp_extract(head, p, 1).try_cast("int") for p in NUMBER_PATTERNS]
     return F.coalesce(*[F.when((n >= 1) & (n <= highest), n) for n in found])
 
 
 def page_numbers(ranges: Column, last: int) -> Column:
-    """Pages of '1,3-5': ranges may be reversed, pages beyond 1..last are left out, each page once, in order."""
-    parts = F.filter(F.transform(F.split(ranges, ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$"))
+    """Pages of '1,3-5 7~9': commas and blanks part them, - ~ and – span them, either way round; each page within 1..last once, in order."""
+    plain = F.regexp_replace(ranges, "[~–]", "-")
+    parts = F.filter(F.split(plain, r"[,\s]+"), lambda p: p.rlike(r"^\d+(-\d+)?$"))
 
     def pages(p: Column) -> Column:
-        a = F.regexp_extract(p, r"^(\d+)", 1).cast("int")
-        b = F.regexp_extract(p, r"(\d+)$", 1).cast("int")
+        a = F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
+        b = F.regexp_extract(p, r"(\d+)$", 1).try_cast("int")
         low, high = F.greatest(F.least(a, b), F.lit(1)), F.least(F.greatest(a, b), F.lit(last))
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 

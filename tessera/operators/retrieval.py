@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import jaccard
-
 
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, token, tf)."""
@@ -41,19 +39,41 @@ def top_k(queries: DataFrame, docs: DataFrame, query_key: str, key: str, tokens:
     return scored.where("score > 0").withColumn("rank", r).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
 
 
-def similar_pairs(rows: DataFrame, owner: str, key: str, tokens: str, least: float) -> DataFrame:
-    """(owner, a, b): pairs of keys of one owner whose token sets have at least that Jaccard similarity.
+def similar_pairs(rows: DataFrame, owner: str, key: str, tokens: str, least: float, long: int | None = None, least_long: float | None = None, contained: float | None = None) -> DataFrame:
+    """(owner, a, b): pairs of keys of one owner whose token sets are alike.
+
+    Alike are sets with a Jaccard similarity of at least least, or least_long if both have long tokens or more; with
+    contained, also sets of which the smaller lies in the larger by at least that share.
 
-    By prefix filtering: sets that similar share one of the first |x| - ceil(least * |x|) + 1 tokens in any
-    fixed order, so only rows that meet in such a token are compared.
+    By prefix filtering: alike sets share one of the first |x| - ceil(t * |x|) + 1 tokens in a fixed order, t being the
+    share of |x| that they have in common at least; with contained, only the smaller has to have it among its first.
+    Rare tokens come first, so few rows meet in one; the postings hold keys and sizes only, and the sets are joined to
+    the distinct pairs that meet.
     """
-    sets = rows.select(owner, key, F.array_sort(F.array_distinct(tokens)).alias("set")).where(F.size("set") > 0)
-    prefix = F.slice("set", F.lit(1), F.size("set") - F.ceil(F.lit(least) * F.size("set")).cast("int") + 1)
-    posted = sets.withColumn("token", F.explode(prefix))
-    a, b = posted.select(owner, "token", F.col(key).alias("a"), F.col("set").alias("x")), posted.select(owner, "token", F.col(key).alias("b"), F.col("set").alias("y"))
-    size = F.size("x") / F.size("y")
-    met = a.join(b, [owner, "token"]).where((F.col("a") < F.col("b")) & (size >= least) & (size <= 1 / least))
-    return met.dropDuplicates([owner, "a", "b"]).where(jaccard(F.col("x"), F.col("y")) >= least).select(owner, "a", "b")
+    sets = rows.select(owner, key, F.array_distinct(tokens).alias("set")).where(F.size("set") > 0)
+    share = min(least, least_long if least_long is not None else least, contained if contained is not None else least)
+    # hashes of tokens in the order of their number of rows, the rarest first
+    spread = sets.select(owner, key, F.size("set").alias("n"), F.explode("set").alias("token")).withColumn("token", F.xxhash64("token"))
+    counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    placed = spread.join(counts, "token").groupBy(owner, key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    # tokens of one row only meet nobody; they take the first places of the prefix
+    single = F.col("n") - F.size("order")
+    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(share) * F.col("n")).cast("int") + 1 - single)
+    posted = placed.select(owner, key, "n", F.explode(F.transform(F.slice("order", F.lit(1), keep), lambda x: x["token"])).alias("token"))
+    stored = posted if contained is None else placed.select(owner, key, "n", F.explode(F.transform("order", lambda x: x["token"])).alias("token"))
+    a, b = posted.select(owner, "token", F.col(key).alias("p"), F.col("n").alias("m")), stored.select(owner, "token", F.col(key).alias("q"), "n")
+    met = a.hint("merge").join(b, [owner, "token"]).where("m < n OR (m = n AND p < q)")
+    if contained is None:
+        met = met.where(F.col("m") >= share * F.col("n"))
+    pairs = met.select(owner, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col(key).alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    sizes = both.select(owner, "a", "b", common.alias("c"), F.size("x").alias("m"), F.size("y").alias("n"))
+    wanted = F.lit(least) if least_long is None else F.when(F.least("m", "n") >= long, least_long).otherwise(least)
+    alike = F.col("c") >= wanted * (F.col("m") + F.col("n") - F.col("c"))
+    if contained is not None:
+        alike |= F.col("c") >= contained * F.least("m", "n")
+    return sizes.where(alike).select(owner, "a", "b")
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:

@@ -14,11 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Reader:
+    """read(name) gives a table of the folder; read.spark is the session."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+
 def query(sql: str | None = None):
-    """Register a function of (read, ) under its name; read(name) gives a table."""
+    """Register a function of a Reader under its name."""
 
     def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Reader(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
@@ -28,4 +38,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import choices, corpus, ordered, quality, records, usage  # noqa: F401
+    from . import analysis, choices, corpus, documents, gates, ordered, pairing, quality, records, usage  # noqa: F401
