@@ -155,7 +155,7 @@ def target_precedence(read):
     return marked.join(F.broadcast(best), F.col("level") == F.col("best")).select(by.alias("by"), "s_suppkey")
 
 
-@query("""SELECT o_orderstatus, o_orderkey, r FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 999 END, o_orderdate DESC, o_orderkey) AS r FROM (SELECT * FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 999 END, o_orderdate DESC, o_orderkey LIMIT 50))""")
+@query("""SELECT o_orderstatus, o_orderkey, CAST(r AS INTEGER) AS r FROM (SELECT o_orderstatus, o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 999 END, o_orderdate DESC, o_orderkey) AS r FROM (SELECT * FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'F' THEN 1 ELSE 999 END, o_orderdate DESC, o_orderkey LIMIT 50))""")
 def listed_by_status(read):
     """The first fifty by a list of statuses, then the newest; unknown statuses last."""
     rank = F.when(F.col("o_orderstatus") == "P", 0).when(F.col("o_orderstatus") == "F", 1).otherwise(999)
@@ -164,13 +164,13 @@ def listed_by_status(read):
     return top.withColumn("r", F.row_number().over(W.orderBy(*order))).select("o_orderstatus", "o_orderkey", "r")  # fifty rows
 
 
-@query("""SELECT p_partkey, r FROM (SELECT p_partkey, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(p_name, '^[0-9]+') AS INTEGER), 0), p_name DESC, p_partkey) AS r FROM part) WHERE r <= 25""")
+@query("""SELECT p_partkey, CAST(r AS INTEGER) AS r FROM (SELECT p_partkey, row_number() OVER (ORDER BY coalesce(TRY_CAST(regexp_extract(p_name, '^[0-9]+') AS INTEGER), 0), p_name DESC, p_partkey) AS r FROM part) WHERE r <= 25""")
 def numeric_then_name(read):
     order = [F.coalesce(F.regexp_extract("p_name", "^[0-9]+", 0).try_cast("int"), F.lit(0)), F.desc("p_name"), F.col("p_partkey")]
     return read("part").orderBy(*order).limit(25).withColumn("r", F.row_number().over(W.orderBy(*order))).select("p_partkey", "r")
 
 
-@query("SELECT c_custkey, r FROM (SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END, c_acctbal, c_custkey) AS r FROM customer) WHERE r <= 40")
+@query("SELECT c_custkey, CAST(r AS INTEGER) AS r FROM (SELECT c_custkey, row_number() OVER (ORDER BY CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END, c_acctbal, c_custkey) AS r FROM customer) WHERE r <= 40")
 def sentinel_last(read):
     order = [F.when(F.col("c_acctbal") < 0, 1).otherwise(0), F.col("c_acctbal"), F.col("c_custkey")]
     return read("customer").orderBy(*order).limit(40).withColumn("r", F.row_number().over(W.orderBy(*order))).select("c_custkey", "r")

@@ -95,7 +95,7 @@ def paths(read):
     return read("pages").select("page_id", F.filter(F.split(F.regexp_replace("url", "^[a-z]+://", ""), "/"), lambda x: x != "").alias("p"))
 
 
-@query(f"SELECT len(p) AS depth, count(*) AS n, count(DISTINCT p[1]) AS roots, count(*) FILTER (len(p) < 2) AS shallow, count(*) FILTER (len(p) > 4) AS deep FROM ({PATHS}) GROUP BY 1")
+@query(f"SELECT CAST(len(p) AS INTEGER) AS depth, count(*) AS n, count(DISTINCT p[1]) AS roots, count(*) FILTER (len(p) < 2) AS shallow, count(*) FILTER (len(p) > 4) AS deep FROM ({PATHS}) GROUP BY 1")
 def tree_audit(read):
     """Files by depth, with the roots that they lie in."""
     size = F.size("p")

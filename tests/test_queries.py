@@ -79,6 +79,22 @@ def test_rate_cap(spark):
             assert passed == (n <= 2)
 
 
+def test_packed_paragraphs(spark):
+    chunks = defaultdict(dict)
+    for r in registry.QUERIES["packed_paragraphs"](spark, SF).collect():
+        chunks[r["doc_id"]][r["at"]] = r["chunk"]
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        want, held = [], ""
+        for p in (x for x in r["text"].strip(" ").replace("\n", "\n\n").split("\n\n") if x.strip(" ")):
+            if held and len(held) + 2 + len(p) > 1500:
+                want, held = [*want, held.strip(" ")], p
+            else:
+                held = f"{held}\n\n{p}" if held else p
+        want += [held.strip(" ")] if held.strip(" ") else []
+        got = chunks[r["doc_id"]]
+        assert [got[i] for i in range(len(got))] == want
+
+
 def test_subsequences(spark):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").collect()
     lines = defaultdict(list)
