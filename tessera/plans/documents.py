@@ -98,12 +98,12 @@ def exam_names(read):
     return fixture(read, NAMES, "t string").select("t", E.valid_exam_name(F.col("t")).alias("valid"), E.safe_name(F.col("t")).alias("safe"))
 
 
-SIGNS = [("₩frac{1}{2}", r"\frac{1}{2}"), ("＄x＄ ￦sqrt2", r"$x$ \sqrt2"), ("#wfrac12 #logx #log x", r"\frac12 #logx \log x"), (r"a\cdot b \cdots", r"a\times b \cdots")]
+SIGNS = [("₩frac{1}{2}", r"\frac{1}{2}"), ("＄x＄ ￦sqrt2", r"$x$ \sqrt2"), ("#wfrac{1}2 #logx #log x", r"\frac{1}2 #logx \log x"), (r"a\cdot b \cdots", r"a\times b \cdots")]
 
 
-@query(stated(SIGNS[:2] + SIGNS[3:], "before, after"))
+@query(stated(SIGNS, "before, after"))
 def normalised_signs(read):
-    return fixture(read, [(b,) for b, _ in SIGNS[:2] + SIGNS[3:]], "before string").select("before", E.source_normalised(F.col("before")).alias("after"))
+    return fixture(read, [(b,) for b, _ in SIGNS], "before string").select("before", E.source_normalised(F.col("before")).alias("after"))
 
 
 LOOSE = [("이것은 답이다. 따라서 끝이다.", "이것은 답이다.\n따라서 끝이다."), ("값은 3. 이제부터 한다", "값은 3.\n이제부터 한다"), ("식이 되고 그러므로 참", "식이 되고\n그러므로 참"), ("a\n\n\n\nb", "a\n\nb"), ("3.14 이다", "3.14 이다")]
