@@ -6,7 +6,9 @@ reranked by the inner product in double precision.  Vectors of different lengths
 more component, so that the nearest on it are those of largest inner product.
 
 Equal vectors are indexed once, with their smallest ids: no more than that many of them can be among
-the nearest, as ties go to smaller ids.  Long postings are split, and each part is visited by all its queries.
+the nearest, as ties go to smaller ids.  Long postings are split into parts, and the queries of a pivot into
+blocks; every block visits every part.  A vector that a query meets in several postings is ranked in the first of
+them only, so the work is the number of distinct candidates.
 """
 
 from __future__ import annotations
@@ -22,11 +24,12 @@ from pyspark.sql import Window as W
 
 from .common import materialize, small_batches
 
-#: Pivots: the root of the number of vectors times this, within bounds; pivots of a vector's order.
-PIVOTS, LEAST_PIVOTS, MOST_PIVOTS, ORDER = 1.13, 32, 4_096, 64
-#: Pivots that a vector is posted under, and that a query visits; share of a posting that is reranked, and at
-#: least so many; vectors of a part of a posting.
-POSTED, VISITED, RERANK, LEAST_RERANK, PART = 16, 20, 0.3, 200, 8_192
+#: Pivots: the root of the number of vectors times this, within bounds; bytes of all pivots at most (they are
+#: broadcast); pivots of a vector's order.
+PIVOTS, LEAST_PIVOTS, MOST_PIVOTS, PIVOT_BYTES, ORDER = 4.5, 32, 32_000, 32 << 20, 64
+#: Pivots that a vector is posted under, and that a query visits; share of a posting's new candidates that is
+#: reranked, and at least so many; vectors of a part of a posting, and queries of a block.
+POSTED, VISITED, RERANK, LEAST_RERANK, PART = 16, 32, 0.3, 200, 8_192
 
 
 def usable(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -50,11 +53,15 @@ def orders(v: np.ndarray, pivots: np.ndarray, longest: float, query: bool, order
     return np.take_along_axis(first, np.lexsort((first, np.take_along_axis(near, first, 1)), axis=1), 1)
 
 
-def footrule(query: np.ndarray, stored: np.ndarray, n_pivots: int) -> np.ndarray:
-    """Footrule distances of one order to many; a pivot missing from an order stands just behind its end."""
-    k = len(query)
-    place = np.full(n_pivots, k, np.int16)
-    place[query] = np.arange(k)
+def places(query: np.ndarray, n_pivots: int) -> np.ndarray:
+    """The place of every pivot in an order; a pivot missing from it stands just behind its end."""
+    place = np.full(n_pivots, len(query), np.int16)
+    place[query] = np.arange(len(query))
+    return place
+
+
+def footrule(place: np.ndarray, stored: np.ndarray, k: int) -> np.ndarray:
+    """Footrule distances of an order of k pivots, given by places, to many orders."""
     at = place[stored]
     gaps = np.abs(at - np.arange(stored.shape[1], dtype=np.int16)) + at
     return gaps.sum(axis=1, dtype=np.int32) + k * (k + 1) // 2 - k * stored.shape[1]
@@ -82,8 +89,11 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
     n, longest = classes.agg(F.count("*"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     if not n:
         return asked.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, PIVOTS * n**0.5)))
-    picked = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").collect()  # bounded by MOST_PIVOTS
+    most = max(LEAST_PIVOTS, min(MOST_PIVOTS, PIVOT_BYTES // (8 * (lengths + 1))))
+    wanted = int(min(most, max(LEAST_PIVOTS, PIVOTS * n**0.5)))
+    # twice as many as wanted by hash, and then the wanted ones: no task sends more than its share to the driver
+    some = classes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(min(1, (2 * wanted + 100) / n) * (1 << 40)))
+    picked = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).select("v").collect()
     pivots = _lifted(np.array([r[0] for r in picked]), longest)
     order, m = min(ORDER, len(pivots)), len(pivots)
     sent = spark.sparkContext.broadcast(pivots)
@@ -102,15 +112,16 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
 
     schema = "vec_id long, v binary, perm binary, heads array<int>"
     indexed = materialize(classes.select("vec_id", "v").mapInArrow(ordered(False), schema), "permutations")
+    asking = materialize(asked.mapInArrow(ordered(True), schema), "permutations")
     posted = indexed.select("vec_id", "v", "perm", F.explode("heads").alias("pivot"))
-    parts = posted.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).collect()  # a row per pivot
-    split = [1] * m
-    for r in parts:
-        split[r["pivot"]] = r["parts"]
-    n_parts = F.get(F.lit(split), F.col("pivot"))
-    lists = posted.withColumn("part", F.pmod(F.xxhash64("vec_id"), n_parts).cast("int"))
-    visits = asked.mapInArrow(ordered(True), schema).select("vec_id", "v", "perm", F.explode("heads").alias("pivot"))
-    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    visits = asking.select("vec_id", "v", "perm", F.posexplode("heads").alias("pos", "pivot"))
+    blocks_of = lambda d, name: d.groupBy("pivot").agg(F.ceil(F.count("*") / PART).cast("int").alias(name))
+    # a row a pivot, and pivots are bounded
+    sizes = F.broadcast(materialize(blocks_of(posted, "parts").join(blocks_of(visits, "blocks"), "pivot").coalesce(1), "postings"))
+    share = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = posted.join(sizes, "pivot").select("vec_id", "v", "perm", "pivot", share("parts").alias("part"), each("blocks").alias("block"))
+    visits = visits.join(sizes, "pivot").select("vec_id", "v", "perm", "pos", "pivot", share("blocks").alias("block"), each("parts").alias("part"))
 
     def visit(key: tuple, stored: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), np.int64)]
@@ -119,10 +130,12 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
             stored = stored.sort_values("vec_id")
             matrix = lambda column, kind: np.stack([np.frombuffer(x, kind) for x in column])
             ids, v, perms = stored["vec_id"].to_numpy(), matrix(stored["v"], np.float32), matrix(stored["perm"], np.int16)
-            most = max(LEAST_RERANK, k + 1, int(RERANK * len(ids)))
-            for q, x, perm in zip(queries["vec_id"], matrix(queries["v"], np.float32), matrix(queries["perm"], np.int16), strict=True):
-                far = footrule(perm, perms, m)
-                best = np.argsort(far, kind="stable")[:most]
+            heads = np.ascontiguousarray(perms[:, :POSTED])
+            for q, x, perm, pos in zip(queries["vec_id"], matrix(queries["v"], np.float32), matrix(queries["perm"], np.int16), queries["pos"], strict=True):
+                place = places(perm, m)
+                new = np.flatnonzero(place[heads].min(axis=1) >= pos)  # the others were met in an earlier posting
+                far = footrule(place, perms[new], len(perm))
+                best = new[np.argsort(far, kind="stable")[: max(LEAST_RERANK, k + 1, int(RERANK * len(new)))]]
                 score = v[best] @ x
                 top = np.lexsort((ids[best], -score))[: k + 1]
                 out.append(np.stack([np.full(len(top), q), ids[best[top]]], axis=1))
@@ -131,7 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
         return pd.DataFrame({"query_id": pairs[:, 0], "cls": pairs[:, 1], "near": np.concatenate(scores)})
 
     # single precision picks, with room for its rounding; the scores below are in double precision
-    near = lists.groupBy("pivot", "part").cogroup(visits.groupBy("pivot", "part")).applyInPandas(visit, "query_id long, cls long, near float")
+    near = lists.groupBy("pivot", "part", "block").cogroup(visits.groupBy("pivot", "part", "block")).applyInPandas(visit, "query_id long, cls long, near float")
     near = near.groupBy("query_id", "cls").agg(F.max("near").alias("near"))
     found = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "cls"))).where(F.col("r") <= 2 * (k + 1)).select("query_id", "cls")
     pairs = found.join(classes.select(F.col("vec_id").alias("cls"), "ids", F.col("v").alias("w")), "cls").join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")

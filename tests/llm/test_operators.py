@@ -468,3 +468,19 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
     sample, _ = toxicity._sample(docs, labels)
     assert sample.where("y = 1").count() <= 5 and sample.where("y = 0").count() <= 7
+
+
+def test_search_in_parts_and_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8))
+    x[100:] = x[0] + 0.01 * rng.normal(size=(300, 8))  # three in four vectors, and queries, near one pivot
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = frame.where("vec_id % 4 = 0")
+    monkeypatch.setattr(permutation, "PART", 16)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in permutation.search(frame, asked, k=5).collect()}
+    assert len(got) == 100 * 5
+    hits = 0
+    for q in range(0, 400, 4):
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-float(x[i] @ x[q]), i))[:5]
+        hits += len({*best} & {got[q, r] for r in range(1, 6)})
+    assert hits >= 0.9 * 500
