@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, unused
+from .common import join_counted, materialize, unused
 from .quality import SPACE, WORD
 
 #: Words from which a repeated run of lines is deleted.
@@ -34,9 +34,9 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def _ranked(suffixes: DataFrame, keys: list[str], name: str) -> DataFrame:
     """suffixes whose keys occur at least twice, with the keys' place in their sorted order as column name."""
-    twice = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    twice = suffixes.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     ranks = materialize(twice.orderBy(*keys).withColumn(name, F.monotonically_increasing_id()), "order")
-    return suffixes.join(ranks, keys)
+    return join_counted(suffixes, ranks, keys, "_n", ranks.agg(F.sum("_n")).first()[0] or 0)
 
 
 def _ahead(name: str, by: int) -> Column:
@@ -102,8 +102,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return held.where("false").select("row", "line")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "start")
     named = materialize(named.withColumn("place", place), "intervals")
-    firsts = named.groupBy("n", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    later = named.join(firsts, ["n", "a", "b"]).where("place > first")
+    firsts = materialize(named.groupBy("n", "a", "b").agg(F.min("place").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "firsts")
+    later = join_counted(named, firsts, ["n", "a", "b"], "copies", firsts.agg(F.sum("copies")).first()[0] or 0).where("place > first")
     spans = later.groupBy("row", "start").agg(F.max("n").alias("n"))
     gone = spans.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
     return gone.join(held.select("row", "at", "line"), ["row", "at"]).select("row", "line")

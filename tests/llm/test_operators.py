@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import archive, bpe, linededup, lm, packing, permutation, quality, simhash, tokencount, toxicity
+from tessera.llm import archive, bpe, common, linededup, lm, packing, permutation, quality, simhash, tokencount, toxicity
 from tessera.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -484,3 +484,16 @@ def test_search_in_parts_and_blocks(spark, monkeypatch):
         best = sorted((i for i in range(400) if i != q), key=lambda i: (-float(x[i] @ x[q]), i))[:5]
         hits += len({*best} & {got[q, r] for r in range(1, 6)})
     assert hits >= 0.9 * 500
+
+
+def test_join_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 8)
+    rows = [(i, 7 if i % 3 == 0 else i % 50) for i in range(900)] + [(1000, None)]
+    left = spark.createDataFrame(rows, "i long, k long").repartition(5)
+    keyed = left.where("k < 40").groupBy("k").agg(F.count("*").alias("n"), F.min("i").alias("least"))
+    got = sorted(tuple(r) for r in common.join_counted(left, keyed, ["k"], "n", 900).select("i", "k", "least").collect())
+    least = {}
+    for i, k in rows:
+        if k is not None and k < 40:
+            least[k] = min(i, least.get(k, i))
+    assert got == sorted((i, k, least[k]) for i, k in rows if k in least)
