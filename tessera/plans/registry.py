@@ -38,4 +38,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import analysis, choices, corpus, documents, gates, ordered, pairing, quality, records, usage  # noqa: F401
+    from . import analysis, choices, corpus, documents, folders, gates, ordered, pairing, quality, records, usage  # noqa: F401
