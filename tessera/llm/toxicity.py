@@ -5,8 +5,8 @@ rows.  The label model estimates each voter's accuracy by expectation maximisati
 correlations of voters given the label, by which a vote that others repeat counts less.  A logistic classifier
 over the voters and further marks is trained on the posterior labels and scores every document.
 
-Voters, label model and classifier are fitted to a bounded sample of the labelled training rows: POSITIVES and
-NEGATIVES of each label at most, by the hash of doc_id.  Every document is scored, as a whole.
+Marks are counted over all labelled training rows.  Label model and classifier are fitted to a bounded sample of these
+rows: POSITIVES and NEGATIVES of each label at most, by the hash of id and text.  Every document is scored, as a whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ POSITIVES, NEGATIVES = 2_000, 6_000
 SHORTEST, LONGEST_START = 4, 7
 VOTERS, MARKS, RATIO = 256, 1_024, 20
 CACHED, LONGEST = 500_000, 64
+#: Marks that a task counts before it hands its counts on; chunks of text whose marks it remembers.
+TALLIED = 200_000
 THRESHOLD = 0.7
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -114,37 +116,55 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float =
     return w
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """(text, y) of the sample, and the share of label 1 among all training labels."""
-    train = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
-    rate = train.agg(F.avg("y")).first()[0] or 0.0
-    most = ((1, POSITIVES), (0, NEGATIVES))
-    picked = [train.where(f"y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in most]
-    picked = F.broadcast(picked[0].union(picked[1]))
-    rows = docs.join(picked, docs["doc_id"] == picked["_id"]).select(F.col("text").cast("string").alias("text"), "y", F.xxhash64("_id", "text").alias("h"))
-    # an id may have any number of rows: as many rows as ids at most, by the hash of id and text, are taken of each label
-    bounded = [rows.where(f"y = {y}").dropDuplicates(["h"]).orderBy("h").limit(n) for y, n in most]
-    return bounded[0].union(bounded[1]).select("text", "y"), rate
+def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """(text, y, h) of all labelled training rows, and the share of label 1 among all training labels."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
+    rate = known.agg(F.avg("y")).first()[0] or 0.0
+    rows = docs.where(crc_mod("doc_id", 3) != 1).join(known, docs["doc_id"] == known["_id"])
+    return rows.select(F.col("text").cast("string").alias("text"), "y", F.xxhash64("_id", "text").alias("h")), rate
 
 
-def pick_marks(sample: DataFrame, most: int = MARKS) -> list[str]:
-    """Marks of label 1 in the sample, the most telling first, by the likelihood-ratio statistic G2.
+def _sample(rows: DataFrame) -> DataFrame:
+    """(text, y) of POSITIVES and NEGATIVES different rows at most, those of the least hashes of id and text."""
+    picked = [rows.where(f"y = {y}").select("y", "h").distinct().orderBy("h").limit(n) for y, n in ((1, POSITIVES), (0, NEGATIVES))]
+    return rows.join(F.broadcast(picked[0].union(picked[1])), ["y", "h"]).dropDuplicates(["y", "h"]).select("text", "y")
 
-    A mark's G2 must be more than chance gives among as many candidates.
+
+def pick_marks(rows: DataFrame, most: int = MARKS) -> list[str]:
+    """Marks of label 1 in the rows (text, y), the most telling first, by the likelihood-ratio statistic G2.
+
+    Every row counts.  A mark's G2 must be more than chance gives among as many candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        known: dict[str, set[str]] = {}
+
+        def told() -> pa.RecordBatch:
+            names = list(tally[1].keys() | tally[0].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([tally[y][m] for m in names], pa.int64()) for y in (1, 0)]], names=["mark", "one", "none"])
+            for t in tally.values():
+                t.clear()
+            return out
+
         for b in batches:
-            tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tally[y].update({m for c in set((text or "").split()) for m in marks_of(c)})
-            names = list(tally[1])
-            names += [m for m in tally[0] if m not in tally[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([tally[y][m] for m in names], pa.int64()) for y in (1, 0)]], names=["mark", "one", "none"])
-
-    tallies = sample.mapInArrow(run, "mark string, one long, none long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("none").alias("none"))
+                found = set()
+                for c in set((text or "").split()):
+                    of = known.get(c)
+                    if of is None:
+                        of = marks_of(c)
+                        if len(c) <= LONGEST and len(known) < TALLIED:
+                            known[c] = of
+                    found |= of
+                tally[y].update(found)
+                if len(tally[0]) + len(tally[1]) >= TALLIED:
+                    yield told()
+        yield told()
+
+    tallies = rows.select("text", "y").mapInArrow(run, "mark string, one long, none long").groupBy("mark").agg(F.sum("one").alias("one"), F.sum("none").alias("none"))
     counts = materialize(tallies.where(F.col("one") >= 3), "toxicity-marks")
-    size = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     ones, nones = float(size.get(1, 0)), float(size.get(0, 0))
     if not ones or not nones:
         return []
@@ -168,9 +188,9 @@ def _owed_to_longer(r, rows) -> bool:
 def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, LabelModel | None]:
     """Marks, coefficients of the classifier (the intercept last) and the label model."""
     small_batches(docs.sparkSession)
-    sample, rate = _sample(docs.select("doc_id", "text"), labels)
-    sample = materialize(sample, "toxicity-sample")  # read four times; the documents once
-    marks = pick_marks(sample)
+    rows, rate = _labelled(docs.select("doc_id", "text"), labels)
+    rows = materialize(rows, "toxicity-labelled")  # read several times; the documents once
+    marks = pick_marks(rows)
     if not marks:
         return [], np.array([-5.0]), None
 
@@ -179,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[list[str], np.ndarray, La
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([spotter.of(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], names=["found", "y"])
 
-    rows = sample.mapInArrow(run, "found array<int>, y int").groupBy("found", "y").agg(F.count("*").alias("n")).collect()  # bounded by the sample
+    rows = _sample(rows).mapInArrow(run, "found array<int>, y int").groupBy("found", "y").agg(F.count("*").alias("n")).collect()  # bounded by the sample
     rows.sort(key=lambda r: (r["y"], r["found"]))
     times = np.array([r["n"] for r in rows], float)  # rows of the same marks and label are held once, with their number
     x = np.zeros((len(rows), len(marks) + 1), np.float32)

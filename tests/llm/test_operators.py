@@ -466,7 +466,8 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "NEGATIVES", 7)
     docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
-    sample, _ = toxicity._sample(docs, labels)
+    rows, _ = toxicity._labelled(docs, labels)
+    sample = toxicity._sample(rows)
     assert sample.where("y = 1").count() <= 5 and sample.where("y = 0").count() <= 7
 
 
