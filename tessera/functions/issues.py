@@ -101,7 +101,7 @@ def tag_issues(body: Column) -> Column:
     """Balance of <보기> tags, empty blocks and over-long lines within them."""
     opens, closes = F.regexp_count(body, F.lit("<보기>")), F.regexp_count(body, F.lit("</보기>"))
     inner = F.regexp_extract_all(body, F.lit(r"(?s)<보기>\s*(.*?)</보기>"), F.lit(1))
-    filled = F.transform(inner, lambda b: F.filter(F.transform(F.split(b, "\n"), F.trim), lambda x: x != ""))
+    filled = F.transform(inner, lambda b: F.filter(F.transform(F.split(b, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
     even = (opens > 0) & (opens == closes)
     return codes(
         ("close_without_open", (opens == 0) & (closes > 0)),
