@@ -120,7 +120,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     """(text, y, h) of all labelled training rows, and the share of label 1 among all training labels."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_mod("doc_id", 3) != 1).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("y"))
     rate = known.agg(F.avg("y")).first()[0] or 0.0
-    rows = docs.where(crc_mod("doc_id", 3) != 1).join(known, docs["doc_id"] == known["_id"])
+    # merged at every size: labels may grow with the documents, so they are never broadcast
+    rows = docs.where(crc_mod("doc_id", 3) != 1).join(known.hint("merge"), docs["doc_id"] == known["_id"])
     return rows.select(F.col("text").cast("string").alias("text"), "y", F.xxhash64("_id", "text").alias("h")), rate
 
 
