@@ -121,7 +121,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, removed: str = "line
     rows = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "documents")
     gone = repeated_lines(rows.select(F.col(own).alias("row"), "doc_id", "text"), min_words)
     gone = materialize(gone.groupBy(F.col("row").alias(own)).agg(F.collect_list("line").alias(cut)), "gone")
-    lines = rows.join(gone, own, "left").withColumn(parts, F.when(F.col(cut).isNotNull(), F.split("text", "\n")))
+    # merged at every size: what goes grows with the documents, so it is never broadcast
+    lines = rows.join(gone.hint("merge"), own, "left").withColumn(parts, F.when(F.col(cut).isNotNull(), F.split("text", "\n")))
     keep = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(cut))
     text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(F.col(parts), i)), "\n"))
     out = lines.withColumns({"text": text, removed: F.coalesce(F.size(cut), F.lit(0)).cast("long")})
