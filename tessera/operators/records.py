@@ -22,9 +22,12 @@ def keep_latest(rows: DataFrame, keys: list[str], at: str, order: list[str]) ->
 def gaps(rows: DataFrame, series: str, number: str, least: int = 3, most_missing: float = 0.5) -> DataFrame:
     """Numbers missing between the least and the largest of a series with enough known ones."""
     known = rows.where(F.col(number).isNotNull()).groupBy(series).agg(F.collect_set(number).alias("_k"), F.min(number).alias("_a"), F.max(number).alias("_b"))
-    missing = F.array_sort(F.array_except(F.sequence("_a", "_b"), "_k"))
-    out = known.where(F.size("_k") >= least).withColumn("missing", missing)
-    return out.where((F.size("missing") > 0) & (F.size("missing") / (F.col("_b") - F.col("_a") + 1) < most_missing)).select(series, "missing")
+    # the share is known from the counts, so the numbers between are made only where they are few
+    span = F.col("_b").cast("decimal(20,0)") - F.col("_a") + 1
+    absent = span - F.size("_k")
+    few = (F.size("_k") >= least) & (absent > 0) & (absent < span * most_missing)
+    missing = F.when(few, F.array_sort(F.array_except(F.sequence("_a", "_b"), "_k")))
+    return known.withColumn("missing", missing).where(F.col("missing").isNotNull()).select(series, "missing")
 
 
 def duplicates(rows: DataFrame, keys: list[str], source: str, samples: int = 3) -> DataFrame:

@@ -66,7 +66,9 @@ def similar_pairs(rows: DataFrame, owner: str, key: str, tokens: str, least: flo
     if contained is None:
         met = met.where(F.col("m") >= share * F.col("n"))
     pairs = met.select(owner, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("set").alias("x")).hint("merge"), "a").join(sets.select(F.col(key).alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    # a key is known within its owner only
+    first, second = (sets.select(owner, F.col(key).alias(k), F.col("set").alias(s)).hint("merge") for k, s in (("a", "x"), ("b", "y")))
+    both = pairs.join(first, [owner, "a"]).join(second, [owner, "b"])
     common = F.size(F.array_intersect("x", "y"))
     sizes = both.select(owner, "a", "b", common.alias("c"), F.size("x").alias("m"), F.size("y").alias("n"))
     wanted = F.lit(least) if least_long is None else F.when(F.least("m", "n") >= long, least_long).otherwise(least)

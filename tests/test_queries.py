@@ -164,6 +164,11 @@ def test_record_operators(spark):
     assert (alarm["runs"], alarm["failed"], alarm["alarm"]) == (5, 2, True) and alarm["retry_share"] == pytest.approx(3 / 8)
     pairs = retrieval.similar_pairs(spark.createDataFrame([("o", 1, ["a", "b"]), ("o", 2, ["a", "b", "c"]), ("p", 3, ["a", "b"])], "o string, k int, t array<string>"), "o", "k", "t", 0.6)
     assert [tuple(r) for r in pairs.collect()] == [("o", 1, 2)]
+    repeated = [("o", 1, ["a", "b"]), ("o", 2, ["a", "b"]), ("p", 1, ["a", "b"]), ("p", 2, ["c", "d"]), ("q", 1, ["c", "d"]), ("q", 2, ["c", "d"])]
+    pairs = retrieval.similar_pairs(spark.createDataFrame(repeated, "o string, k int, t array<string>"), "o", "k", "t", 0.6)
+    assert sorted(tuple(r) for r in pairs.collect()) == [("o", 1, 2), ("q", 1, 2)]  # keys that recur under other owners
+    far = spark.createDataFrame([("s", 1), ("s", 2), ("s", 2_000_000_000), ("t", 1), ("t", 2), ("t", 4)], "s string, n int")
+    assert [tuple(r) for r in R.gaps(far, "s", "n").collect()] == [("t", [3])]
     rng = random.Random(1)
     sets = [("o", i, rng.sample("abcdefghij", rng.randint(1, 6))) for i in range(60)]
     got = retrieval.similar_pairs(spark.createDataFrame(sets, "o string, k int, t array<string>"), "o", "k", "t", 0.6, 4, 0.8, 0.75)
