@@ -26,11 +26,13 @@ LEAST_DOCUMENTS = 10
 UNIT = 1_000_000_000
 #: Ranks of part `term`.
 TERMS = 10
+#: Bytes of text of a block: the larger, the fewer counts a term has.
+BLOCK = 20 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By block: (lang, source, term, n, documents)."""
-    for rows in blocks(batches, "text"):
+    for rows in blocks(batches, "text", BLOCK):
         words, ids, row, _ = words_of(rows.column("text"), OUTSIDE)
         if not len(ids):
             continue
@@ -90,19 +92,22 @@ def divergence(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, terms: i
     counts = F.transform("sources", lambda s: F.coalesce(F.try_element_at(F.map_from_entries("cells"), s), F.lit(0)))
     vectors = vectors.withColumn("counts", counts).withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
     shares = F.zip_with("counts", "wholes", lambda n, whole: _share(n, whole, F.col("terms")))
-    vectors = vectors.select("lang", "term", "sources", "counts", shares.alias("p"), _share(F.col("total"), F.col("whole"), F.col("terms")).alias("q"))
+    vectors = vectors.select("lang", "term", "counts", shares.alias("p"), _share(F.col("total"), F.col("whole"), F.col("terms")).alias("q"))
+    vectors = materialize(vectors, "divergence-vectors")
+    names = langs.select("lang", F.posexplode("sources").alias("i", "source"))
 
     one = vectors.select("lang", "p", F.posexplode("p").alias("i", "x"))
-    two = one.select("lang", "i", "x", F.posexplode(F.expr("transform(slice(p, i + 2, size(p)), y -> (x - y) * (x - y) div (x + y))")).alias("ahead", "value"))
+    two = one.select("lang", "i", F.posexplode(F.expr("transform(slice(p, i + 2, size(p)), y -> (x - y) * (x - y) div (x + y))")).alias("ahead", "value"))
     summed = two.groupBy("lang", "i", (F.col("i") + F.col("ahead") + 1).alias("j")).agg(F.sum("value").alias("value"))
     both = summed.union(summed.select("lang", F.col("j"), F.col("i"), "value"))
     every = langs.select("lang", "sources", F.posexplode("sources").alias("i", "source")).select("lang", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
     pairs = every.join(both, ["lang", "i", "j"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
+    of_source = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
 
-    each = vectors.select("lang", "term", "q", F.inline(F.arrays_zip("sources", "counts", "p"))).where("counts > 0 AND p > q")
-    used = each.select("lang", F.col("sources").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("p"), F.col("q")).alias("value"))
-    rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
-    return pairs.withColumn("rank", rank).union(used.withColumn("rank", rank).where(F.col("rank") <= terms))
+    each = vectors.select("lang", "term", "q", F.posexplode(F.arrays_zip("counts", "p")).alias("i", "s")).where("s.counts > 0 AND s.p > q")
+    used = each.select("lang", "i", F.lit("term").alias("part"), F.col("term").alias("item"), _apart(F.col("s.p"), F.col("q")).alias("value"))
+    first = used.withColumn("rank", F.row_number().over(W.partitionBy("lang", "i").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= terms)
+    return pairs.withColumn("rank", F.row_number().over(of_source)).unionByName(first.join(names, ["lang", "i"]).drop("i"))
 
 
 #: The rows of op11 by DuckDB.

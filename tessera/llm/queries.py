@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import archive, bpe, divergence, linededup, lm, packing, permutation, quality, simhash, tokencount, toxicity
+from . import archive, bpe, collocation, divergence, linededup, lm, mixture, packing, permutation, quality, simhash, tokencount, toxicity
 from .common import table
 
 
@@ -61,13 +61,23 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_simhash, op3_nearest, op4_line_dedup, op5_toxicity, op6_archives, op7_token_counts, op8_packing, op9_bpe, op10_katz, op11_divergence)
+    for f in (op1_quality_rules, op2_simhash, op3_nearest, op4_line_dedup, op5_toxicity, op6_archives, op7_token_counts, op8_packing, op9_bpe, op10_katz, op11_divergence, op12_collocations, op13_mixture)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_divergence": divergence.SQL,
+    "op12_collocations": collocation.SQL,
+    "op13_mixture": mixture.SQL,
     "op6_archives": f"""SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
         CASE WHEN copy THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN copy THEN last END AS refers_to
         FROM (SELECT *, strlen(h) >= {archive.REVISIT_FROM} AND page_id < last AS copy FROM

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import blocks, divergence
+from tessera.llm import divergence
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 SCHEMA = "doc_id long, text string, lang string, source string, term string, n int, p array<int>, rank int"
@@ -50,7 +50,7 @@ def test_against_plain_python(spark):
 
 @pytest.mark.parametrize("block", [1, 1 << 20])
 def test_odd_rows(spark, monkeypatch, block):
-    monkeypatch.setattr(blocks, "BLOCK", block)
+    monkeypatch.setattr(divergence, "BLOCK", block)
     texts = [None, "", "...", "Ab ab\x00AB é日本_é", "é É ab", "a" * 5000, "w1w w" * 3000, "ab ab"]
     rows = [(i, t, lang, source, "x", 1, [1], 2) for i, t in enumerate(texts * 3) for lang, source in (("en", "s"), ("en", None), (None, None), ("de", "t"))]
     rows += [(None, "ab hot", "en", "hot", "x", 1, [1], 2)] * 200 + [(1, None, "fr", "u", "x", 1, [1], 2), (1, "7", "fr", "v", "x", 1, [1], 2)]
