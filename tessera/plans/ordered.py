@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as O
 from ..operators import retrieval as R
+from ..operators.positions import checkpoint_folder
 from ..streaming.windows import capped
 from .registry import query
 
@@ -37,7 +38,10 @@ def chains_of_ones(read):
     return numbers.select("l_orderkey", F.size(O.chain_of_ones("numbers")).alias("length"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS MATERIALIZED (SELECT DISTINCT a.user_id, a.ts, b.ts AS nxt FROM (SELECT DISTINCT user_id, ts FROM events) a ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events) b ON a.user_id = b.user_id AND a.ts + INTERVAL 6 HOUR <= b.ts),
+s AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1 UNION ALL SELECT n.user_id, n.nxt FROM s JOIN n ON n.user_id = s.user_id AND n.ts = s.start WHERE n.nxt IS NOT NULL),
+w AS (SELECT e.user_id, e.ts, s.start FROM events e ASOF JOIN s ON e.user_id = s.user_id AND e.ts >= s.start)
+SELECT user_id, ts, row_number() OVER (PARTITION BY user_id, start ORDER BY ts) <= 2 AS passed FROM w""")
 def anchored_rate_cap(read):
     """Events that pass a cap of 2 in a window of six hours anchored at a user's event."""
     return capped(read("events"), "user_id", "ts", width=6 * 3600.0, most=2)
@@ -62,7 +66,7 @@ def near_duplicate_segments(read):
     """Documents of one source whose word sets are similar, grouped."""
     docs = _words(read)
     pairs = R.similar_pairs(docs, "source", "doc_id", "tokens", 0.85).select("a", "b")
-    _checkpoints(docs.sparkSession)
+    checkpoint_folder(docs.sparkSession)
     return R.components(docs.select("doc_id"), pairs, "doc_id")
 
 
@@ -74,15 +78,3 @@ def alike_segments(read):
 
 def _words(read):
     return read("documents").select("doc_id", "source", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("tokens"))
-
-
-def _checkpoints(spark) -> None:
-    """A folder for checkpoints: that of the session; a temporary one only on a local master that names none."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp()
-    spark.sparkContext.setCheckpointDir(folder)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.folds import ordered_fold
 
 
 def tumbling(events: DataFrame, at: str, by: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -54,28 +58,64 @@ def anchored_cap(seconds: list[float], width: float = 60.0, most: int = 100, sta
 
 
 def capped(events: DataFrame, key: str, at: str, width: float = 60.0, most: int = 100) -> DataFrame:
-    """Batch form: events with column passed; windows are anchored at a key's first event, not at the epoch."""
-    schema = f"{key} {dict(events.dtypes)[key]}, {at} timestamp, passed boolean"
+    """Batch form: events with column passed; windows are anchored at a key's first event, not at the epoch.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(at)
-        passed, _, _ = anchored_cap((rows[at].astype("int64") / 1e9 if str(rows[at].dtype).endswith("[ns]") else rows[at].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), width, most)
-        return rows.assign(passed=passed)
+    A key's events are streamed in their order; a task holds its open window, not the key's events.  Events without a
+    time do not pass and open no window.
+    """
 
-    return events.select(key, F.col(at).cast("timestamp").alias(at)).groupBy(key).applyInPandas(run, schema)
+    def step(state: tuple[datetime, int] | None, row: dict[str, Any]) -> tuple[tuple[datetime, int] | None, tuple[bool]]:
+        if row[at] is None:
+            return state, (False,)
+        start, n = state or (row[at], 0)
+        if (row[at] - start).total_seconds() >= width:
+            start, n = row[at], 0
+        return (start, n + 1), (n < most,)
 
+    return ordered_fold(events.select(key, F.col(at).cast("timestamp_ntz").alias(at)), [key], [at], step, "passed boolean").withColumn(at, F.col(at).cast("timestamp"))
 
-def capped_stream(events: DataFrame, key: str, at: str, width: float = 60.0, most: int = 100) -> DataFrame:
-    """Streaming form: a key's window start and count are its state."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    schema = f"{key} {dict(events.dtypes)[key]}, {at} timestamp, passed boolean"
+#: State with timers needs this store.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class AnchoredCap(StatefulProcessor):
+    """A key's open window: its start in seconds and the events in it.  A timer drops it once the watermark is past its end."""
+
+    def __init__(self, key: str, at: str, width: float, most: int):
+        self.key, self.at, self.width, self.most = key, at, width, most
 
-    def run(keys: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values(at)
-        start, n = state.get if state.exists else (None, 0)
-        passed, start, n = anchored_cap((rows[at].astype("datetime64[ns]").astype("int64") / 1e9).tolist(), width, most, start, n)
-        state.update((start, n))
-        yield rows[[key, at]].assign(passed=passed)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "start double, n int")
 
-    return events.select(key, F.col(at).cast("timestamp").alias(at)).groupBy(key).applyInPandasWithState(run, schema, "start double, n int", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(self.at, kind="stable")
+        seconds = events[self.at].astype("datetime64[ns]").astype("int64") / 1e9
+        start, n = self.window.get() if self.window.exists() else (None, 0)
+        passed, after, n = anchored_cap(seconds.tolist(), self.width, self.most, start, n)
+        if after != start:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((after + self.width) * 1000))
+        self.window.update((after, n))
+        yield events[[self.key, self.at]].assign(passed=passed)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.window.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def capped_stream(events: DataFrame, key: str, at: str, width: float = 60.0, most: int = 100, late: str = "10 minutes") -> DataFrame:
+    """Streaming form: a key's window is its state until the watermark has passed the window's end.
+
+    A batch's events are taken in their order.  An event that comes in a later batch than its window's successors counts
+    in the window that is open then; one later than the watermark is dropped.  Needs STORE as the session's
+    spark.sql.streaming.stateStore.providerClass.
+    """
+    schema = f"{key} {dict(events.dtypes)[key]}, {at} timestamp, passed boolean"
+    timed = events.select(key, F.col(at).cast("timestamp").alias(at)).withWatermark(at, late)
+    return timed.groupBy(key).transformWithStateInPandas(AnchoredCap(key, at, width, most), schema, "append", "eventTime")

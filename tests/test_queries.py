@@ -214,8 +214,21 @@ def test_streams(spark, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == events.count() and counts.count() == want.count()
     assert run(windows.session(stream(), "ts", ["user_id"]), "sessions").agg(F.sum("n")).first()[0] == events.count()
     assert run(windows.distinct_events(stream(), "ts", ["user_id"], "100 days"), "firsts", "append").count() == events.select("user_id").distinct().count()
-    capped = run(windows.capped_stream(stream(), "user_id", "ts", 6 * 3600.0, 2), "capped", "append")
-    assert capped.where("passed").count() == windows.capped(events, "user_id", "ts", 6 * 3600.0, 2).where("passed").count()
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", windows.STORE)
+    try:
+        capped = run(windows.capped_stream(stream(), "user_id", "ts", 6 * 3600.0, 2), "capped", "append")
+        want = windows.capped(events, "user_id", "ts", 6 * 3600.0, 2)
+        assert capped.groupBy("user_id", "ts", "passed").count().exceptAll(want.groupBy("user_id", "ts", "passed").count()).count() == 0 and capped.count() == want.count()
+        # three batches: the window open at the end of the first goes on in the second, and is dropped after the third
+        for i, times in enumerate((["00:00:00", "00:00:10"], ["00:00:20", "00:01:00"], ["01:00:00"])):
+            spark.createDataFrame([("u", f"2024-01-01 {t}") for t in times], "k string, t string").select("k", F.col("t").cast("timestamp").alias("t")).coalesce(1).write.parquet(str(tmp_path / f"batches/p={i}"))
+        parts = spark.readStream.schema("k string, t timestamp, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "batches"))
+        few = run(windows.capped_stream(parts, "k", "t", 60.0, 2, "0 seconds"), "few", "append")
+        assert [r["passed"] for r in few.orderBy("t").collect()] == [True, True, False, True, True]
+        state = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "few"))
+        assert state.count() <= 1
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     out = str(tmp_path / "out")
     q = stream().writeStream.foreachBatch(windows.upsert_sink(out)).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
