@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text from which a block is closed.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: A-Z as a-z; bytes of other letters stay.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -38,6 +38,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, size: int | None = None
             if n >= (size or BLOCK):
                 yield pa.Table.from_batches(held)
                 held, n = [], 0
+                pa.default_memory_pool().release_unused()  # workers are kept, and what they hold with them
     if held:
         yield pa.Table.from_batches(held)
 
@@ -51,18 +52,24 @@ def words_of(texts: pa.ChunkedArray, kind: np.ndarray) -> tuple[pa.Array, np.nda
     data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
     what = kind[data]
+    breaks = what == BREAK
     inside = what == IN_WORD
+    del what
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
-    before, after = np.concatenate([[False], inside[:-1]]), np.concatenate([inside[1:], [False]])
-    starts = np.flatnonzero(inside & (~before | edge[:-1]))
-    ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    places = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
-    flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWER[data[inside]])])
-    coded = flat.dictionary_encode()
-    rows = np.searchsorted(offsets, starts, side="right") - 1
-    pieces = np.searchsorted(np.flatnonzero((what == BREAK) | edge[:-1]), starts, side="right")
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows, pieces
+    breaks |= edge[:-1]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    ends[:-1] &= ~inside[1:] | edge[1:-1]
+    starts, lengths = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    lengths -= starts
+    del begins, ends, edge
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=places[1:])
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(LOWER[data[inside]])]).dictionary_encode()
+    rows = (np.searchsorted(offsets, starts, side="right") - 1).astype(np.int32)
+    pieces = np.searchsorted(np.flatnonzero(breaks), starts, side="right").astype(np.int32)
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), rows, pieces
 
 
 def codes(*columns: pa.ChunkedArray) -> tuple[list[pa.Array], np.ndarray]:

@@ -27,7 +27,7 @@ UNIT = 1_000_000_000
 #: Ranks of part `term`.
 TERMS = 10
 #: Bytes of text of a block: the larger, the fewer counts a term has.
-BLOCK = 20 << 20
+BLOCK = 8 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups, group = codes(rows.column("lang"), rows.column("source"))
         wide = np.int64(len(words))
         cells, n = np.unique(group[row] * wide + ids, return_counts=True)
-        seen = np.unique(row * wide + ids)
+        seen = np.unique(row.astype(np.int64) * wide + ids)
         _, documents = np.unique(group[seen // wide] * wide + seen % wide, return_counts=True)  # the same cells in the same order
         of, term = cells // wide, cells % wide
         names = [g.take(pa.array(of)) for g in groups]
