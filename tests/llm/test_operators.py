@@ -307,21 +307,43 @@ def test_toxicity(spark, odd, empty):
 
 def test_archives(spark):
     long = "<p>é</p>" * 300
-    rows = [(1, "http://a/ b", long), (7, None, long), (3, "http://c", long), (4, "u", None), (5, "u", "x"), (6, "u", "x")]
+    rows = [(1, "http://a/ b", long), (7, None, long), (3, "http://c", long), (4, "u", None), (5, "u", "x"), (6, "u", "x"), (8, "u", "long " * 400_000), (9, "u", "\n\r\n\r\nWARC/1.1"), (None, "v", "w")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string").repartition(3)
+    before = spark.conf.get(archive.ROWS)
     got = {r["page_id"]: r for r in archive.archive_round_trip(pages).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and spark.conf.get(archive.ROWS) == before
     for page, _, html in rows:
         data, r = (html or "").encode(), got[page]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", 7) if page in (1, 3) else ("response", None))
     assert archive.archive_round_trip(pages.where("false")).count() == 0
+    twice = archive.archive_round_trip(pages.where("page_id IN (1, 4)").unionByName(pages.where("page_id IN (1, 4)"))).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in twice) == [(1, "response"), (1, "response"), (4, "response"), (4, "response")]
+
+
+def test_archives_of_any_bytes(spark, tmp_path):
+    """Payloads that are no UTF-8, another address and type, a record without an HTTP head, and the file's description."""
+    picture = bytes(range(256)) * 8
+    rows = [(i, f"http://x/{i}", bytearray(picture if i % 2 else b"\xff\xfe\x00")) for i in range(4)]
+    got = archive.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html binary")).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in got) == [(i, len(d), hashlib.sha1(bytes(d)).hexdigest(), 3 if i == 1 else None) for i, _, d in rows]
+    old = archive.arc_version_block(1, "old.arc", "19970101").encode() + b"\n" + archive.arc_record(1, "old.arc", 0, "dns:x.org", "199701011200", "text/dns", b"x.org 1.2.3.4", "1.2.3.4") + b"\n"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.arc").write_bytes(old)
+    archive.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    data = b"".join(archive.plain(f.read_bytes()) for f in (tmp_path / "warc").glob("part-*"))
+    records = {h["warc-type"]: (h, block) for h, block in archive.read_warc(data)}
+    head, block = records["resource"]
+    assert (head["content-type"], head["warc-ip-address"], head["warc-date"], block) == ("text/dns", "1.2.3.4", "1997-01-01T12:00:00Z", b"x.org 1.2.3.4")
+    head, block = records["warcinfo"]
+    assert head["warc-filename"] == "old.arc" and head["content-type"] == "application/warc-fields" and b"arc-version: 1 0 archive" in block
 
 
 def test_arc_versions():
     for version in (1, 2):
-        data = (archive.arc_version_block(version, "n", "20240101000000") + "\n" + archive.arc_record(version, "n", 1, "http://a b/é", "20240101000000", "text/html", "HTTP/1.1 200 OK\r\n\r\nbody\n\n") + "\n\n" + archive.arc_record(version, "n", 2, None, "199901", "text/plain", "") + "\n").encode()
-        one, two = archive.read_arc(data)
+        data = archive.arc_version_block(version, "n", "20240101000000").encode() + b"\n" + archive.arc_record(version, "n", 1, "http://a b/é", "20240101000000", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n\n") + b"\n\n" + archive.arc_record(version, "n", 2, None, "199901", "text/plain", b"") + b"\n"
+        info, one, two = archive.read_arc(data)
+        assert archive.described(info) and info["version"] == version
         assert archive.split_http(one["content"]) == (b"HTTP/1.1 200 OK\r\n\r\n", b"body\n\n") and one["version"] == version
         assert two["content"] == b"" and two["url"] == "-" and archive.warc_date(two["date"]) == "1999-01-01T00:00:00Z"
         with pytest.raises(ValueError):
@@ -402,42 +424,89 @@ def test_windows_hold_the_mixture():
     assert sum(n for w in windows for _, _, n in w) == totals.sum()
 
 
-def test_katz(spark, odd, documents, empty):
+class Katz:
+    """A backoff model by dictionaries and recursion, with Turing's estimates worked out on its own."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.grams = [None] + [Counter() for _ in range(order)]
+        for t in texts:
+            for k in range(1, order + 1):
+                padded = ["START"] * (k - 1) + t
+                self.grams[k].update(tuple(padded[i : i + k]) for i in range(len(t)))
+        self.turing = [None] + [self.estimates(c) for c in self.grams[1:]]
+        self.after = [defaultdict(dict) for _ in range(order + 1)]
+        for k in range(2, order + 1):
+            for g, c in self.grams[k].items():
+                self.after[k][g[:-1]][g[-1]] = c
+        total = sum(self.grams[1].values())
+        kept = sum(self.less(1, c) for c in self.grams[1].values())
+        self.base = total if kept < total else total + 1
+        self.unknown = 1 - kept / self.base
+        self.weights = {}
+
+    @staticmethod
+    def estimates(counts):
+        """r* / r for counts 1 to 5; for few data a share of one count is held back instead."""
+        n = Counter(counts.values())
+        top = 6 * n[6] / n[1] if n[1] else 1.0
+        stars = {r: ((r + 1) * n[r + 1] / n[r]) / r if n[r] else -1.0 for r in range(1, 6)}
+        turing = {r: (x - top) / (1 - top) if top != 1 else -1.0 for r, x in stars.items()}
+        if n[1] and all(0 < x < 1 for x in turing.values()):
+            return turing
+        held = min(0.9, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.5
+        return {r: (r - held) / r for r in range(1, 6)}
+
+    def less(self, k, c):
+        return c * self.turing[k].get(c, 1.0)
+
+    def share(self, context):
+        """(what a discounted count is divided by, the weight of the order below) of a context that was seen."""
+        if context not in self.weights:
+            k = len(context) + 1
+            seen = self.after[k][context]
+            total, kept = sum(seen.values()), sum(self.less(k, c) for c in seen.values())
+            of = total if kept < total else total + 1
+            self.weights[context] = of, (1 - kept / of) / max(1 - sum(self.chance(context[1:], w) for w in seen), 1e-12)
+        return self.weights[context]
+
+    def chance(self, context, word):
+        if not context:
+            c = self.grams[1].get((word,), 0)
+            return self.less(1, c) / self.base if c else self.unknown
+        seen = self.after[len(context) + 1].get(context)
+        if not seen:
+            return self.chance(context[1:], word)
+        of, weight = self.share(context)
+        return self.less(len(context) + 1, seen[word]) / of if word in seen else weight * self.chance(context[1:], word)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, documents, order):
     rows = documents.select("doc_id", "text").collect()
-    got = {r["doc_id"]: r for r in lm.katz_scores(documents, chunk_tokens=9_000, entries=4_000).collect()}
-    one, two, texts = Counter(), Counter(), {}
-    for r in rows:
-        t = [*r["text"].encode().lower().split(), "END"]
-        texts[r["doc_id"]] = t
-        if zlib.crc32(str(r["doc_id"]).encode()) % 10:
-            one.update(t)
-            two.update(zip(["START", *t[:-1]], t, strict=True))
+    got = {r["doc_id"]: r for r in lm.katz_scores(documents, chunk_tokens=9_000, entries=4_000, order=order).collect()}
+    texts = {r["doc_id"]: [*r["text"].encode().lower().split(), "END"] for r in rows}
+    model = Katz([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 10], order)
+    one = model.grams[1]
     n, v = sum(one.values()), len(one)
-    uni = lm.Unigrams(n, v, [sum(c == k for c in one.values()) for k in range(1, 7)])
-    d = lm.discounts([sum(c == k for c in two.values()) for k in range(1, 7)])
-    assert sum(uni.of(np.array(list(one.values())))) + uni.unknown == pytest.approx(1)
-    p1 = {w: float(uni.of(np.array([c]))[0]) for w, c in one.items()}
-    after, less = defaultdict(dict), lambda c: c * (d[c - 1] if c <= lm.K else 1)
-    for (a, b), c in two.items():
-        after[a][b] = c
-    weights = {}
-    for a, f in after.items():
-        total, kept = sum(f.values()), sum(map(less, f.values()))
-        factor = 1 / total if kept < total else 1 / (total + 1)
-        weights[a] = factor, (1 - kept * factor) / (1 - sum(p1[w] for w in f))
-        unseen = sum(p for w, p in p1.items() if w not in f) + uni.unknown
-        assert kept * factor + weights[a][1] * unseen == pytest.approx(1) or total < 50
+    for k in range(2, order + 1):  # probabilities add up to 1
+        for context in list(model.after[k])[:: max(1, len(model.after[k]) // 5)]:
+            assert sum(model.chance(context, w) for (w,) in one) + model.share(context)[1] * model.chance(context[1:], "never seen") == pytest.approx(1, abs=1e-6)
     for i, t in texts.items():
-        score = base_score = 0.0
-        for a, w in zip(["START", *t[:-1]], t, strict=True):
-            f = after.get(a, {})
-            score += math.log10(less(f[w]) * weights[a][0] if w in f else (weights[a][1] if f else 1) * p1.get(w, uni.unknown))
-            base_score += math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1)))
+        padded = ["START"] * (order - 1) + t
+        score = sum(math.log10(max(model.chance(tuple(padded[j : j + order - 1]), t[j]), 1e-300)) for j in range(len(t)))
+        base_score = sum(math.log10((one[(w,)] + 0.1) / (n + 0.1 * (v + 1))) for w in t)
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(w in one for w in t), n)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum((w,) in one for w in t), n)
         assert r["score"] == pytest.approx(score, abs=1e-6) and r["base_score"] == pytest.approx(base_score, abs=1e-6)
+
+
+def test_katz_of_odd_rows(spark, odd, empty):
     assert lm.katz_scores(odd).count() == len(ODD) + 1
     assert lm.katz_scores(empty).count() == 0
+    long = spark.createDataFrame([(i, "a b " * 150_000 if i < 2 else "b a a") for i in range(12)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.katz_scores(long, chunk_tokens=1_000).collect()}
+    assert got[0]["n_tokens"] == 300_001 and got[0]["score"] == pytest.approx(got[1]["score"]) and all(r["score"] < 0 for r in got.values())
 
 
 def test_packing_takes_long_blanks():
@@ -447,12 +516,13 @@ def test_packing_takes_long_blanks():
 
 
 def test_archives_are_rolled(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(archive, "FILE_RECORDS", 4)
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "é" * i) for i in range(23)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(archive, "FILE_BYTES", 1_000)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "é" * (i if i != 20 else 4_000)) for i in range(23)], "page_id long, url string, html string").coalesce(1)
     archive.write_arc(pages, str(tmp_path / "arc"))
-    assert len([*(tmp_path / "arc").glob("part-*")]) == 8  # three pages a file, after its version block
+    sizes = sorted(len(archive.plain(f.read_bytes())) for f in (tmp_path / "arc").glob("part-*"))
+    assert len(sizes) >= 5 and sizes[-2] < 1_500 and sizes[-1] > 8_000  # a long record is the last of its file
     got = archive.archive_round_trip(pages).collect()
-    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(i, 3 + 2 * i, "response") for i in range(23)]
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(i, 3 + 2 * (i if i != 20 else 4_000), "response") for i in range(23)]
 
 
 def test_search_with_conflicting_ids(spark):
