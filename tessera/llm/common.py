@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,15 +37,48 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: The folder, within that of the application, of the stage that is being built; none outside stages.
+_stage: list[str] = []
+
+
 def run_dir(spark: SparkSession) -> str:
     """The folder of this application's written tables."""
-    return f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    return "/".join([f"{shared_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}", *_stage])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what this application has written; results that have not been read yet are lost with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, run_dir(spark))
+
+
+def _roots(docs: DataFrame) -> list[str]:
+    """The paths of the files that docs is read from."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    nodes = [leaves.apply(i) for i in range(leaves.size())]
+    files = [n.relation() for n in nodes if n.getClass().getSimpleName() == "LogicalRelation"]
+    return [r.location().rootPaths().mkString(" ") for r in files if r.getClass().getSimpleName() == "HadoopFsRelation"]
+
+
+@contextlib.contextmanager
+def stage_tables(spark: SparkSession, docs: DataFrame) -> Iterator[None]:
+    """What operators write within it lies in a folder that goes when the next stage begins.
+
+    That is when its result has been written elsewhere, as a pipeline does; nothing goes if docs, the rows of the stage
+    that begins, are still read from such a folder.
+    """
+    base = f"{run_dir(spark)}/stages"
+    if not any(base.split("://")[-1] in root for root in _roots(docs)):
+        _delete(spark, base)
+    _stage.extend(["stages", uuid.uuid4().hex])
+    try:
+        yield
+    finally:
+        del _stage[:]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """The stages of the pipeline, each and together, against brute force and on odd tables."""
 
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import quality, toxicity
+from tessera.llm import common, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, row int, _row int, lines_removed string, _gone string, grp int, component string"
@@ -102,3 +103,15 @@ def test_pipeline(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r["doc_id"]] += r["length"]
     assert got == want and 0 < len(got) < docs.count()
+
+
+def test_tables_of_a_stage_go_with_the_next(spark, tmp_path):
+    docs = frame(spark, odd_rows())
+    kept = corpus_pipeline.line_stage(spark, docs, SF)
+    folder = common.run_dir(spark).removeprefix("file://") + "/stages"
+    assert len(os.listdir(folder)) >= 1
+    chained = corpus_pipeline.near_dedup_stage(spark, kept, SF)  # still read from the first stage's tables
+    assert chained.count() > 0 and len(os.listdir(folder)) >= 2
+    chained.write.parquet(str(tmp_path / "docs"))
+    corpus_pipeline.line_stage(spark, spark.read.parquet(str(tmp_path / "docs")), SF).count()
+    assert len(os.listdir(folder)) == 1
