@@ -5,14 +5,31 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that its predecesso
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import linededup, packing, quality, simhash, toxicity
-from tessera.llm.common import materialize, table, unused
+from tessera.llm.common import materialize, stage_tables, table, unused
 from tessera.llm.queries import vocabulary
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def staged(f: Stage) -> Stage:
+    """The stage, whose intermediate tables go when the next one begins; its result is to be written before."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(spark, docs):
+            return f(spark, docs, sf_dir)
+
+    return run
+
 
+@staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the robust outlier test; each row is judged by its own text.
 
@@ -21,6 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.passing(docs)
 
 
+@staged
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; each row is judged by its own text.
 
@@ -29,6 +47,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@staged
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; n_chars, where docs has it, follows the text.
 
@@ -42,6 +61,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@staged
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by shingles of five words and a similarity of 0.8.
 
@@ -50,6 +70,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicate(docs, size=5, least_similarity=0.8)
 
 
+@staged
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, in the sources' proportions; a null text is packed as an empty one."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
