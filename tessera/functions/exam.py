@@ -24,6 +24,15 @@ LINE_KINDS = [
     ("빠른정답_일반", r"^\s*\[빠른\s*정답\]\s*$"),
     ("해설", r"^\s*\[해설\]\s*$"),
 ]
+SECTION_HEADER = r"(^|\n)\s*[■▣◎●▶➤]?\s*(?:정답\s*[·및과]?\s*해설|풀이\s*및\s*정답|해설\s*및\s*정답|정답\s*해설)\s*\n"
+LONE_HEADER = r"(^|\n)\s*(?:풀이|해설)\s*\n(?=[\s\S]{50,})"
+PROBLEM_HEADERS = [
+    (r"(^|\n)\s*\*\*\s*(\d{1,3})\s*[.)]\s*\*\*", "$1[문항 $2]"),
+    (r"(^|\n)\s*(?:예제|유형|문제)\s*(\d{1,3})\s*[.:)]?\s*(?=\n|\S)", "$1[문항 $2]\n"),
+    (r"(^|\n)\s*(\d{1,2})\s*[.)]\s+(?=[가-힣$(\\\[°∀-⋿])", "$1[문항 $2]\n"),
+]
+ANSWER_LINE = r"(^|\n)\s*[■▣◎●▶➤]?\s*\*?\*?\[?\s*정\s*답\s*\]?\*?\*?\s*[:.]?\s*([①-⑩0-9A-Za-z_$\\][^\n]*)"
+REST = r"([\s\S]*)\z"
 CONNECTIVES = "따라서|이제|그러므로|즉|한편|또한|먼저|그래서|이때"
 
 
@@ -32,14 +41,15 @@ def normalised(text: Column) -> Column:
 
     Rules for section and problem markers rest where standard markers are there already.
     """
-    section = F.regexp_replace(text, r"(^|\n)\s*[■▣◎●▶➤]?\s*(?:정답\s*[·및과]?\s*해설|풀이\s*및\s*정답|해설\s*및\s*정답|정답\s*해설)\s*\n", "$1[정답 및 해설]\n")
-    alone = F.regexp_replace(text, r"(^|\n)\s*(?:풀이|해설)\s*\n(?=[\s\S]{50,})", "$1[정답 및 해설]\n")
+    # a match takes the rest of the text with it, so the first header alone is replaced
+    section = F.regexp_replace(text, SECTION_HEADER + REST, "$1[정답 및 해설]\n$2")
+    alone = F.regexp_replace(text, LONE_HEADER + REST, "$1[정답 및 해설]\n$2")
     one = F.when(text.rlike(SOLUTION_SECTION), text).when(section != text, section).otherwise(alone)
-    problem = F.regexp_replace(one, r"(^|\n)\s*\*\*\s*(\d{1,3})\s*[.)]\s*\*\*", "$1[문항 $2]")
-    problem = F.regexp_replace(problem, r"(^|\n)\s*(?:예제|유형|문제)\s*(\d{1,3})\s*[.:)]?\s*(?=\n|\S)", "$1[문항 $2]\n")
-    problem = F.regexp_replace(problem, r"(^|\n)\s*(\d{1,2})\s*[.)]\s+(?=[가-힣$(\\\[°∀-⋿])", "$1[문항 $2]\n")
+    problem = one
+    for pattern, marker in PROBLEM_HEADERS:
+        problem = F.regexp_replace(problem, pattern, marker)
     two = F.when(text.rlike(PROBLEM_MARKER), one).otherwise(problem)
-    three = F.regexp_replace(two, r"(^|\n)\s*[■▣◎●▶➤]?\s*\*?\*?\[?\s*정\s*답\s*\]?\*?\*?\s*[:.]?\s*([①-⑩0-9A-Za-z_$\\][^\n]*)", "$1[정답] $2")
+    three = F.regexp_replace(two, ANSWER_LINE, "$1[정답] $2")
     four = F.regexp_replace(F.regexp_replace(three, r"\[해설\]\s*(\d{1,3})", "[해설 $1]"), r"\[해설\s*(\d{1,3})\s*\]", "[해설 $1]")
     rules = [("solution-section-standardized", text, one), ("problem-marker-standardized", one, two), ("answer-line-standardized", two, three), ("solution-marker-standardized", three, four)]
     return F.struct(four.alias("text"), F.array_compact(F.array(*[F.when(a != b, F.lit(n)) for n, a, b in rules])).alias("rules"))

@@ -65,7 +65,7 @@ class Index:
 
         A query's tokens are ordered by the most they can give.  A document whose last token in that order lies in a
         block can't score more than the tokens before give together with the block's best impact; a block below
-        the k-th best score found in the first blocks of all tokens is skipped, as its documents are reached through a
+        the k-th best score of the documents in the first blocks of all tokens is skipped, as its documents are reached through a
         later token, or not wanted.
         """
         heads = self.blocks.select("source", "token", "level", "chunk", "best", "size")
@@ -74,8 +74,8 @@ class Index:
         before = F.sum("bound").over(W.partitionBy("query").orderBy("bound", "token")) - F.col("bound")
         bounds = checkpointed(bounds.withColumn("before", before))
         seen = self._entries(bounds.select("query", "token", "weight", "top.*"))
-        partial = seen.groupBy("query", "source", "key").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
-        placed = partial.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("rank") <= k)
+        placed = self._scored(seen.select("query", "source", "key").distinct(), weights)
+        placed = placed.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score")))).where(F.col("rank") <= k)
         least = placed.where(F.col("rank") == k).select("query", (F.col("score") * (1 - SLACK) - SLACK).alias("least"))
         asked = bounds.join(least, "query", "left").select("query", "token", "weight", "before", F.coalesce("least", F.lit(0.0)).alias("least"))
         return asked.join(heads, "token").where(F.col("before") + F.col("weight") * F.col("best") >= F.col("least")).select("query", "source", "token", "level", "chunk", "weight", "size")
@@ -85,16 +85,18 @@ class Index:
         found = wanted.join(self.blocks.select("source", "token", "level", "chunk", "entries"), ["source", "token", "level", "chunk"])
         return found.select("query", "source", "weight", F.inline("entries"))
 
+    def _scored(self, candidates: DataFrame, weights: DataFrame) -> DataFrame:
+        """Whole scores of candidates (query, source, key)."""
+        asked = checkpointed(candidates).join(weights, "query").join(self.terms, ["source", "key", "token"])
+        total = F.sum(F.col("qf") * F.col("tf") * F.col("idf") * F.col("boost")) / F.sqrt(F.max("n") + 1)
+        return asked.groupBy("query", "source", "key").agg(total.alias("score"))
+
     def top_k(self, weights: DataFrame, k: int, needed: DataFrame | None = None) -> DataFrame:
         """(query, rank, source, key, score): the k best documents of each query, ties to the smaller key.
 
         score is the sum of qf * tf * idf * boost over the root of the document's distinct tokens + 1.
         """
         wanted = self.needed(weights, k) if needed is None else needed
-        candidates = checkpointed(self._entries(wanted).select("query", "source", "key").distinct())
-        mine = self.terms.join(candidates.select("source", "key").distinct(), ["source", "key"], "left_semi")
-        asked = candidates.join(weights, "query").join(mine, ["source", "key", "token"])
-        total = F.sum(F.col("qf") * F.col("tf") * F.col("idf") * F.col("boost")) / F.sqrt(F.max("n") + 1)
-        scored = asked.groupBy("query", "source", "key").agg(total.alias("score")).where("score > 0")
+        scored = self._scored(self._entries(wanted).select("query", "source", "key").distinct(), weights).where("score > 0")
         rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "key", "source"))
         return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "source", "key", "score")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .positions import numbered
+
 
 def keep_longest(rows: DataFrame, keys: list[str], text: str, order: list[str]) -> DataFrame:
     """One row per key: the longest text, the first in order among equals."""
@@ -81,7 +85,38 @@ def changed(files: DataFrame, state: DataFrame, key: str, at: str) -> DataFrame:
 
 
 def positional_fallback(left: DataFrame, right: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """value of right by key, else that of the row of right at the same place in the order."""
-    place = lambda d: d.withColumn("_at", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(order)))
-    a = place(left).join(right.select(key, F.col(value).alias("_v")), key, "left")
-    return a.join(place(right).select("_at", F.col(value).alias("_w")), "_at", "left").withColumn(value, F.coalesce("_v", "_w")).drop("_at", "_v", "_w")
+    """value of right by key, else that of the row of right at the same place in the order; keys are unique in right."""
+    a = numbered(left, [order], "_at").join(right.select(key, F.col(value).alias("_v")), key, "left")
+    other = numbered(right.select(order, value), [order], "_at").select("_at", F.col(value).alias("_w"))
+    return a.join(other, "_at", "left").withColumn(value, F.coalesce("_v", "_w")).drop("_at", "_v", "_w")
+
+
+def archived(rows: DataFrame, name: list[str], stamp: str) -> DataFrame:
+    """rows with archived: all versions of a name but the newest; null stamps are oldest, equal newest ones all stay.
+
+    The newest stamp is joined back, so no task sorts the versions of a name.
+    """
+    newest = rows.groupBy(*name).agg(F.max(stamp).alias("_newest"))
+    same = reduce(lambda a, b: a & b, [F.col(f"_{n}").eqNullSafe(F.col(n)) for n in name])
+    newest = newest.select(*[F.col(n).alias(f"_{n}") for n in name], "_newest")
+    return rows.join(newest, same).withColumn("archived", ~F.col(stamp).eqNullSafe(F.col("_newest"))).drop("_newest", *[f"_{n}" for n in name])
+
+
+def assisted_pairing(plan: DataFrame, records: DataFrame, least: float = 0.6) -> DataFrame:
+    """(series, no, problem, solution, filled, n): each series and number's longest problem and longest solution.
+
+    plan has id, series, no, side (problem, solution or other) and confidence; records has id, chars and filled, whether
+    the problem has a solution already.  Rows below the confidence, without a number or of another side do not count.
+    Of equal lengths the smaller id is taken.  n is the number of rows that the pair was chosen from.
+    """
+    sure = plan.where((F.col("confidence") >= least) & F.col("no").isNotNull() & F.col("side").isin("problem", "solution"))
+    rows = sure.join(records.select("id", "chars", "filled"), "id")
+    best = lambda side: F.max_by(F.struct("id", "filled"), F.when(F.col("side") == side, F.struct(F.coalesce("chars", F.lit(0)).alias("c"), (-F.col("id")).alias("i"))))
+    both = rows.groupBy("series", "no").agg(best("problem").alias("p"), best("solution").alias("s"), F.count_if(F.col("side") == "problem").alias("problems"), F.count("*").alias("n"))
+    return both.where((F.col("problems") > 0) & (F.col("problems") < F.col("n"))).select("series", "no", F.col("p.id").alias("problem"), F.col("s.id").alias("solution"), F.col("p.filled").alias("filled"), "n")
+
+
+def pairing_counts(plan: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(updated, skipped): pairs whose problem had no solution; rows that led to no pair, and one for each filled problem."""
+    used = pairs.agg(F.count_if(~F.col("filled")).alias("updated"), F.count_if("filled").alias("full"), F.coalesce(F.sum("n"), F.lit(0)).alias("used"))
+    return plan.agg(F.count("*").alias("all")).crossJoin(used).select("updated", (F.col("all") - F.col("used") + F.col("full")).alias("skipped"))

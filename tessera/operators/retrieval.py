@@ -47,24 +47,33 @@ def similar_pairs(rows: DataFrame, owner: str, key: str, tokens: str, least: flo
 
     By prefix filtering: alike sets share one of the first |x| - ceil(t * |x|) + 1 tokens in a fixed order, t being the
     share of |x| that they have in common at least; with contained, only the smaller has to have it among its first.
-    Rare tokens come first, so few rows meet in one; the postings hold keys and sizes only, and the sets are joined to
-    the distinct pairs that meet.
+    Rare tokens come first, so few rows meet in one.  Rows that meet at a token have no more in common than what follows
+    it in either, if it is their first common one; where that is too little, another token is their first, or they are
+    not alike.  The postings hold keys, sizes and places only, and the sets are joined to the distinct pairs that are left.
+    Sets are held by 64-bit hashes of their tokens.
     """
-    sets = rows.select(owner, key, F.array_distinct(tokens).alias("set")).where(F.size("set") > 0)
-    share = min(least, least_long if least_long is not None else least, contained if contained is not None else least)
-    # hashes of tokens in the order of their number of rows, the rarest first
-    spread = sets.select(owner, key, F.size("set").alias("n"), F.explode("set").alias("token")).withColumn("token", F.xxhash64("token"))
+    sets = rows.select(owner, key, F.transform(F.array_distinct(tokens), lambda t: F.xxhash64(t)).alias("set")).where(F.size("set") > 0)
+    jaccard = min(least, least_long if least_long is not None else least)
+    share = min(jaccard, contained if contained is not None else jaccard)
+    spread = sets.select(owner, key, F.size("set").alias("n"), F.explode("set").alias("token"))
+    # in the order of their number of rows, the rarest first
     counts = spread.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     placed = spread.join(counts, "token").groupBy(owner, key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     # tokens of one row only meet nobody; they take the first places of the prefix
-    single = F.col("n") - F.size("order")
-    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(share) * F.col("n")).cast("int") + 1 - single)
-    posted = placed.select(owner, key, "n", F.explode(F.transform(F.slice("order", F.lit(1), keep), lambda x: x["token"])).alias("token"))
-    stored = posted if contained is None else placed.select(owner, key, "n", F.explode(F.transform("order", lambda x: x["token"])).alias("token"))
-    a, b = posted.select(owner, "token", F.col(key).alias("p"), F.col("n").alias("m")), stored.select(owner, "token", F.col(key).alias("q"), "n")
-    met = a.hint("merge").join(b, [owner, "token"]).where("m < n OR (m = n AND p < q)")
+    placed = placed.withColumns({"single": F.col("n") - F.size("order"), "order": F.transform("order", lambda x: x["token"])})
+    keep = F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(share) * F.col("n")).cast("int") + 1 - F.col("single"))
+    post = lambda tokens: placed.select(owner, key, "n", "single", F.posexplode(tokens).alias("at", "token"))
+    posted = post(F.slice("order", F.lit(1), keep))
+    stored = posted if contained is None else post(F.col("order"))
+    # what follows the token in a set, the token with it
+    side = lambda d, k, size, left: d.select(owner, "token", F.col(key).alias(k), F.col("n").alias(size), (F.col("n") - F.col("single") - F.col("at")).alias(left))
+    met = side(posted, "p", "m", "i").hint("merge").join(side(stored, "q", "n", "j"), [owner, "token"]).where("m < n OR (m = n AND p < q)")
+    needed = F.lit(jaccard / (1 + jaccard)) * (F.col("m") + F.col("n"))
     if contained is None:
         met = met.where(F.col("m") >= share * F.col("n"))
+    else:
+        needed = F.least(needed, F.lit(contained) * F.col("m"))
+    met = met.where(F.least("i", "j") >= needed - 1e-6)
     pairs = met.select(owner, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     # a key is known within its owner only
     first, second = (sets.select(owner, F.col(key).alias(k), F.col("set").alias(s)).hint("merge") for k, s in (("a", "x"), ("b", "y")))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .inline import frame, values
+from .inline import carried, carry, some_after
 from .registry import query
 
 FOLDERS = """SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 7 ELSE 0 END AS files,
@@ -69,7 +69,7 @@ BOOK, TOTAL, PAGE, DONE = r"=== 📘 \[(.+?)\] (.+?) \(.+?MB\) ===", r"^\s*✔ (
 
 
 @query(f"""WITH k AS (SELECT *, CASE WHEN regexp_matches(line, '{BOOK}') THEN 'book' WHEN regexp_matches(line, '{TOTAL}') THEN 'total' WHEN regexp_matches(line, '{PAGE}') THEN 'page'
-    WHEN regexp_matches(line, '{DONE}') THEN 'done' END AS kind FROM {values(LOG, "run, no, line")}),
+    WHEN regexp_matches(line, '{DONE}') THEN 'done' END AS kind FROM {carried(LOG, "run, no, line", line=some_after("line"))}),
     e AS (SELECT *, CASE WHEN kind = 'book' THEN regexp_extract(line, '{BOOK}', 1) END AS f, CASE WHEN kind = 'book' THEN regexp_extract(line, '{BOOK}', 2) END AS b,
     CASE kind WHEN 'book' THEN 0 WHEN 'page' THEN CAST(regexp_extract(line, '{PAGE}', 1) AS INT) END AS p, CASE kind WHEN 'book' THEN 0 WHEN 'total' THEN CAST(regexp_extract(line, '{TOTAL}', 1) AS INT) END AS t,
     kind = 'page' AND regexp_extract(line, '{PAGE}', 3) = '✓' AS good FROM k)
@@ -80,7 +80,7 @@ def run_progress(read):
     """The state of a run after each line of its log: the last book, page and total, and running counts."""
     has = lambda p: F.col("line").rlike(p)
     part = lambda p, i: F.regexp_extract("line", p, i)
-    rows = frame(read.spark, LOG, "run long, no long, line string").withColumn("kind", F.when(has(BOOK), "book").when(has(TOTAL), "total").when(has(PAGE), "page").when(has(DONE), "done"))
+    rows = carry(read, LOG, "run long, no long, line string", line=some_after("line")).withColumn("kind", F.when(has(BOOK), "book").when(has(TOTAL), "total").when(has(PAGE), "page").when(has(DONE), "done"))
     is_ = lambda k: F.col("kind") == k
     good = is_("page") & (part(PAGE, 3) == "✓")
     w = W.partitionBy("run").orderBy("no").rowsBetween(W.unboundedPreceding, 0)

@@ -1,4 +1,4 @@
-"""Queries of the row-quality rules over inline cases: one row per case and code."""
+"""Queries of the row-quality rules over cases that documents carry: one row per document and code."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions import issues as I
 from ..functions import text as T
-from .inline import values
+from .inline import after, carried, carry
 from .registry import query
 
 LONG = "주어진 식을 정리하면 다음과 같은 결과를 얻을 수 있으므로 조건을 만족한다. "
@@ -28,14 +28,10 @@ DRAFTS = [
     (14, "①", LONG + "![p](a.png)\n$$a=b$$."),
     (15, "12", LONG + "different determination 정답은 2"),
 ]
-ROWS = values(DRAFTS, "id, answer, explanation")
+ROWS = carried(DRAFTS, "id, answer, explanation", explanation=after("explanation"))
 FIRST = "regexp_extract({0}, '([①②③④⑤])', 1)"
 
 
-def fixture(read, rows, schema):
-    return read.spark.createDataFrame(rows, schema)
-
-
 def union(source: str, rules: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT id, '{code}' AS code FROM {source} WHERE {rule}" for code, rule in rules.items())
 
@@ -66,7 +62,7 @@ LAST = f"translate(regexp_extract_all(explanation, '{I.CONCLUSION}', 1)[-1], '12
     "E_CURRICULUM_OUT_OF_SCOPE": " OR ".join(f"regexp_matches(explanation, '{p}')" for _, p in I.CONCEPTS),
 }))
 def draft_issues(read):
-    return exploded(fixture(read, DRAFTS, "id int, answer string, explanation string"), I.content_issues(F.col("answer"), F.col("explanation")))
+    return exploded(carry(read, DRAFTS, "id int, answer string, explanation string", explanation=after("explanation")), I.content_issues(F.col("answer"), F.col("explanation")))
 
 
 CHUNKS = [
@@ -83,7 +79,7 @@ CHUNKS = [
     (11, "[문제]\n</보기> 뒤집힘 <보기>\n[빠른 정답] 1\n[해설]\n끝"),
     (12, None),
 ]
-CHUNK_ROWS = values(CHUNKS, "id, chunk")
+CHUNK_ROWS = carried(CHUNKS, "id, chunk", chunk=after("chunk"))
 BODY = r"(?s)\[문제(?:\s+\d+)?\]\s*(.*?)\n?\s*(?:\d+\)\s*)?\[(?:빠른\s*정답|정답)\]"
 SPLIT_ROWS = f"(SELECT id, regexp_extract(chunk, '{BODY}', 1) AS p, regexp_extract(chunk, '(?s)\\[해설\\]\\s*(.*)', 1) AS e FROM {CHUNK_ROWS} WHERE chunk IS NOT NULL)"
 PLACES = f"(SELECT id, {first_place('chunk', I.PROBLEM)} AS p, {first_place('chunk', I.QUICK)} AS q, {first_place('chunk', I.EXPLANATION)} AS e, {first_place('chunk', I.LEGACY)} AS old FROM {CHUNK_ROWS} WHERE chunk IS NOT NULL)"
@@ -91,7 +87,7 @@ HEADERS = {"no_problem": "p = 0", "legacy_answer_only": "q = 0 AND old > 0", "no
 
 
 def chunks(read):
-    return fixture(read, CHUNKS, "id int, chunk string").where("chunk IS NOT NULL")
+    return carry(read, CHUNKS, "id int, chunk string", chunk=after("chunk")).where("chunk IS NOT NULL")
 
 
 @query(union(PLACES, HEADERS))
@@ -141,28 +137,30 @@ OUTPUTS = [
     (5, '{"answer":"1","explanation_steps":[{"text":"\\\\frac{1}{2} ' + "라" * 60 + '","equation":""},{"text":"x","equation":""}]}'),
     (6, '{"answer":"1","explanation_steps":[{"equation":"x"},{"text":"y"}]}'),
 ]
-CLEANED = "(SELECT id, trim(regexp_replace(regexp_replace(raw, '(?i)^```(json)?\\s*\\n?', ''), '\\n?```\\s*$', '')) AS j FROM " + values(OUTPUTS, "id, raw") + ")"
+NAMED = "replace(replace(c.raw, '가', coalesce(d.source, '')), '라', coalesce(d.lang, ''))"
+CLEANED = "(SELECT id, trim(regexp_replace(regexp_replace(raw, '(?i)^```(json)?\\s*\\n?', ''), '\\n?```\\s*$', '')) AS j FROM " + carried(OUTPUTS, "id, raw", raw=NAMED) + ")"
 PARSED = f"(SELECT id, json_extract_string(j, '$.answer') AS a, json_extract(j, '$.explanation_steps') AS s, coalesce(array_to_string(list_transform(json_extract(j, '$.explanation_steps[*]'), lambda x: coalesce(json_extract_string(x, '$.text'), '')), ' '), '') AS t FROM {CLEANED} WHERE json_valid(j))"
 LEFT_OVER = r"\\(frac|sqrt|begin|end|left|right|cdot|times|sum|int)"
 
 
 @query(f"SELECT id, 'V1_json' AS code FROM {CLEANED} WHERE NOT json_valid(j) UNION ALL " + union(PARSED, {"V2_answer": "coalesce(trim(a), '') = ''", "V2_steps": "s IS NULL", "V3_few_steps": "json_array_length(s) < 2", "V4_short": "length(t) < 50", "V6_latex": f"regexp_matches(t, '{LEFT_OVER}')"}))
 def output_gate(read):
-    return exploded(fixture(read, OUTPUTS, "id int, raw string"), I.output_issues(F.col("raw")))
+    return exploded(carry(read, OUTPUTS, "id int, raw string", raw=NAMED), I.output_issues(F.col("raw")))
 
 
 RUNS = [
     (1, "Quota exceeded|429 again"), (2, "request TIMEOUT"), (3, "JSON parse"), (4, ""), (5, "fetch failed"), (6, "mathpix 500"), (7, "Gemini down"),
     (8, "invalid_grant"), (9, "빈  텍스트"), (10, "what"), (11, "형식 미달|what"), (12, None), (13, "rate limit"), (14, "rate_limit"),
 ]
+WITH_SOURCE = "c.errors || '|' || coalesce(d.source, '')"
 ERROR_CASES = " ".join(f"WHEN regexp_matches(lower(e), '{p}') THEN '{n}'" for n, p in I.ERRORS)
 
 
 @query(f"""SELECT class, count(*) AS n, array_to_string(list(id ORDER BY id)[1:3], ',') AS examples FROM (SELECT id, CASE WHEN e = '' THEN 'no-detail' {ERROR_CASES} ELSE 'other' END AS class
-FROM (SELECT id, unnest(string_split(coalesce(errors, ''), '|')) AS e FROM {values(RUNS, 'id, errors')})) GROUP BY 1""")
+FROM (SELECT id, unnest(string_split(coalesce(errors, ''), '|')) AS e FROM {carried(RUNS, 'id, errors', errors=WITH_SOURCE)})) GROUP BY 1""")
 def error_classes(read):
     """Errors by class, with the first three runs of each; a run without any counts as no-detail."""
-    rows = fixture(read, RUNS, "id int, errors string").select("id", F.explode(F.split(F.coalesce("errors", F.lit("")), r"\|")).alias("e"))
+    rows = carry(read, RUNS, "id int, errors string", errors=WITH_SOURCE).select("id", F.explode(F.split(F.coalesce("errors", F.lit("")), r"\|")).alias("e"))
     rows = rows.select("id", F.when(F.col("e") == "", "no-detail").otherwise(T.first_matching(F.lower("e"), I.ERRORS, "other")).alias("class"))
     first = rows.withColumn("r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where("r <= 3")
     examples = first.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("examples"))
@@ -172,7 +170,7 @@ def error_classes(read):
 STEPS = [(1, '{"Stage":"형식 미달"}'), (1, '{"x":"JSON 파싱 실패, format mismatch"}'), (2, '{"x":"Cannot read header"}'), (3, '{"x":"fine"}'), (3, None)]
 
 
-@query("SELECT code, count(*) AS n FROM (" + union(values(STEPS, "id, step"), {n: f"regexp_matches(lower(step), '{p}')" for n, p in I.FORMATS}) + ") GROUP BY 1")
+@query("SELECT code, count(*) AS n FROM (" + union(carried(STEPS, "id, step", step=after("step")), {n: f"regexp_matches(lower(step), '{p}')" for n, p in I.FORMATS}) + ") GROUP BY 1")
 def format_labels(read):
-    rows = fixture(read, STEPS, "id int, step string")
+    rows = carry(read, STEPS, "id int, step string", step=after("step"))
     return rows.select(F.explode(T.all_matching(F.lower("step"), I.FORMATS)).alias("code")).groupBy("code").agg(F.count("*").alias("n"))

@@ -91,3 +91,14 @@ def overlapping_owners(read):
     """Parts with the number of what they are merged into: neighbours of one owner whose grown boxes overlap."""
     found = L.segments(lines(read), WIDTH, HEIGHT)
     return L.merged_owners(L.split_at_answers(found, L.merged_forward(found)))
+
+
+@query(f"""SELECT page, CAST(run AS BIGINT) AS run, any_value(question) AS question, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM
+(SELECT *, sum(CASE WHEN place > 0 AND same THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY place) AS run FROM (SELECT *, lag(question) OVER (PARTITION BY page ORDER BY place) IS NOT DISTINCT FROM question AS same FROM ({LINES}))) GROUP BY 1, 2""")
+def merged_piece_boxes(read):
+    """Runs of neighbouring pieces of one question, with the box around them."""
+    w = W.partitionBy("page").orderBy("place")
+    new = F.when(F.lag("question").over(w).eqNullSafe(F.col("question")) & (F.col("place") > 0), 0).otherwise(1)
+    runs = lines(read).withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    boxes = [F.min(c).alias(c) for c in ("x0", "y0")] + [F.max(c).alias(c) for c in ("x1", "y1")]
+    return runs.groupBy("page", "run").agg(F.first("question").alias("question"), F.count("*").alias("n"), *boxes)

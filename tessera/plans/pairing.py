@@ -53,18 +53,45 @@ def paired_within_document(read):
     return side("content").withColumnRenamed("content", "problem").join(side("solution"), ["doc", "no"], "left")
 
 
-PLAN = "SELECT l_orderkey AS id, l_suppkey % 4 AS side, l_linenumber AS no, l_partkey % 50 AS series, l_discount * 10 AS confidence, l_shipdate AS at FROM lineitem"
-SURE = f"SELECT * FROM ({PLAN}) WHERE confidence >= 0.6 AND side IN (0, 1) AND no IS NOT NULL"
+PLAN = """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'problem' WHEN 1 THEN 'solution' WHEN 2 THEN CASE WHEN doc_id % 3 = 0 THEN 'problem' ELSE 'solution' END ELSE 'unknown' END AS side,
+    CASE WHEN doc_id % 11 <> 0 THEN doc_id // 7 % 5 END AS no, lang AS series, (doc_id % 10) / 10.0 AS confidence, length(text) AS chars, doc_id % 7 = 0 AS filled FROM documents"""
+CHOSEN = f"""p AS ({PLAN}), k AS (SELECT * FROM p WHERE confidence >= 0.6 AND no IS NOT NULL AND side <> 'unknown'),
+o AS (SELECT *, row_number() OVER (PARTITION BY series, no, side ORDER BY chars DESC, id) AS r, count(*) OVER (PARTITION BY series, no) AS n FROM k),
+c AS (SELECT a.series, a.no, a.id AS problem, b.id AS solution, a.filled, a.n FROM o a JOIN o b ON a.series = b.series AND a.no = b.no WHERE a.side = 'problem' AND b.side = 'solution' AND a.r = 1 AND b.r = 1)"""
 
 
-@query(f"""WITH p AS (SELECT series, no, min(id) AS problem FROM ({SURE}) WHERE side = 0 GROUP BY 1, 2), s AS (SELECT series, no, max(id) AS solution FROM ({SURE}) WHERE side = 1 GROUP BY 1, 2)
-SELECT series, no, problem, solution FROM p JOIN s USING (series, no) WHERE problem <> solution""")
+def _plan(read):
+    i = F.col("doc_id")
+    side = F.when(i % 4 == 0, "problem").when(i % 4 == 1, "solution").when(i % 4 == 2, F.when(i % 3 == 0, "problem").otherwise("solution")).otherwise("unknown")
+    docs = read("documents")
+    plan = docs.select(i.alias("id"), side.alias("side"), F.when(i % 11 != 0, F.expr("doc_id div 7 % 5")).alias("no"), F.col("lang").alias("series"), ((i % 10).cast("decimal(2,0)") / 10).alias("confidence"))
+    return plan, docs.select(i.alias("id"), F.length("text").alias("chars"), (i % 7 == 0).alias("filled"))
+
+
+@query(f"WITH {CHOSEN} SELECT series, no, problem, solution FROM c WHERE NOT filled")
 def assisted_pairing(read):
-    """Of the confident rows of a plan, one problem and one solution of each series and number."""
-    plan = read("lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 4).alias("side"), F.col("l_linenumber").alias("no"), (F.col("l_partkey") % 50).alias("series"), (F.col("l_discount") * 10).alias("confidence"))
-    sure = plan.where("confidence >= 0.6 AND side IN (0, 1) AND no IS NOT NULL")
-    both = sure.groupBy("series", "no").agg(F.min(F.when(F.col("side") == 0, F.col("id"))).alias("problem"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("solution"))
-    return both.where("problem <> solution")  # one shuffle for both sides; a missing side is null and goes
+    """Of the confident rows of a plan, the longest problem and solution of each series and number, unless it has one."""
+    return R.assisted_pairing(*_plan(read)).where("NOT filled").select("series", "no", "problem", "solution")
+
+
+@query(f"WITH {CHOSEN} SELECT count(*) FILTER (NOT filled) AS updated, CAST((SELECT count(*) FROM p) - coalesce(sum(n), 0) + count(*) FILTER (filled) AS BIGINT) AS skipped FROM c")
+def assisted_pairing_counts(read):
+    plan, records = _plan(read)
+    return R.pairing_counts(plan, R.assisted_pairing(plan, records))
+
+
+@query("""SELECT p_partkey, coalesce(a.s_acctbal, b.s_acctbal) AS s_acctbal FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM part) p LEFT JOIN supplier a ON a.s_suppkey = p_partkey AND a.s_suppkey % 3 = 0
+LEFT JOIN (SELECT s_acctbal, row_number() OVER (ORDER BY s_suppkey) AS place FROM supplier WHERE s_suppkey % 3 = 0) b ON b.place = p.place""")
+def positional_pairs(read):
+    """Parts with the balance of the supplier of their number, else of the supplier at their place."""
+    suppliers = read("supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("p_partkey"), "s_acctbal")
+    return R.positional_fallback(read("part").select("p_partkey"), suppliers, "p_partkey", "p_partkey", "s_acctbal")
+
+
+@query("SELECT event_id, coalesce(ts <> max(ts) OVER (PARTITION BY event_type, user_id), false) AS archived FROM events")
+def archived_versions(read):
+    """All but the newest of a kind and user's events, which are archived."""
+    return R.archived(read("events").select("event_id", "event_type", "user_id", "ts"), ["event_type", "user_id"], "ts").select("event_id", "archived")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') OR NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P')")
@@ -170,3 +197,44 @@ def caution_lookup(read):
     rows = read("documents").join(bad, "doc_id").where(F.exists(words, lambda t: F.contains(F.lower("text"), t)))
     prefix = F.substring(F.regexp_replace(F.trim("text"), r"\s+", " "), 1, 60)
     return rows.groupBy(prefix.alias("prefix")).agg(F.max("doc_id").alias("doc_id")).orderBy(F.desc("doc_id")).limit(7)
+
+
+# What is suggested for which counts, first match of an area counts
+RECORD_RULES = {
+    "format": [("high", "exam_name >= 5")],
+    "json": [("medium", "json >= 3")],
+    "header": [("medium", "header >= 3")],
+    "pairing_rate": [("high", "problems >= 20 AND paired < 0.4 * problems"), ("medium", "problems >= 20 AND paired < 0.7 * problems")],
+    "missing": [("high", "missing >= 10"), ("medium", "missing > 0")],
+    "duplicate": [("medium", "duplicate >= 5"), ("low", "duplicate > 0")],
+    "unpaired": [("high", "unpaired >= 5")],
+    "records": [("high", "records = 0"), ("low", "records < 50")],
+}
+
+
+def _priority(rules: list[tuple[str, str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {rule} THEN '{p}'" for p, rule in rules) + " END"
+
+
+COUNTED = f"""p AS ({PLAN}), g AS (SELECT series, no, count(*) FILTER (side = 'problem') AS a, count(*) FILTER (side = 'solution') AS b FROM p WHERE no IS NOT NULL GROUP BY 1, 2),
+one AS (SELECT (SELECT count(*) FROM events WHERE event_type = 'error' AND event_id % 3 = 0) AS exam_name, (SELECT count(*) FROM events WHERE event_type = 'error' AND event_id % 3 = 1 AND event_id < 100) AS json, (SELECT count(*) FROM events WHERE event_type = 'none') AS header,
+    (SELECT count(*) FROM p WHERE side = 'problem' AND no IS NOT NULL) AS problems, (SELECT count(*) FROM p WHERE side = 'problem' AND no IS NOT NULL AND filled) AS paired,
+    (SELECT coalesce(sum(high - low + 1 - n), 0) FROM (SELECT series, max(no) AS high, min(no) AS low, count(DISTINCT no) AS n FROM g GROUP BY 1)) AS missing,
+    (SELECT count(*) FROM g WHERE a >= 2 OR b >= 2) AS duplicate, (SELECT count(*) FROM g WHERE (a = 0) <> (b = 0)) AS unpaired, (SELECT count(*) FROM documents) AS records)"""
+
+
+@query(f"WITH {COUNTED} SELECT area, priority FROM (" + " UNION ALL ".join(f"SELECT '{area}' AS area, {_priority(rules)} AS priority FROM one" for area, rules in RECORD_RULES.items()) + ") WHERE priority IS NOT NULL")
+def record_suggestions(read):
+    """What the counts of records, of their gaps, duplicates and pairs, and of bad formats suggest."""
+    plan, filled = _plan(read)
+    error = read("events").where("event_type IN ('error', 'none')")
+    formats = error.agg(F.count_if(F.expr("event_type = 'error' AND event_id % 3 = 0")).alias("exam_name"), F.count_if(F.expr("event_type = 'error' AND event_id % 3 = 1 AND event_id < 100")).alias("json"), F.count_if(F.expr("event_type = 'none'")).alias("header"))
+    rows = plan.join(filled, "id")
+    is_problem = (F.col("side") == "problem") & F.col("no").isNotNull()
+    sizes = rows.agg(F.count_if(is_problem).alias("problems"), F.count_if(is_problem & F.col("filled")).alias("paired"), F.count("*").alias("records"))
+    groups = plan.where("no IS NOT NULL").groupBy("series", "no").agg(F.count_if(F.col("side") == "problem").alias("a"), F.count_if(F.col("side") == "solution").alias("b"))
+    by_series = groups.groupBy("series").agg((F.max("no") - F.min("no") + 1 - F.count("*")).alias("gap"), F.count_if(F.expr("a >= 2 OR b >= 2")).alias("d"), F.count_if(F.expr("(a = 0) <> (b = 0)")).alias("u"))
+    integrity = by_series.agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("missing"), F.coalesce(F.sum("d"), F.lit(0)).alias("duplicate"), F.coalesce(F.sum("u"), F.lit(0)).alias("unpaired"))
+    one = formats.crossJoin(sizes).crossJoin(integrity)  # a row each
+    found = F.array(*[F.struct(F.lit(area).alias("area"), F.expr(_priority(rules)).alias("priority")) for area, rules in RECORD_RULES.items()])
+    return one.select(F.inline(found)).where("priority IS NOT NULL")

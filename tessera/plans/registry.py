@@ -38,4 +38,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import analysis, choices, corpus, documents, folders, gates, indexed, layout, ordered, pairing, quality, records, reviews, usage  # noqa: F401
+    from . import analysis, choices, collated, corpus, documents, extracts, folders, gates, indexed, layout, ordered, pairing, quality, records, reports, reviews, stored, structure, usage  # noqa: F401

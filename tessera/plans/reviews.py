@@ -1,6 +1,6 @@
 """Queries of the review rules: runs and their steps, answers and solutions, scanned pages, boxes, front matter.
 
-Inline cases where the tables hold no such subject; documents, orders, line items and customers elsewhere.
+Documents carry cases where the tables hold no such subject; orders, line items and customers elsewhere.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import review as R
 from ..functions.text import CIRCLED
-from .gates import exploded, fixture, union
-from .inline import values
+from .gates import exploded, union
+from .inline import OWN, after, carried, carry, some_after, values
 from .registry import query
 
 RUNS = [
@@ -36,14 +36,14 @@ STEPS = [
     (8, 1, "다 ④", "y=1"),
 ]
 GATHERED = f"""(SELECT r.*, coalesce(n, 0) AS n, coalesce(bare, 0) AS bare, coalesce(raw, false) AS raw, coalesce(shown, false) AS shown, concat_ws(chr(10), answer, summary, coalesce(joined, '')) AS full_text
-    FROM {values(RUNS, "id, ok, attempts, errors, answer, summary").replace("AS t(", "AS r(")} LEFT JOIN (SELECT id, count(*) AS n, sum(CASE WHEN trim(equation) = '' THEN 1 ELSE 0 END) AS bare, bool_or(regexp_matches(text, '{R.RAW_LATEX}')) AS raw,
-    bool_or(regexp_matches(text || equation, '{R.ANY_CHOICE}')) AS shown, string_agg(text || ' ' || equation, chr(10) ORDER BY no) AS joined FROM {values(STEPS, "id, no, text, equation")} GROUP BY id) s USING (id))"""
+    FROM {carried(RUNS, "id, ok, attempts, errors, answer, summary", summary=after("summary"))[:-1]}r LEFT JOIN (SELECT id, count(*) AS n, sum(CASE WHEN trim(equation) = '' THEN 1 ELSE 0 END) AS bare, bool_or(regexp_matches(text, '{R.RAW_LATEX}')) AS raw,
+    bool_or(regexp_matches(text || equation, '{R.ANY_CHOICE}')) AS shown, string_agg(text || ' ' || equation, chr(10) ORDER BY no) AS joined FROM {carried(STEPS, "id, no, text, equation", text=after("text"))} GROUP BY id) s USING (id))"""
 
 
 def runs(read):
     """The runs with their steps in order; a run without steps has an empty array."""
-    steps = fixture(read, STEPS, "id int, no int, text string, equation string").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "text", "equation"))).alias("steps"))
-    rows = fixture(read, RUNS, "id int, ok boolean, attempts int, errors string, answer string, summary string").join(steps, "id", "left")
+    steps = carry(read, STEPS, "id int, no int, text string, equation string", text=after("text")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("no", "text", "equation"))).alias("steps"))
+    rows = carry(read, RUNS, "id int, ok boolean, attempts int, errors string, answer string, summary string", summary=after("summary")).join(steps, "id", "left")
     return rows.withColumn("steps", F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)))
 
 
@@ -88,7 +88,7 @@ ANSWERED = [
 ]
 PARTS = f"""(SELECT id, a, s, translate(a, '{CIRCLED}', '12345') AS k, regexp_matches(substr(s, 1, 1200), '{R.CHOICES_NAMED}') OR regexp_matches(substr(s, 1, 900), '{R.CHOICES_SHOWN}') AS named,
     CASE WHEN regexp_extract(s, '{R.CLOSED_CIRCLED}', 3) <> '' THEN translate(regexp_extract(s, '{R.CLOSED_CIRCLED}', 3), '{CIRCLED}', '12345') ELSE regexp_extract(s, '{R.CLOSED_DIGIT}', 4) END AS closed
-    FROM (SELECT id, trim(regexp_extract(t, '{R.ANSWER}', 1)) AS a, regexp_extract(t, '{R.SOLUTION}', 1) AS s FROM {values(ANSWERED, 'id, t')}) WHERE a <> '' AND trim(s) <> '')"""
+    FROM (SELECT id, trim(regexp_extract(t, '{R.ANSWER}', 1)) AS a, regexp_extract(t, '{R.SOLUTION}', 1) AS s FROM {carried(ANSWERED, 'id, t', t=after('t'))}) WHERE a <> '' AND trim(s) <> '')"""
 
 
 @query(union(PARTS, {
@@ -97,7 +97,7 @@ PARTS = f"""(SELECT id, a, s, translate(a, '{CIRCLED}', '12345') AS k, regexp_ma
     "no_closing_choice": "named AND regexp_full_match(k, '[1-5]') AND closed = ''",
 }))
 def choice_review(read):
-    return exploded(fixture(read, ANSWERED, "id int, t string"), R.choice_issues(F.col("t")))
+    return exploded(carry(read, ANSWERED, "id int, t string", t=after("t")), R.choice_issues(F.col("t")))
 
 
 QUESTIONS = [(1, "삼각형의 넓이를 구하시오."), (2, "두 그래프의 교점의 x좌표의 합"), (3, "확률을 구하시오"), (4, ""), (5, "0 ≤ x 에서 서로 다른 실근"), (6, "그림과 같이 반지름이 2 인 부채꼴")]
@@ -105,9 +105,9 @@ SCORE = " + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for
 REASONS = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" for name, _, p in R.DIAGRAM)
 
 
-@query(f"SELECT id, score, score >= {R.DIAGRAM_FROM} AS wanted, reasons FROM (SELECT id, {SCORE} AS score, concat_ws(',', {REASONS}) AS reasons FROM {values(QUESTIONS, 'id, t')})")
+@query(f"SELECT id, score, score >= {R.DIAGRAM_FROM} AS wanted, reasons FROM (SELECT id, {SCORE} AS score, concat_ws(',', {REASONS}) AS reasons FROM {carried(QUESTIONS, 'id, t', t=after('t'))})")
 def diagram_need(read):
-    rows = fixture(read, QUESTIONS, "id int, t string").select("id", R.diagram_need(F.col("t")).alias("d"))
+    rows = carry(read, QUESTIONS, "id int, t string", t=after("t")).select("id", R.diagram_need(F.col("t")).alias("d"))
     return rows.select("id", "d.score", (F.col("d.score") >= R.DIAGRAM_FROM).alias("wanted"), F.array_join("d.reasons", ",").alias("reasons"))
 
 
@@ -125,7 +125,7 @@ LENGTHS = f"""(SELECT *, CASE WHEN n >= 3 AND numbered >= 2 AND numbered / n >=
     ELSE length(s) > CASE profile WHEN 'killer' THEN 5500 WHEN 'easy' THEN 1800 ELSE 2800 END END AS lengthy, len(regexp_extract_all(s, '\\[방법\\s*\\d+\\]')) AS methods,
     regexp_matches(concat_ws(chr(10), a, s), '{R.ESTIMATED}') AS estimated, regexp_matches(a, '{R.EXACT}') OR regexp_matches(s, '{R.EXACT_END}') AS exact FROM
     (SELECT *, len(filled) AS n, len(list_filter(filled, lambda x: regexp_matches(x, '^\\d+\\.\\s'))) AS numbered FROM (SELECT *, list_filter(list_transform(string_split(s, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS filled FROM
-    (SELECT id, t, profile, trim(regexp_extract(t, '{R.ANSWER}', 1)) AS a, trim(regexp_extract(t, '{R.SOLUTION}', 1)) AS s FROM {values(SOLUTIONS, 'id, profile, t')}))))"""
+    (SELECT id, t, profile, trim(regexp_extract(t, '{R.ANSWER}', 1)) AS a, trim(regexp_extract(t, '{R.SOLUTION}', 1)) AS s FROM {carried(SOLUTIONS, 'id, profile, t', t=after('t'))}))))"""
 
 
 @query(union(LENGTHS, {name: f"regexp_matches(t, '{p.replace("'", "''")}')" for name, p in R.SCOPE} | {
@@ -134,28 +134,28 @@ LENGTHS = f"""(SELECT *, CASE WHEN n >= 3 AND numbered >= 2 AND numbered / n >=
     "too_long": "methods <= 1 AND lengthy",
 }))
 def solution_review(read):
-    rows = fixture(read, SOLUTIONS, "id int, profile string, t string")
+    rows = carry(read, SOLUTIONS, "id int, profile string, t string", t=after("t"))
     return exploded(rows, F.concat(R.scope_issues(F.col("t")), R.length_issues(F.col("t"), F.col("profile"))))
 
 
 SCANS = [(1, "짧다"), (2, "[문항 1] " + "가" * 120), (3, "나" * 120 + " 풀이 3. 값"), (4, "3. " + "다" * 120 + " 정답 [해설 3]"), (5, "라" * 210 + " 7) 해설"), (6, "")]
 
 
-@query(union(values(SCANS, "id, t"), {
+@query(union(carried(SCANS, "id, t", t=some_after("t")), {
     "short": "length(t) < 100",
     "no_item": f"NOT regexp_matches(t, '{R.ITEM}') AND NOT regexp_matches(substr(t, 1, 200), '\\d+[.)]')",
     "no_solution_mark": f"regexp_matches(t, '{R.SOLVED_WORD}') AND NOT regexp_matches(t, '{R.SOLVED}')",
 }))
 def scan_review(read):
-    return exploded(fixture(read, SCANS, "id int, t string"), R.scan_issues(F.col("t")))
+    return exploded(carry(read, SCANS, "id int, t string", t=some_after("t")), R.scan_issues(F.col("t")))
 
 
 MESSAGES = [(1, "Unsupported token \\foo"), (2, "Tree is invalid"), (3, "boom"), (4, None), (5, "unsupported tree")]
 
 
-@query(f"SELECT id, CASE WHEN contains(lower(t), 'unsupported') THEN 'unsupported_token' WHEN contains(lower(t), 'tree') OR contains(lower(t), 'invalid') THEN 'tree_invalid' ELSE 'parse_error' END AS kind FROM {values(MESSAGES, 'id, t')}")
+@query(f"SELECT id, CASE WHEN contains(lower(t), 'unsupported') THEN 'unsupported_token' WHEN contains(lower(t), 'tree') OR contains(lower(t), 'invalid') THEN 'tree_invalid' ELSE 'parse_error' END AS kind FROM {carried(MESSAGES, 'id, t', t=after('t'))}")
 def formula_errors(read):
-    return fixture(read, MESSAGES, "id int, t string").select("id", R.formula_error(F.col("t")).alias("kind"))
+    return carry(read, MESSAGES, "id int, t string", t=after("t")).select("id", R.formula_error(F.col("t")).alias("kind"))
 
 
 #: The models of a profile, by host; other profiles take that of balanced.
@@ -213,21 +213,22 @@ BOXES = [
 @query(f"""SELECT id, nx, ny, nw, nh, sure AS confidence FROM (SELECT id, nx, ny, w, h, CASE WHEN nx + w > 1 THEN 1 - nx ELSE w END AS nw, CASE WHEN ny + h > 1 THEN 1 - ny ELSE h END AS nh, sure FROM
     (SELECT id, {", ".join(f"greatest(0.0, least(1.0, TRY_CAST(json_extract_string(j, '$.{k}') AS DOUBLE))) AS {a}" for k, a in (("nx", "nx"), ("ny", "ny"), ("nw", "w"), ("nh", "h")))},
     greatest(0.0, least(1.0, coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.5))) AS sure, TRY_CAST(json_extract_string(j, '$.nh') AS DOUBLE) IS NOT NULL AS whole
-    FROM (SELECT id, CASE WHEN json_valid(regexp_extract(t, '(?s)\\{{.*\\}}')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM {values(BOXES, 'id, t')})) WHERE whole)
+    FROM (SELECT id, CASE WHEN json_valid(regexp_extract(t, '(?s)\\{{.*\\}}')) THEN regexp_extract(t, '(?s)\\{{.*\\}}') END AS j FROM {carried(BOXES, 'id, t', t=after('t'))})) WHERE whole)
     WHERE w >= 0.06 AND h >= 0.06 AND nw >= 0.06 AND nh >= 0.06""")
 def parsed_boxes(read):
-    rows = fixture(read, BOXES, "id int, t string").select("id", R.box(F.col("t")).alias("box"))
+    rows = carry(read, BOXES, "id int, t string", t=after("t")).select("id", R.box(F.col("t")).alias("box"))
     return rows.where("box IS NOT NULL").select("id", "box.*")
 
 
+SHARED = {c: f"{OWN} || c.{c}" for c in ("a", "b")}
 PAIRS = [(1, "abc", "abc"), (2, "abc", "abd"), (3, "", "x"), (4, "가나다라", "가나"), (5, "same", ""), (6, "", ""), (7, "x" * 50 + "\ny" + "z" * 50, "x" * 50 + "\nw" + "z" * 50)]
 AT = "coalesce(list_filter(range(0, CAST(greatest(length(a), length(b)) AS BIGINT)), lambda i: substr(a, i + 1, 1) <> substr(b, i + 1, 1))[1], -1)"
 
 
-@query(f"""SELECT id, place, CASE WHEN place < 0 THEN '' ELSE replace(substr(a, greatest(place - 36, 0) + 1, place + 36 - greatest(place - 36, 0)), chr(10), '\\n') END AS here FROM (SELECT id, a, {AT} AS place FROM {values(PAIRS, 'id, a, b')})""")
+@query(f"""SELECT id, place, CASE WHEN place < 0 THEN '' ELSE replace(substr(a, greatest(place - 36, 0) + 1, place + 36 - greatest(place - 36, 0)), chr(10), '\\n') END AS here FROM (SELECT id, a, {AT} AS place FROM {carried(PAIRS, 'id, a, b', **SHARED)})""")
 def text_differences(read):
     """Where two texts first differ, and what stands there in the first."""
-    rows = fixture(read, PAIRS, "id int, a string, b string").withColumn("place", R.first_difference(F.col("a"), F.col("b")))
+    rows = carry(read, PAIRS, "id int, a string, b string", **SHARED).withColumn("place", R.first_difference(F.col("a"), F.col("b")))
     return rows.select("id", "place", R.excerpt(F.col("a"), F.col("place")).alias("here"))
 
 
@@ -241,10 +242,10 @@ HEADS = [
 
 @query(f"""SELECT id, CASE WHEN starts_with(t, '---') AND len(p) >= 3 AND new <> p[2] THEN '---' || chr(10) || rtrim(new, chr(10)) || chr(10) || '---' || chr(10) || array_to_string(p[3:], '---') ELSE t END AS patched, regexp_replace(t, '(#page=\\d+)---', '\\1' || chr(10) || '---', 'g') AS repaired FROM
     (SELECT *, array_to_string(list_transform(string_split(p[2], chr(10)), lambda x: CASE WHEN starts_with(x, 'sourceImage:') THEN regexp_replace(x, '([^/]+)\\.pdf(#|/|$)', '\\1\\2', 'g') ELSE regexp_replace(x, '^type: (.*/)?([^/]+)\\.pdf$', 'type: \\2') END), chr(10)) AS new
-    FROM (SELECT id, t, string_split(t, '---') AS p FROM {values(HEADS, 'id, t')}))""")
+    FROM (SELECT id, t, string_split(t, '---') AS p FROM {carried(HEADS, 'id, t', t=after('t'))}))""")
 def front_matter_patched(read):
     t = F.col("t")
-    return fixture(read, HEADS, "id int, t string").select("id", R.patched_front_matter(t).alias("patched"), R.joined_front_matter_repaired(t).alias("repaired"))
+    return carry(read, HEADS, "id int, t string", t=after("t")).select("id", R.patched_front_matter(t).alias("patched"), R.joined_front_matter_repaired(t).alias("repaired"))
 
 
 STYLE, SUFFIX = 200, "… (cut)"
@@ -261,22 +262,22 @@ def prompt_texts(read):
 FINDINGS = [(1, "pairing", "적중률 40.5% (12 건)"), (2, "missing", "누락 7건"), (3, "other", "없음"), (4, "pairing", "7 %"), (5, "missing", None)]
 
 
-@query(f"SELECT id, TRY_CAST(nullif(regexp_extract(t, '(\\d+(\\.\\d+)?)\\s*%', 1), '') AS DOUBLE) / 100 AS rate, CAST(coalesce(nullif(regexp_extract(t, '(\\d+)\\s*건', 1), ''), '0') AS BIGINT) AS n FROM {values(FINDINGS, 'id, area, t')}")
+@query(f"SELECT id, TRY_CAST(nullif(regexp_extract(t, '(\\d+(\\.\\d+)?)\\s*%', 1), '') AS DOUBLE) / 100 AS rate, CAST(coalesce(nullif(regexp_extract(t, '(\\d+)\\s*건', 1), ''), '0') AS BIGINT) AS n FROM {carried(FINDINGS, 'id, area, t', t=after('t'))}")
 def finding_numbers(read):
     """The first percentage of a finding as a share, and its first number of cases (none: 0)."""
     part = lambda p: F.nullif(F.regexp_extract("t", p, 1), F.lit(""))
     rate, n = part(r"(\d+(\.\d+)?)\s*%").cast("double") / 100, F.coalesce(part(r"(\d+)\s*건").cast("long"), F.lit(0))
-    return fixture(read, FINDINGS, "id int, area string, t string").select("id", rate.alias("rate"), n.cast("long").alias("n"))
+    return carry(read, FINDINGS, "id int, area string, t string", t=after("t")).select("id", rate.alias("rate"), n.cast("long").alias("n"))
 
 
 BODIES = [(1, 7, "7) [정답] 3\n글\n8) [정답] 4"), (2, 7, "8. [정답] 4\n 9 ) 정답]"), (3, 7, "$7) [정답] 1\n본문 8) [정답]"), (4, 7, ""), (5, 1, "1.[정답]\n\\( 2) [정답]")]
 
 
 @query(f"""SELECT id, count(n) AS headers, count(n) FILTER (WHERE n <> owner) AS loose, CASE WHEN bool_or(coalesce(n = owner, false)) THEN count(n) FILTER (WHERE n <> owner) ELSE 0 END AS strict FROM
-    (SELECT id, owner, CAST(nullif(regexp_extract(trim(regexp_replace(trim(regexp_replace(trim(x), '^\\$+\\s*', '')), '^\\\\\\(\\s*', '')), '{R.OWNED_ANSWER}', 1), '') AS INT) AS n FROM (SELECT id, owner, unnest(string_split(t, chr(10))) AS x FROM {values(BODIES, 'id, owner, t')})) GROUP BY id, owner""")
+    (SELECT id, owner, CAST(nullif(regexp_extract(trim(regexp_replace(trim(regexp_replace(trim(x), '^\\$+\\s*', '')), '^\\\\\\(\\s*', '')), '{R.OWNED_ANSWER}', 1), '') AS INT) AS n FROM (SELECT id, owner, unnest(string_split(t, chr(10))) AS x FROM {carried(BODIES, 'id, owner, t', t=after('t'))})) GROUP BY id, owner""")
 def foreign_answers(read):
     """Answer headers of a body, those of other owners, and the latter where the owner has a header too."""
-    rows = fixture(read, BODIES, "id int, owner int, t string").select("id", R.foreign_answers(F.col("t"), F.col("owner")).alias("f"))
+    rows = carry(read, BODIES, "id int, owner int, t string", t=after("t")).select("id", R.foreign_answers(F.col("t"), F.col("owner")).alias("f"))
     return rows.select("id", *[F.col(f"f.{c}").cast("long").alias(c) for c in ("headers", "loose", "strict")])
 
 
@@ -284,7 +285,7 @@ MARKED = [(1, "값 \u0001 x+1 \u0001 와\n \u0001y\u0001 끝"), (2, "\u0002IMG\u
 
 
 @query(f"""SELECT id, trim(regexp_replace(replace(regexp_replace(t, '\u0001([^\u0001]*)\u0001', ' $$\\1$$ ', 'g'), '\u0002IMG\u0002', ' [그림] '), '\\s+', ' ', 'g')) AS cleaned, array_to_string(list_transform(regexp_extract_all(t, '\u0001([^\u0001]*)\u0001', 1), lambda x: trim(x)), '|') AS equations,
-    replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', '''') AS decoded FROM {values(MARKED, 'id, t')}""")
+    replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', '''') AS decoded FROM {carried(MARKED, 'id, t', t=after('t'))}""")
 def marked_texts(read):
     cleaned, equations = R.marked_equations(F.col("t"))
-    return fixture(read, MARKED, "id int, t string").select("id", cleaned.alias("cleaned"), F.array_join(equations, "|").alias("equations"), R.decoded(F.col("t")).alias("decoded"))
+    return carry(read, MARKED, "id int, t string", t=after("t")).select("id", cleaned.alias("cleaned"), F.array_join(equations, "|").alias("equations"), R.decoded(F.col("t")).alias("decoded"))

@@ -20,9 +20,9 @@ def write_json_lines(rows: DataFrame, path: str, least: int = 30) -> None:
     kept.withColumn("id", F.coalesce("id", F.substring(F.sha1("content"), 1, 12))).write.mode("overwrite").json(path)
 
 
-def read_markdown(spark: SparkSession, path: str, least: int = 10) -> DataFrame:
+def read_markdown(spark: SparkSession, path: str, least: int = 10, names: str = "*.md") -> DataFrame:
     """(name, meta, body) of Markdown files with front matter; hidden files, README.md and short bodies are left out."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
     named = raw.select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "\r\n", "\n").alias("value")).where("NOT startswith(name, '.') AND name <> 'README.md'")
     return named.select("name", front_matter(F.col("value")).alias("meta"), body(F.col("value")).alias("body")).where(F.length("body") >= least)
 
@@ -38,7 +38,7 @@ def front_matter(text: Column) -> Column:
 
 
 def body(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n?", ""), r"\A\s+|\s+\z", "")
 
 
 def manifest_items(manifests: DataFrame, json: str) -> DataFrame:
@@ -58,3 +58,58 @@ def path_levels(path: Column, defaults: tuple[str, ...]) -> list[Column]:
 def replace_by_key(rows: DataFrame, path: str, key: str) -> None:
     """Replace the partitions of the keys in rows, all others stay: dynamic partition overwrite."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+
+def write_pages(rows: DataFrame, path: str, keys: list[str], meta: list[str], text: str) -> None:
+    """A file with front matter for each row, in folders by keys, which are unique.
+
+    Tasks write beside the folders and their output is moved into place when the job commits; a run that is repeated
+    replaces the files of its keys and leaves the others.
+    """
+    lines = [F.concat(F.lit(f"{m}: "), F.regexp_replace(F.coalesce(F.col(m).cast("string"), F.lit("")), r"\s+", " ")) for m in meta]
+    value = F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.coalesce(F.col(text), F.lit("")))
+    pages = rows.select(*keys, value.alias("value")).repartition(*keys)
+    pages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
+
+
+def write_manifests(rows: DataFrame, path: str, key: str, order: str, columns: list[str]) -> None:
+    """A JSON file for each key: total, and its rows' columns as items in their order; written after what it lists."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("i")))), lambda x: x["i"])
+    listed = rows.groupBy(key).agg(F.to_json(F.struct(F.first(key).alias("key"), F.count("*").alias("total"), items.alias("items"))).alias("value"))
+    listed.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).text(path)
+
+
+def read_manifests(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """(key, total, items) of manifests; item is the DDL of an item."""
+    fields = ",".join(f.strip().replace(" ", ":", 1) for f in item.split(","))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return raw.select(F.from_json("value", f"struct<key:string,total:bigint,items:array<struct<{fields}>>>").alias("m")).select("m.*")
+
+
+def listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = ()) -> DataFrame:
+    """(folder, name, modified, bytes) of all files under a path, newest first, without reading them; no page limit."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    parts = F.split("path", "/")
+    rows = files.select(F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+    if extensions:
+        rows = rows.where(F.lower(F.substring_index("name", ".", -1)).isin(*[e.lower().lstrip(".") for e in extensions]))
+    return rows.orderBy(F.desc("modified"), "folder", "name")
+
+
+def fetched(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(path, content) of the files of that name under a path."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path).select("path", "content")
+
+
+# Names of question files and of the merged file, and what the latter is called
+QUESTION_FILE, MERGED_FILE, MERGED = r"(?i)^문항(\d{1,2})_API초안\.md$", "합본_편집용.md", "합본"
+
+
+def read_drafts(spark: SparkSession, path: str, question: str = QUESTION_FILE, merged: str = MERGED_FILE) -> DataFrame:
+    """(exam, question, body, file) of Markdown drafts in folders by exam; other names and empty files are left out."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
+    name = F.col("_metadata.file_name")
+    rows = raw.select(F.element_at(F.split("_metadata.file_path", "/"), -2).alias("exam"), name.alias("file"), F.regexp_replace("value", r"\A\s+|\s+\z", "").alias("body"))
+    rows = rows.withColumns({"exam": F.url_decode("exam"), "file": F.url_decode("file")})
+    number = F.nullif(F.regexp_extract("file", question, 1), F.lit("")).cast("int").cast("string")
+    return rows.withColumn("question", F.when(F.col("file") == merged, MERGED).otherwise(number)).where("question IS NOT NULL AND body <> ''").select("exam", "question", "body", "file")
