@@ -46,7 +46,7 @@ def test_label_model_against_loops():
     model = toxicity.LabelModel(0.2).fit(np.array(votes, float), np.array(start), np.array(times))
     want = plain_label_model(votes, start, times, 0.2)
     assert model.posterior(np.array(votes, float)) == pytest.approx(want, abs=1e-9)
-    assert model.correlations[3, 4] > 0.3 and max(want) > 0.9 and min(want) < 0.1
+    assert model.correlations[3, 4] == model.correlations.max() > 0 and max(want) > 0.9 and min(want) == pytest.approx(0.2)  # a row without a vote has the prior
 
 
 def test_linear_classifier_against_loops():
@@ -126,7 +126,7 @@ def test_long_texts(spark, long):
     labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, labels).count() == 5
     assert {r["doc_id"]: r["size"] for r in mixture.mixture(docs).collect()} == {i: len(w) for i, w in enumerate(words)}
-    assert divergence.divergence(docs, 1).count() == 0 and collocation.collocations(docs, least=20_000).where("phrase = 'word word'").count() == 1
+    assert divergence.divergence(docs, 1).count() == 0 and collocation.collocations(docs, least=20_000).where("phrase = 'word word word word'").count() == 1
 
 
 def test_search_with_clashing_columns(spark):
