@@ -119,18 +119,20 @@ def overlap(a: tuple | None, b: tuple | None) -> float:
     return wide * high / (sum(area) - wide * high)
 
 
-def merged_owners(parts: DataFrame) -> DataFrame:
+def merged_owners(parts: DataFrame, boxless: bool = False) -> DataFrame:
     """(page, part, merged, owner): a part joins the one before if both have the same owner and their boxes overlap.
 
-    The box before is that of all parts merged into it so far.
+    The box before is that of all parts merged into it so far.  A part without a box joins nothing; with boxless it counts
+    as lying within the other's box.
     """
     boxes = parts.groupBy("page", "part").agg(F.coalesce(F.max("printed"), _named("place")).alias("owner"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
 
     def step(state: tuple | None, row: dict[str, Any]) -> tuple[tuple, tuple]:
         merged, owner, box = state or (-1, None, None)
         own = None if row["x0"] is None else (row["x0"], row["y0"], row["x1"], row["y1"])
-        if state and owner is not None and owner == row["owner"] and overlap(box, own) >= OVERLAP:
-            box = (*map(min, box[:2], own[:2]), *map(max, box[2:], own[2:]))
+        inside = boxless and (box is None) != (own is None)
+        if state and owner is not None and owner == row["owner"] and overlap(*([box or own] * 2 if inside else [box, own])) >= OVERLAP:
+            box = (box or own) if inside else (*map(min, box[:2], own[:2]), *map(max, box[2:], own[2:]))
         else:
             merged, owner, box = merged + 1, row["owner"], own
         return (merged, owner, box), (merged,)

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 
+from tessera.operators import layout as L
 from tessera.plans import registry
 
 registry.load()
@@ -28,3 +29,12 @@ def same_as_sql(spark, folder, name):
 def test_choices_end_at_a_line_end(spark, tmp_path):
     duckdb.sql("SELECT 4 * i AS doc_id, CASE i % 3 WHEN 0 THEN repeat('a', 199) || chr(10) || 'b' WHEN 1 THEN chr(10) || ' a ' || chr(10) ELSE 'c' END AS text, 'en' AS lang, 's' AS source, 3 AS n_chars FROM range(64) t(i)").write_parquet(f"{tmp_path}/documents.parquet")
     same_as_sql(spark, tmp_path, "split_choices")
+
+
+def test_a_part_without_a_box(spark, tmp_path):
+    duckdb.sql(f"SELECT * FROM '{SF_001}/lineitem.parquet' WHERE l_orderkey // 8 IN (1643, 1644)").write_parquet(f"{tmp_path}/lineitem.parquet")
+    same_as_sql(spark, tmp_path, "overlapping_owners")
+    parts = spark.createDataFrame([(1, 0, 0, 0, 10, 10, 5), (1, 1, None, None, None, None, 5), (1, 2, 0, 0, 10, 10, 5)], "page long, part long, x0 long, y0 long, x1 long, y1 long, printed long")
+    parts = parts.selectExpr("*", "1 AS chars", "CAST(NULL AS long) AS answer", "CAST(NULL AS long) AS question", "part AS place")
+    merged = lambda **k: [r["merged"] for r in L.merged_owners(parts, **k).orderBy("part").collect()]
+    assert merged() == [0, 1, 2] and merged(boxless=True) == [0, 0, 0]
