@@ -2,9 +2,12 @@
 
 import glob
 import os
+import time
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tessera.functions import scan
 from tessera.operators import layout as L
 from tessera.plans import registry
 
@@ -38,3 +41,13 @@ def test_a_part_without_a_box(spark, tmp_path):
     parts = parts.selectExpr("*", "1 AS chars", "CAST(NULL AS long) AS answer", "CAST(NULL AS long) AS question", "part AS place")
     merged = lambda **k: [r["merged"] for r in L.merged_owners(parts, **k).orderBy("part").collect()]
     assert merged() == [0, 1, 2] and merged(boxless=True) == [0, 0, 0]
+
+
+def test_stray_commands_of_a_text_of_many(spark):
+    text = "\\alpha \\beta " * 3000 + "\n" + "\n".join(f"\\frac{i} \\_x" for i in range(3000))
+    began = time.monotonic()
+    hits = spark.createDataFrame([(text,)], "t string").select(scan.stray_commands(F.col("t"))).first()[0]
+    assert time.monotonic() - began < 60
+    heads = lambda match: [(i + 2, match, f"\\frac{i} \\_x") for i in range(3000)]
+    first = text.split("\n")[0][: scan.LINE]
+    assert [tuple(h) for h in hits] == [(1, "\\alpha", first), (1, "\\beta", first), *heads("\\frac"), *heads("\\_")]
