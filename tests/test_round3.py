@@ -8,6 +8,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import scan
+from tessera.functions.damage import damaged
 from tessera.operators import layout as L
 from tessera.plans import registry
 
@@ -51,3 +52,8 @@ def test_stray_commands_of_a_text_of_many(spark):
     heads = lambda match: [(i + 2, match, f"\\frac{i} \\_x") for i in range(3000)]
     first = text.split("\n")[0][: scan.LINE]
     assert [tuple(h) for h in hits] == [(1, "\\alpha", first), (1, "\\beta", first), *heads("\\frac"), *heads("\\_")]
+
+
+def test_damage_computes_its_text_once(spark):
+    plan = spark.range(1).select(damaged(F.expr("replace('a', 'b', cast(id as string))")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("replace(") == 1
