@@ -38,7 +38,9 @@ def collated_order(read):
 JOIN (SELECT {IN_DUCK} AS name, count(*) AS n FROM ({WORDS}) GROUP BY 1) USING (name) GROUP BY 1""")
 def collated_matches(read):
     """Words of each benchmark item that documents hold in any case and with any accents, and how often they do."""
-    asked = read("benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w"))
+    asked = read("benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).distinct()
     asked = asked.withColumn("name", F.collate("w", ALIKE)).groupBy("item_id", "name").agg(F.lit(1).alias("one"))
-    held = words(read).groupBy("name").agg(F.count("*").alias("n"))
+    # a spelling is counted by its bytes, and only then collated
+    spelled = words(read).groupBy("w").agg(F.count("*").alias("n")).withColumn("name", F.collate("w", ALIKE))
+    held = spelled.groupBy("name").agg(F.sum("n").alias("n"))
     return asked.join(held, "name").groupBy("item_id").agg(F.count("*").alias("names"), F.sum("n").alias("n"))

@@ -57,3 +57,8 @@ def test_stray_commands_of_a_text_of_many(spark):
 def test_damage_computes_its_text_once(spark):
     plan = spark.range(1).select(damaged(F.expr("replace('a', 'b', cast(id as string))")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("replace(") == 1
+
+
+def test_spellings_are_counted_before_they_are_collated(spark):
+    plan = registry.QUERIES["collated_matches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [w#" in plan
