@@ -7,6 +7,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
+from tessera.functions import ordered as O
 from tessera.functions import scan
 from tessera.functions.damage import damaged
 from tessera.operators import layout as L
@@ -62,3 +63,10 @@ def test_damage_computes_its_text_once(spark):
 def test_spellings_are_counted_before_they_are_collated(spark):
     plan = registry.QUERIES["collated_matches"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [w#" in plan
+
+
+def test_values_of_equal_expressions_are_held(spark):
+    O.arithmetic.cache_clear()
+    assert [O.chain_faults(x) for x in ["1 + 2 = 4", "1 + 2 = 4", "03 = 3", "3\x1c = 3"]] == [["E_ARITH_MISMATCH"]] * 2 + [[]] * 2
+    assert O.arithmetic.cache_info().hits >= 2
+    assert [r[0] for r in spark.createDataFrame([("1 = 2\n1 < 3 < 2",), (None,), ("1 = 2",), ("1 = 2",)], "t string").select(O.arithmetic_issues("t")).collect()] == [["E_ARITH_MISMATCH", "E_INEQ_CHAIN_MISMATCH"], [], ["E_ARITH_MISMATCH"], ["E_ARITH_MISMATCH"]]
