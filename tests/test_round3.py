@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import ordered as O
 from tessera.functions import scan
 from tessera.functions.damage import damaged
+from tessera.operators import index as X
+from tessera.operators import joins, retrieval
 from tessera.operators import layout as L
 from tessera.plans import registry
 
@@ -70,3 +72,20 @@ def test_values_of_equal_expressions_are_held(spark):
     assert [O.chain_faults(x) for x in ["1 + 2 = 4", "1 + 2 = 4", "03 = 3", "3\x1c = 3"]] == [["E_ARITH_MISMATCH"]] * 2 + [[]] * 2
     assert O.arithmetic.cache_info().hits >= 2
     assert [r[0] for r in spark.createDataFrame([("1 = 2\n1 < 3 < 2",), (None,), ("1 = 2",), ("1 = 2",)], "t string").select(O.arithmetic_issues("t")).collect()] == [["E_ARITH_MISMATCH", "E_INEQ_CHAIN_MISMATCH"], [], ["E_ARITH_MISMATCH"], ["E_ARITH_MISMATCH"]]
+
+
+def test_documents_meet_the_tokens_of_queries(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, ["a"] * (i % 3) + ["b", f"w{i % 5}"]) for i in range(40)], "doc_id long, tokens array<string>")
+    asked = spark.createDataFrame([(1, ["a", "w1"]), (2, ["b", "w2"])], "item_id long, tokens array<string>")
+    X.add_source(docs, "doc_id", "tokens", str(tmp_path), "s")
+    index = X.Index(spark, str(tmp_path), ["s"])
+    weights = index.weights(asked, "item_id", "tokens")
+    met = index._entries(weights.join(index.blocks.select("source", "token", "level", "chunk"), "token")).collect()
+    assert len(met) == 40 and {r["key"]: sorted(r["queries"]) for r in met}[1] == [1, 2]  # a row a document, not one a query
+    rows = lambda frame: sorted((r[0], r["rank"], r[-2], round(r["score"], 8)) for r in frame.collect())
+    both = lambda: (rows(retrieval.top_k(asked, docs, "item_id", "doc_id", "tokens", 5)), rows(index.top_k(weights, 5)))
+    plan = retrieval.top_k(asked, docs, "item_id", "doc_id", "tokens", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan
+    small = both()
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    assert both() == small and small[0] == small[1] and len(small[0]) == 10
