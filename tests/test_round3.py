@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ordered as O
 from tessera.functions import scan
 from tessera.functions.damage import damaged
+from tessera.llm import lm, queries
 from tessera.operators import index as X
 from tessera.operators import joins, retrieval
 from tessera.operators import layout as L
@@ -89,3 +90,11 @@ def test_documents_meet_the_tokens_of_queries(spark, tmp_path, monkeypatch):
     small = both()
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     assert both() == small and small[0] == small[1] and len(small[0]) == 10
+
+
+def test_katz_query_takes_three_words(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    monkeypatch.setattr(queries.lm, "katz_scores", lambda docs, order=lm.ORDER: asked.update(order=order))
+    queries.op10_katz(None, "")
+    assert asked == {"order": 3}
