@@ -18,11 +18,11 @@ from pyspark.sql.types import StructType
 Step = Callable[[Any, dict[str, Any]], tuple[Any, tuple]]
 
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str | Column], step: Step, outputs: str) -> DataFrame:
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str | Column], step: Step, outputs: str, reads: list[str] | None = None) -> DataFrame:
     """rows with the columns of outputs (a DDL string), in the order of order within each combination of keys.
 
     step(state, row) gives the next state and the row's outputs; state is None at a key's first row.  Null keys are a
-    key like any other.
+    key like any other.  With reads, only these columns are given to step beside the keys; the others pass as they are.
     """
     added = StructType.fromDDL(outputs)
     types = [to_arrow_type(f.dataType) for f in added.fields]
@@ -31,7 +31,7 @@ def ordered_fold(rows: DataFrame, keys: list[str], order: list[str | Column], st
         key, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for row in (batch if reads is None else batch.select(list(dict.fromkeys([*keys, *reads])))).to_pylist():
                 own = tuple(row[k] for k in keys)
                 if own != key:
                     key, state = own, None

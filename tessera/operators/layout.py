@@ -45,7 +45,7 @@ def segments(pieces: DataFrame, width: int, height: int) -> DataFrame:
             starts, before, top = starts + 1, row["question"], row["y0"]
         return (starts, before, top), (starts, before)
 
-    found = ordered_fold(pieces.withColumn("_may", F.coalesce(may, F.lit(False))), ["page"], ["place"], step, "_starts long, _number long").drop("_may")
+    found = ordered_fold(pieces.withColumn("_may", F.coalesce(may, F.lit(False))), ["page"], ["place"], step, "_starts long, _number long", ["_may", "y0", "question"]).drop("_may")
     page = W.partitionBy("page")
     # the pieces before the first number are of segment 0 on a page without numbers, else of the first
     after = F.greatest(F.col("_starts") - 1, F.lit(0))

@@ -14,6 +14,7 @@ from tessera.llm import lm, queries
 from tessera.operators import index as X
 from tessera.operators import joins, retrieval
 from tessera.operators import layout as L
+from tessera.operators.folds import ordered_fold
 from tessera.plans import registry
 
 registry.load()
@@ -98,3 +99,10 @@ def test_katz_query_takes_three_words(monkeypatch):
     monkeypatch.setattr(queries.lm, "katz_scores", lambda docs, order=lm.ORDER: asked.update(order=order))
     queries.op10_katz(None, "")
     assert asked == {"order": 3}
+
+
+def test_a_fold_reads_its_columns_only(spark):
+    rows = spark.createDataFrame([(1, i, i * 2, "x") for i in range(4)], "k long, at long, n long, other string")
+    step = lambda state, row: ((state or 0) + row["n"], ((state or 0) + row["n"] if list(row) == ["k", "n"] else None,))
+    got = ordered_fold(rows, ["k"], ["at"], step, "total long", ["n"]).orderBy("at").collect()
+    assert [(r["other"], r["total"]) for r in got] == [("x", 0), ("x", 2), ("x", 6), ("x", 12)]
