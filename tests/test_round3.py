@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 import time
 
 import duckdb
@@ -106,3 +107,20 @@ def test_a_fold_reads_its_columns_only(spark):
     step = lambda state, row: ((state or 0) + row["n"], ((state or 0) + row["n"] if list(row) == ["k", "n"] else None,))
     got = ordered_fold(rows, ["k"], ["at"], step, "total long", ["n"]).orderBy("at").collect()
     assert [(r["other"], r["total"]) for r in got] == [("x", 0), ("x", 2), ("x", 6), ("x", 12)]
+
+
+def test_pairs_of_longer_sets_and_of_copies(spark):
+    rng = random.Random(5)
+    base = [rng.sample(range(400), rng.choice([3, 30, 70, 140])) for _ in range(12)]
+    near = lambda x: [t for t in x if rng.random() > 0.06] + rng.sample(range(400, 900), rng.randint(0, max(1, len(x) // 12)))
+    sets = [(rng.choice(["o", "p", None]), i, [f"w{t}" for t in near(rng.choice(base))]) for i in range(150)]
+    sets += [("c", 1000 + i, ["copied", "words"]) for i in range(40)]
+    rows = spark.createDataFrame(sets, "o string, k int, t array<string>")
+    held, pairs = retrieval.alike_sets(rows, "o", "k", "t", 0.88, 100, 0.93, 0.85)
+    assert held.where("o = 'c'").count() == 1 and pairs.where("p = q").count() == 0  # copies are held once
+    like = lambda x, y: len(x & y) >= (0.93 if min(len(x), len(y)) >= 100 else 0.88) * len(x | y) or len(x & y) >= 0.85 * min(len(x), len(y))
+    want = sorted((o, a, b) for o, a, x in sets for p, b, y in sets if o and o == p and a < b and x and y and like({*x}, {*y}))
+    assert sorted(map(tuple, retrieval.similar_pairs(rows, "o", "k", "t", 0.88, 100, 0.93, 0.85).collect())) == want and len(want) > 800
+    part = {r["k"]: r["component"] for r in retrieval.similar_groups(rows, "o", "k", "t", 0.85).collect()}
+    assert len(part) == len(sets) and {part[1000 + i] for i in range(40)} == {1000}
+    assert all(part[a] == part[b] for o, a, x in sets for p, b, y in sets if o and o == p and {*x} and len({*x} & {*y}) >= 0.85 * len({*x} | {*y}))
