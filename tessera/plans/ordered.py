@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import ordered as O
 from ..operators import retrieval as R
-from ..operators.positions import checkpoint_folder
 from ..streaming.windows import capped
 from .registry import query
 
@@ -64,10 +63,7 @@ def alike(rule: str) -> str:
 SELECT doc_id, min(component) AS component FROM r GROUP BY 1""")
 def near_duplicate_segments(read):
     """Documents of one source whose word sets are similar, grouped."""
-    docs = _words(read)
-    pairs = R.similar_pairs(docs, "source", "doc_id", "tokens", 0.85).select("a", "b")
-    checkpoint_folder(docs.sparkSession)
-    return R.components(docs.select("doc_id"), pairs, "doc_id")
+    return R.similar_groups(_words(read), "source", "doc_id", "tokens", 0.85)
 
 
 @query(alike("c >= CASE WHEN least(m, n) >= 200 THEN 0.93 ELSE 0.88 END * (m + n - c) OR c >= 0.85 * least(m, n)") + " SELECT a, b FROM p")
