@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, small_batches
+from .common import crc_mod, drop, materialize, small_batches
 
 #: Tokens of a chunk, entries wanted in a partition of a count table, contexts that are dealt by word too.
 CHUNK, ENTRIES, HOT = 2_000_000, 1_000_000, 4_096
@@ -39,16 +39,27 @@ START, END = 1, 2  # in place of hashes; they sort first
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    """An array as bytes, by planes and compressed."""
-    raw = np.ascontiguousarray(a)
-    return zstandard.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), 1) if len(raw) else b""
+    """An array as bytes, by planes and compressed; whole numbers, none of which is negative, in as few bytes as the largest takes."""
+    if not len(a):
+        return b""
+    raw = np.ascontiguousarray(a if a.dtype.kind == "f" else a.astype(np.min_scalar_type(int(a.max())), copy=False))
+    return bytes([raw.itemsize]) + zstandard.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), 1)
 
 
 def unsqueeze(b: bytes, kind: type) -> np.ndarray:
     if not b:
         return np.zeros(0, kind)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+    raw = np.ascontiguousarray(np.frombuffer(zstandard.decompress(b[1:]), np.uint8).reshape(b[0], -1).T).reshape(-1)
+    return raw.view(kind) if np.dtype(kind).kind == "f" else raw.view(f"u{b[0]}").astype(kind, copy=False)
+
+
+def steps(a: np.ndarray) -> bytes:
+    """An ascending array of whole numbers as bytes, by its steps."""
+    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+
+
+def unsteps(b: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64)
 
 
 class _Ids(dict):
@@ -163,25 +174,38 @@ def _shifted(local: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     return before
 
 
+def _placed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each id its place in ascending order, and the order."""
+    order = np.argsort(ids)
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    return place, order
+
+
+def _unseen(counts: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Which contexts, whose n-grams start at heads, have an n-gram without a count, so that their backoff weight is asked."""
+    return np.minimum.reduceat(counts, heads) == 0 if len(heads) else np.zeros(0, bool)
+
+
 def _mix(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return a ^ (a >> np.uint64(29))
 
 
-def _parts(context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """Partition of each bigram, by context; by context and word for hot contexts (and the start of a text)."""
-    spread = _mix(context)
-    split = np.isin(context, hot)
+def _parts(contexts: np.ndarray, context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """Partition of each n-gram, by the id of its context, whose place in contexts it has; by context and word for hot contexts (and the start of a text)."""
+    spread = _mix(contexts)[context]
+    split = np.isin(contexts, hot)[context]
     spread[split] = _mix(spread[split] + word[split] + np.uint64(1))
-    return (spread % np.uint64(n)).astype(np.int64)
+    return (spread % np.uint64(n)).astype(np.min_scalar_type(n))  # sixteen bits are sorted faster
 
 
-#: kind is the order; a, b and c hold ids and counts of words, or counts, sums by context and ids of n-grams.
-ANSWER = "chunk long, part long, kind int, a binary, b binary, c binary, n array<bigint>, hot array<bigint>, hot_n array<bigint>, sums array<double>"
+#: kind is the order; a, b, c and e hold ids and counts of words, or counts, sums by context, ids of n-grams, and what follows contexts.
+ANSWER = "chunk long, part long, kind int, a binary, b binary, c binary, e binary, n array<bigint>, hot array<bigint>, hot_n array<bigint>, sums array<double>"
 
 
 def _answer(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["chunk", "part", "kind", "a", "b", "c", "n", "hot", "hot_n", "sums"])
+    return pd.DataFrame(rows, columns=["chunk", "part", "kind", "a", "b", "c", "e", "n", "hot", "hot_n", "sums"])
 
 
 def _unigram_answers(chunks: DataFrame, parts: int, least_hot: float) -> DataFrame:
@@ -211,10 +235,10 @@ def _unigram_answers(chunks: DataFrame, parts: int, least_hot: float) -> DataFra
         for chunk, w in zip(rows["chunk"], words, strict=True):
             mine = inverse[at : at + len(w)]
             at += len(w)
-            out.append((chunk, int(key[0]), 1, squeeze(ids[mine]), squeeze(total[mine]), None, None, None, None, None))
+            out.append((chunk, int(key[0]), 1, squeeze(ids[mine]), squeeze(total[mine]), None, None, None, None, None, None))
         n = [int(total.sum()), int(np.count_nonzero(total)), *(int(np.count_nonzero(total == r)) for r in range(1, K + 2))]
         often = total > least_hot
-        out.append((-1, int(key[0]), 1, None, None, None, n, None, ids[often].astype(np.int64).tolist(), None))
+        out.append((-1, int(key[0]), 1, None, None, None, None, n, None, ids[often].astype(np.int64).tolist(), None))
         return _answer(out)
 
     dealt = chunks.select("chunk", "words", "counts").mapInArrow(deal, "part long, chunk long, words binary, counts binary")
@@ -232,16 +256,19 @@ class Order:
 class Chunk:
     """A chunk's tokens, evaluated order by order from the answers of the count tables."""
 
-    def __init__(self, row: pd.Series, answers: pd.DataFrame, uni: Unigrams, parts: int):
+    def __init__(self, row: dict, answers: pd.DataFrame, uni: Unigrams, parts: int):
         self.answers, self.parts = answers, parts
         own = self._own(1)
-        self.ids = np.concatenate([unsqueeze(b, np.uint64) for b in own["a"]])
-        self.totals = np.concatenate([unsqueeze(b, np.int64) for b in own["b"]])
-        self.tokens, self.lengths = unsqueeze(row["tokens"], np.uint32), unsqueeze(row["lengths"], np.int64)
+        ids = np.concatenate([unsqueeze(b, np.uint64) for b in own["a"]])
+        place, order = _placed(ids)
+        self.ids, self.totals = ids[order], np.concatenate([unsqueeze(b, np.int64) for b in own["b"]])[order]
+        self.tokens, self.lengths = place[unsqueeze(row["tokens"], np.uint32)].astype(np.uint32), unsqueeze(row["lengths"], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.chance = uni.of(self.totals[self.tokens])
-        # the contexts of the next order: a place among contexts for each token, and the contexts' ids
-        self.before, self.contexts = _shifted(self.tokens, self.starts, 0), self.ids
+        # by token: the training count of the n-gram that ends there, its context's factor, its probability
+        self.counts = self.totals[self.tokens]
+        self.factor, self.chance = np.full(len(self.tokens), uni.scale), uni.of(self.counts)
+        # the contexts of the next order: a place among contexts for each token, and the contexts' ids, ascending
+        self.before, self.contexts = _shifted(self.tokens, self.starts, place[0]), self.ids
 
     def _own(self, kind: int) -> pd.DataFrame:
         return self.answers[self.answers["kind"] == kind].sort_values("part")
@@ -249,9 +276,9 @@ class Chunk:
     def grams(self, order: Order) -> None:
         """The chunk's n-grams of the next order, dealt to partitions."""
         self.context, self.word, self.first, self.inverse = _grams(self.before, self.tokens)
-        part = _parts(self.contexts[self.context], self.ids[self.word], order.hot, self.parts)
-        self.dealt = np.argsort(part, kind="stable")
-        part = part[self.dealt]
+        part = _parts(self.contexts, self.context, self.ids[self.word], order.hot, self.parts)
+        self.dealt = np.argsort(part, kind="stable")  # by context and word in each
+        part = part[self.dealt].astype(np.int64)
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
         self.spans = [(int(part[i]), self.dealt[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -261,56 +288,75 @@ class Chunk:
         counts, sums = np.empty(len(self.context), np.int64), np.zeros((len(self.contexts), K + 2))
         names = np.zeros(len(self.context), np.uint64)
         own, at = self._own(kind), 0
-        for a, b, c in zip(own["a"], own["b"], own["c"], strict=True):
+        for a, b, c, e in zip(own["a"], own["b"], own["c"], own["e"], strict=True):
             here = unsqueeze(a, np.int64)
             span = self.dealt[at : at + len(here)]
             at += len(span)
             counts[span] = here
             if not last:
-                names[span] = unsqueeze(c, np.uint64)
+                names[span] = unsteps(c)
             context = self.context[span]
-            heads = context[np.flatnonzero(np.diff(self.contexts[context].view(np.int64), prepend=-1))]
-            sums[heads] = unsqueeze(b, np.float64).reshape(K + 2, -1).T
+            heads = np.flatnonzero(np.diff(context, prepend=-1))
+            sums[context[heads], : K + 1] = unsqueeze(b, np.int64).reshape(K + 1, -1).T
+            sums[context[heads[_unseen(here, heads)]], K + 1] = unsqueeze(e, np.float64)
         shared = np.flatnonzero(np.isin(self.contexts, order.hot_ids))
         if len(shared):
             sums[shared] = order.hot_sums[np.searchsorted(order.hot_ids, self.contexts[shared])]
-        factor, weight = context_weights(sums[:, :K], sums[:, K], sums[:, K + 1], order.d)
+        scale = np.zeros(len(self.contexts))
+        scale[self.before] = self.factor  # the tokens after a context share that of the order below
+        factor, weight = context_weights(sums[:, :K], sums[:, K], sums[:, K + 1] * scale, order.d)
         below = self.chance[self.first]
         chance = np.where(counts > 0, _discounted(counts, order.d) * factor[self.context], weight[self.context] * below)
         self.chance = np.maximum(chance, 1e-300)[self.inverse]
+        self.counts, self.factor = counts[self.inverse], factor[self.before]
         if not last:  # the n-gram that ends at a token is the context of the token after it; at a text's start, one of its own
-            self.before = _shifted(self.inverse, self.starts, len(names))
-            self.contexts = np.append(names, np.uint64(self.parts * ((1 << 40) + kind)))
+            place, o = _placed(np.append(names, np.uint64(self.parts * ((1 << 40) + kind))))
+            self.before = _shifted(place[self.inverse], self.starts, place[-1])
+            self.contexts = np.append(names, np.uint64(self.parts * ((1 << 40) + kind)))[o]
 
 
-def _replayed(row: pd.Series, answers: pd.DataFrame, uni: Unigrams, parts: int, orders: list[Order], more: bool) -> Chunk:
+def _answered(chunks: DataFrame, table: DataFrame) -> DataFrame:
+    """chunks with the answers of a further order beside those they have."""
+    told = table.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "kind", "a", "b", "c", "e")).alias("_told"))
+    answers = F.concat("answers", "_told") if "answers" in chunks.columns else F.col("_told")
+    return chunks.join(told, "chunk").select("chunk", "doc_ids", "train", "lengths", "tokens", answers.alias("answers"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(b.num_rows):  # one at a time, as a chunk is large
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _replayed(row: dict, uni: Unigrams, parts: int, orders: list[Order], more: bool) -> Chunk:
     """The chunk evaluated under all orders so far; more if a further one is to come."""
-    chunk = Chunk(row, answers, uni, parts)
+    chunk = Chunk(row, pd.DataFrame(row["answers"]), uni, parts)
     for i, order in enumerate(orders):
         chunk.step(i + 2, order, last=not more and i == len(orders) - 1)
     return chunk
 
 
-def _gram_answers(chunks: DataFrame, answers: DataFrame, parts: int, uni: Unigrams, orders: list[Order], hot: np.ndarray, least_hot: float, last: bool) -> DataFrame:
+def _gram_answers(chunks: DataFrame, parts: int, uni: Unigrams, orders: list[Order], hot: np.ndarray, least_hot: float, last: bool) -> DataFrame:
     """By chunk and partition: training counts of its n-grams of the next order (a), sums by context (b), ids (c); and sums, as chunk -1."""
     kind = len(orders) + 2
 
-    def deal(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in mine.iterrows():
-            chunk = _replayed(row, answers, uni, parts, orders, True)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            out, chunk = [], _replayed(row, uni, parts, orders, True)
             chunk.grams(Order(hot))
             train = np.repeat(np.array(row["train"], bool), chunk.lengths)
             counts = np.bincount(chunk.inverse[train], minlength=len(chunk.context)).astype(np.uint32)
-            # a word's probability follows from its count, which takes less room
-            below = chunk.totals[chunk.word] if kind == 2 else chunk.chance[chunk.first]
+            # of what was seen, the share under the order below is the discounted count times a factor that the chunks have
+            below = chunk.counts[chunk.first]
             for part, o in chunk.spans:
-                out.append((part, int(key[0]), squeeze(chunk.contexts[chunk.context[o]]), squeeze(chunk.ids[chunk.word[o]]), squeeze(counts[o]), squeeze(below[o])))
-        return pd.DataFrame(out, columns=["part", "chunk", "contexts", "words", "counts", "below"])
+                out.append((part, row["chunk"], steps(chunk.contexts[chunk.context[o]]), squeeze(chunk.ids[chunk.word[o]]), squeeze(counts[o]), squeeze(below[o])))
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["part", "chunk", "contexts", "words", "counts", "below"])
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(unsqueeze(b, np.uint32)) for b in rows["counts"]]
-        context = np.concatenate([unsqueeze(b, np.uint64) for b in rows["contexts"]])
+        counts = [unsqueeze(b, np.uint32) for b in rows["counts"]]
+        sizes = [len(c) for c in counts]
+        context = np.concatenate([unsteps(b) for b in rows["contexts"]])
         word = np.concatenate([unsqueeze(b, np.uint64) for b in rows["words"]])
         order = np.lexsort((word, context))
         new = np.ones(len(order), bool)
@@ -319,9 +365,8 @@ def _gram_answers(chunks: DataFrame, answers: DataFrame, parts: int, uni: Unigra
         pair = np.empty(len(order), np.int32)
         pair[order] = np.cumsum(new, dtype=np.int32) - 1
         del order, new, word
-        total = np.bincount(pair, np.concatenate([unsqueeze(b, np.uint32) for b in rows["counts"]])).astype(np.int64)
-        below = np.concatenate([unsqueeze(b, np.int64 if kind == 2 else np.float64) for b in rows["below"]])[firsts]
-        below = uni.of(below) if kind == 2 else below
+        total = np.bincount(pair, np.concatenate(counts)).astype(np.int64)
+        below = _discounted(np.concatenate([unsqueeze(b, np.int64) for b in rows["below"]])[firsts], orders[-1].d if orders else uni.d)
         own, of = np.unique(context[firsts], return_inverse=True)
         sums = np.zeros((len(own), K + 2))
         for r in range(1, K + 1):
@@ -334,16 +379,16 @@ def _gram_answers(chunks: DataFrame, answers: DataFrame, parts: int, uni: Unigra
             mine = pair[at : at + size]
             heads = np.flatnonzero(np.diff(of[mine], prepend=-1))
             at += size
-            b = sums[of[mine][heads]]
-            out.append((chunk, int(key[0]), kind, squeeze(total[mine]), squeeze(b.T.reshape(-1)), None if last else squeeze(names[mine]), None, None, None, None))
+            here, own_sums = total[mine], sums[of[mine][heads]]
+            asked = own_sums[_unseen(here, heads), K + 1]
+            out.append((chunk, int(key[0]), kind, squeeze(here), squeeze(own_sums[:, : K + 1].T.reshape(-1).astype(np.int64)), None if last else steps(names[mine]), squeeze(asked), None, None, None, None))
         shared, often = np.isin(own, hot), total > least_hot
         n = [int(np.count_nonzero(total == r)) for r in range(1, K + 2)]
-        out.append((-1, int(key[0]), kind, None, None, None, n, own[shared].astype(np.int64).tolist(), [] if last else names[often].astype(np.int64).tolist(), sums[shared].reshape(-1).tolist()))
+        out.append((-1, int(key[0]), kind, None, None, None, None, n, own[shared].astype(np.int64).tolist(), [] if last else names[often].astype(np.int64).tolist(), sums[shared].reshape(-1).tolist()))
         return _answer(out)
 
     schema = "part long, chunk long, contexts binary, words binary, counts binary, below binary"
-    pairs = chunks.select("chunk", "train", "lengths", "tokens").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return pairs.applyInPandas(deal, schema).groupBy("part").applyInPandas(merge, ANSWER)
+    return chunks.select("chunk", "train", "lengths", "tokens", "answers").mapInArrow(deal, schema).groupBy("part").applyInPandas(merge, ANSWER)
 
 
 def _ids(table: DataFrame, column: str) -> list[int]:
@@ -379,37 +424,34 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 10, chunk_tokens: int = CHU
     first = materialize(_unigram_answers(chunks, parts, least_hot), "lm-unigrams")
     sums = first.where("chunk = -1").agg(*[F.sum(F.col("n")[i]) for i in range(K + 3)]).first()
     uni = Unigrams(int(sums[0] or 0), int(sums[1] or 0), [int(x or 0) for x in sums[2:]])
-    answers, orders = first.where("chunk >= 0").select("chunk", "part", "kind", "a", "b", "c"), []
+    orders: list[Order] = []
     hot = np.array([*_ids(first, "hot_n"), parts * (1 << 40)], np.int64).view(np.uint64)
+    table = first
     for kind in range(2, order + 1):
-        table = materialize(_gram_answers(chunks, answers, parts, uni, orders, hot, least_hot, kind == order), f"lm-grams{kind}")
+        # what chunks have been told lies with them, once
+        chunks, gone = materialize(_answered(chunks, table), f"lm-told{kind}"), [chunks, table]
+        drop(*gone)
+        table = materialize(_gram_answers(chunks, parts, uni, orders, hot, least_hot, kind == order), f"lm-grams{kind}")
         orders = [*orders, _told(table, hot)]
-        answers = answers.union(table.where("chunk >= 0").select("chunk", "part", "kind", "a", "b", "c"))
         hot = np.array([*_ids(table, "hot_n"), parts * ((1 << 40) + kind)], np.int64).view(np.uint64)
 
-    def score(key: tuple, mine: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in mine.iterrows():
-            chunk = _replayed(row, answers, uni, parts, orders, False)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = _replayed(row, uni, parts, orders, False)
             seen = chunk.totals[chunk.tokens]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array(row["doc_ids"], "Int64"),
-                        "held_out": ~np.array(row["train"], bool),
-                        "n_tokens": chunk.lengths,
-                        "n_known": np.add.reduceat((seen > 0).astype(np.int64), chunk.starts),
-                        "train_tokens": uni.n,
-                        "base_score": np.add.reduceat(uni.base(seen), chunk.starts),
-                        "score": np.add.reduceat(np.log10(chunk.chance), chunk.starts),
-                    }
-                )
-            )
-        return pd.concat(out)
+            columns = {
+                "doc_id": pa.array(row["doc_ids"], pa.int64()),
+                "held_out": pa.array(~np.array(row["train"], bool)),
+                "n_tokens": pa.array(chunk.lengths),
+                "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), chunk.starts)),
+                "train_tokens": pa.array(np.full(len(chunk.lengths), uni.n)),
+                "base_score": pa.array(np.add.reduceat(uni.base(seen), chunk.starts)),
+                "score": pa.array(np.add.reduceat(np.log10(chunk.chance), chunk.starts)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    pairs = chunks.select("chunk", "doc_ids", "train", "lengths", "tokens").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return pairs.applyInPandas(score, schema)
+    return _answered(chunks, table).mapInArrow(score, schema)
 
 
 def _train_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import random
 import time
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import ordered as O
@@ -124,3 +125,20 @@ def test_pairs_of_longer_sets_and_of_copies(spark):
     part = {r["k"]: r["component"] for r in retrieval.similar_groups(rows, "o", "k", "t", 0.85).collect()}
     assert len(part) == len(sets) and {part[1000 + i] for i in range(40)} == {1000}
     assert all(part[a] == part[b] for o, a, x in sets for p, b, y in sets if o and o == p and {*x} and len({*x} & {*y}) >= 0.85 * len({*x} | {*y}))
+
+
+def test_arrays_take_few_bytes():
+    rng = np.random.default_rng(0)
+    for a in (np.array([0, 0, 1], np.uint32), np.array([], np.int64), np.array([255, 256], np.int64), np.array([2**63 + 1, 0], np.uint64), np.array([0.5, 1e-300])):
+        assert lm.unsqueeze(lm.squeeze(a), a.dtype.type).tolist() == a.tolist()
+    ids = np.sort(rng.integers(0, 2**46, 30_000).astype(np.uint64) // np.uint64(2**22))
+    assert lm.unsteps(lm.steps(ids)).tolist() == ids.tolist() and len(lm.steps(ids)) < 0.8 * len(lm.squeeze(ids))
+
+
+def test_katz_holds_what_chunks_were_told_once(spark, monkeypatch):
+    tables, keep = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda rows, label: tables.setdefault(label, keep(rows, label)))
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c a b{i % 5} d") for i in range(90)], "doc_id long, text string")
+    assert lm.katz_scores(docs, chunk_tokens=100, order=3).count() == 90
+    there = {label: os.path.exists(t.inputFiles()[0].removeprefix("file://")) for label, t in tables.items()}
+    assert there == {"lm-chunks": False, "lm-unigrams": False, "lm-told2": False, "lm-grams2": False, "lm-told3": True, "lm-grams3": True}
