@@ -163,12 +163,12 @@ def context_weights(small: np.ndarray, large: np.ndarray, seen: np.ndarray, d: l
 def _grams(before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unique (context, word) of a chunk, the token that each is first at, and for each token its place in them."""
     keys, first, inverse = np.unique(before.astype(np.uint64) << np.uint64(32) | tokens, return_index=True, return_inverse=True)
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), first, inverse
+    return (keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32).astype(np.int32), first.astype(np.int32), inverse.astype(np.int32)  # places in a chunk
 
 
 def _shifted(local: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
     """For each token what local has for the one before it; start at the first token of a text."""
-    before = np.empty(len(local), np.int64)
+    before = np.empty(len(local), np.int32)
     before[1:] = local[:-1]
     before[starts] = start
     return before
@@ -177,7 +177,7 @@ def _shifted(local: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
 def _placed(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each id its place in ascending order, and the order."""
     order = np.argsort(ids)
-    place = np.empty(len(ids), np.int64)
+    place = np.empty(len(ids), np.int32)
     place[order] = np.arange(len(ids))
     return place, order
 
@@ -277,7 +277,7 @@ class Chunk:
         """The chunk's n-grams of the next order, dealt to partitions."""
         self.context, self.word, self.first, self.inverse = _grams(self.before, self.tokens)
         part = _parts(self.contexts, self.context, self.ids[self.word], order.hot, self.parts)
-        self.dealt = np.argsort(part, kind="stable")  # by context and word in each
+        self.dealt = np.argsort(part, kind="stable").astype(np.int32)  # by context and word in each
         part = part[self.dealt].astype(np.int64)
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
         self.spans = [(int(part[i]), self.dealt[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
