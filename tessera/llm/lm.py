@@ -1,7 +1,7 @@
 """Katz backoff model of n-grams: Good-Turing discounts, exactly normalised backoff weights, partitioned tables.
 
 Texts are held as chunks of about CHUNK tokens: the sorted hashes of the chunk's words (64 bits; equal hashes
-count as equal words) and each document's words as positions in them.  One exchange an order goes between the chunks and
+count as equal words), and each document's words as ranks by their number in the chunk, which take fewest bytes.  One exchange an order goes between the chunks and
 partitioned count tables, each in compressed arrays instead of a row per n-gram:
 
 1. Unigrams by range of the word's hash: a chunk learns the id and training count of each of its words.
@@ -11,7 +11,8 @@ partitioned count tables, each in compressed arrays instead of a row per n-gram:
 
 A context of more than a HOT-th of all tokens is dealt by context and word; its sums are added up apart (there
 are at most HOT of them).  Every token is then evaluated recursively: the n-gram's discounted share, or else its context's
-backoff weight times the probability of the order below, down to the class of unknown words.
+backoff weight times the probability of the order below, down to the class of unknown words.  A task holds a chunk's
+tokens and the n-grams of one order; sums by context are held for one partition's answer at a time.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, drop, materialize, small_batches
 
-#: Tokens of a chunk, entries wanted in a partition of a count table, contexts that are dealt by word too.
-CHUNK, ENTRIES, HOT = 2_000_000, 1_000_000, 4_096
+#: Tokens of a chunk, tokens for each partition of a count table, contexts that are dealt by word too.
+CHUNK, ENTRIES, HOT = 2_000_000, 500_000, 4_096
 #: Words of an n-gram.
 ORDER = 3
 #: Counts up to K are discounted.
@@ -62,6 +63,11 @@ def unsteps(b: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(b, np.uint64), dtype=np.uint64)
 
 
+def _least(a: np.ndarray) -> np.ndarray:
+    """Whole numbers, none of which is negative, in the smallest type that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8, copy=False)
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self)
@@ -69,9 +75,9 @@ class _Ids(dict):
 
 
 def chunk_table(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
-    """docs (doc_id, text, train) as chunks: ids and flags of documents, their lengths, tokens, words, training counts."""
+    """docs (doc_id, text, train) as chunks: ids and flags of documents, their lengths, tokens (ranks), places of ranks among words, words, training counts."""
     small_batches(docs.sparkSession)
-    names = ["chunk", "doc_ids", "train", "lengths", "tokens", "words", "counts"]
+    names = ["chunk", "doc_ids", "train", "lengths", "tokens", "places", "words", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, serial = TaskContext.get().partitionId() << 24, 0
@@ -86,8 +92,11 @@ def chunk_table(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
             flat = np.concatenate([np.append(t + 2, 1) for t in tokens])
             flat = place[flat].astype(np.uint32)
             counts = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(hashes)).astype(np.uint32)
-            row = [base + serial, doc_ids, train, squeeze(lengths), squeeze(flat), squeeze(hashes[order]), squeeze(counts)]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+            places = np.argsort(-np.bincount(flat, minlength=len(hashes)), kind="stable")  # frequent words first
+            rank = np.empty(len(places), np.uint32)
+            rank[places] = np.arange(len(places))
+            row = [base + serial, doc_ids, train, squeeze(lengths), squeeze(rank[flat]), squeeze(places), squeeze(hashes[order]), squeeze(counts)]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
@@ -104,7 +113,7 @@ def chunk_table(docs: DataFrame, chunk_tokens: int = CHUNK) -> DataFrame:
         if tokens:
             yield close()
 
-    schema = "chunk long, doc_ids array<bigint>, train array<boolean>, lengths binary, tokens binary, words binary, counts binary"
+    schema = "chunk long, doc_ids array<bigint>, train array<boolean>, lengths binary, tokens binary, places binary, words binary, counts binary"
     return docs.select("doc_id", "text", "train").mapInArrow(run, schema)
 
 
@@ -161,9 +170,21 @@ def context_weights(small: np.ndarray, large: np.ndarray, seen: np.ndarray, d: l
 
 
 def _grams(before: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unique (context, word) of a chunk, the token that each is first at, and for each token its place in them."""
-    keys, first, inverse = np.unique(before.astype(np.uint64) << np.uint64(32) | tokens, return_index=True, return_inverse=True)
-    return (keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32).astype(np.int32), first.astype(np.int32), inverse.astype(np.int32)  # places in a chunk
+    """Unique (context, word) of a chunk, a token that each is at, and for each token its place in them.
+
+    As numpy.unique does it, but with no more than four arrays of the tokens' length at a time.
+    """
+    keys = before.astype(np.uint64)
+    keys <<= np.uint64(32)
+    keys |= tokens
+    order = np.argsort(keys).astype(np.int32)  # places in a chunk
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    at, keys = order[new], keys[new]
+    return (keys >> np.uint64(32)).astype(np.int32), keys.astype(np.uint32).view(np.int32), at, inverse
 
 
 def _shifted(local: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
@@ -254,19 +275,21 @@ class Order:
 
 
 class Chunk:
-    """A chunk's tokens, evaluated order by order from the answers of the count tables."""
+    """A chunk's tokens, taken order by order through the answers of the count tables; with probabilities if scored."""
 
-    def __init__(self, row: dict, answers: pd.DataFrame, uni: Unigrams, parts: int):
-        self.answers, self.parts = answers, parts
+    def __init__(self, row: dict, answers: pd.DataFrame, uni: Unigrams, parts: int, scored: bool):
+        self.answers, self.parts, self.scored = answers, parts, scored
         own = self._own(1)
         ids = np.concatenate([unsqueeze(b, np.uint64) for b in own["a"]])
         place, order = _placed(ids)
-        self.ids, self.totals = ids[order], np.concatenate([unsqueeze(b, np.int64) for b in own["b"]])[order]
-        self.tokens, self.lengths = place[unsqueeze(row["tokens"], np.uint32)].astype(np.uint32), unsqueeze(row["lengths"], np.int64)
+        self.ids, self.totals = ids[order], _least(np.concatenate([unsqueeze(b, np.int64) for b in own["b"]])[order])
+        self.tokens = place[unsqueeze(row["places"], np.uint32)].view(np.uint32)[unsqueeze(row["tokens"], np.uint32)]
+        self.lengths = unsqueeze(row["lengths"], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         # by token: the training count of the n-gram that ends there, its context's factor, its probability
         self.counts = self.totals[self.tokens]
-        self.factor, self.chance = np.full(len(self.tokens), uni.scale), uni.of(self.counts)
+        if scored:
+            self.factor, self.chance = np.full(len(self.tokens), uni.scale), uni.of(self.totals)[self.tokens]
         # the contexts of the next order: a place among contexts for each token, and the contexts' ids, ascending
         self.before, self.contexts = _shifted(self.tokens, self.starts, place[0]), self.ids
 
@@ -275,51 +298,55 @@ class Chunk:
 
     def grams(self, order: Order) -> None:
         """The chunk's n-grams of the next order, dealt to partitions."""
-        self.context, self.word, self.first, self.inverse = _grams(self.before, self.tokens)
+        self.context, self.word, self.at, self.inverse = _grams(self.before, self.tokens)
         part = _parts(self.contexts, self.context, self.ids[self.word], order.hot, self.parts)
         self.dealt = np.argsort(part, kind="stable").astype(np.int32)  # by context and word in each
-        part = part[self.dealt].astype(np.int64)
-        edges = np.flatnonzero(np.diff(part, prepend=-1, append=self.parts))
-        self.spans = [(int(part[i]), self.dealt[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        sizes = np.bincount(part, minlength=self.parts)
+        self.spans = [(i, self.dealt[end - n : end]) for i, (n, end) in enumerate(zip(sizes.tolist(), np.cumsum(sizes).tolist(), strict=True)) if n]
 
     def step(self, kind: int, order: Order, last: bool) -> None:
-        """Evaluate all tokens under that order, whose answers are there."""
+        """Take all tokens through that order, whose answers are there: counts, names unless it is the last, and probabilities if scored."""
         self.grams(order)
-        counts, sums = np.empty(len(self.context), np.int64), np.zeros((len(self.contexts), K + 2))
-        names = np.zeros(len(self.context), np.uint64)
-        own, at = self._own(kind), 0
-        for a, b, c, e in zip(own["a"], own["b"], own["c"], own["e"], strict=True):
+        counts = np.empty(len(self.context), np.int64)
+        names = None if last else np.empty(len(self.context), np.uint64)
+        if self.scored:
+            scale = np.zeros(len(self.contexts))
+            scale[self.before] = self.factor  # the tokens after a context share that of the order below
+            below, chance, factor = self.chance[self.at], np.empty(len(self.context)), np.ones(len(self.contexts))
+            shared = np.isin(self.contexts, order.hot_ids)
+        own = self._own(kind)
+        for (part, span), a, b, c, e in zip(self.spans, own["a"], own["b"], own["c"], own["e"], strict=True):
             here = unsqueeze(a, np.int64)
-            span = self.dealt[at : at + len(here)]
-            at += len(span)
             counts[span] = here
             if not last:
-                names[span] = unsteps(c)
-            context = self.context[span]
-            heads = np.flatnonzero(np.diff(context, prepend=-1))
-            sums[context[heads], : K + 1] = unsqueeze(b, np.int64).reshape(K + 1, -1).T
-            sums[context[heads[_unseen(here, heads)]], K + 1] = unsqueeze(e, np.float64)
-        shared = np.flatnonzero(np.isin(self.contexts, order.hot_ids))
-        if len(shared):
-            sums[shared] = order.hot_sums[np.searchsorted(order.hot_ids, self.contexts[shared])]
-        scale = np.zeros(len(self.contexts))
-        scale[self.before] = self.factor  # the tokens after a context share that of the order below
-        factor, weight = context_weights(sums[:, :K], sums[:, K], sums[:, K + 1] * scale, order.d)
-        below = self.chance[self.first]
-        chance = np.where(counts > 0, _discounted(counts, order.d) * factor[self.context], weight[self.context] * below)
-        self.chance = np.maximum(chance, 1e-300)[self.inverse]
-        self.counts, self.factor = counts[self.inverse], factor[self.before]
+                names[span] = unsteps(c) * np.uint64(self.parts) + np.uint64(part)
+            if self.scored:  # a context that is not shared lies whole in its partition
+                context = self.context[span]
+                new = np.diff(context, prepend=-1) != 0
+                heads, of = np.flatnonzero(new), np.cumsum(new) - 1
+                which, sums = context[heads], np.zeros((len(heads), K + 2))
+                sums[:, : K + 1] = unsqueeze(b, np.int64).reshape(K + 1, -1).T
+                sums[_unseen(here, heads), K + 1] = unsqueeze(e, np.float64)
+                hot = np.flatnonzero(shared[which])
+                if len(hot):
+                    sums[hot] = order.hot_sums[np.searchsorted(order.hot_ids, self.contexts[which[hot]])]
+                factor[which], weight = context_weights(sums[:, :K], sums[:, K], sums[:, K + 1] * scale[which], order.d)
+                chance[span] = np.where(here > 0, _discounted(here, order.d) * factor[context], weight[of] * below[span])
+        if self.scored:
+            self.chance, self.factor = np.maximum(chance, 1e-300)[self.inverse], factor[self.before]
+        self.counts = _least(counts)[self.inverse]
+        inverse, self.context, self.word, self.at, self.inverse, self.dealt, self.spans = self.inverse, *[None] * 6  # the next order's take their place
         if not last:  # the n-gram that ends at a token is the context of the token after it; at a text's start, one of its own
-            place, o = _placed(np.append(names, np.uint64(self.parts * ((1 << 40) + kind))))
-            self.before = _shifted(place[self.inverse], self.starts, place[-1])
-            self.contexts = np.append(names, np.uint64(self.parts * ((1 << 40) + kind)))[o]
+            names = np.append(names, np.uint64(self.parts * ((1 << 40) + kind)))
+            place, o = _placed(names)
+            self.before, self.contexts = _shifted(place[inverse], self.starts, place[-1]), names[o]
 
 
 def _answered(chunks: DataFrame, table: DataFrame) -> DataFrame:
     """chunks with the answers of a further order beside those they have."""
     told = table.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "kind", "a", "b", "c", "e")).alias("_told"))
     answers = F.concat("answers", "_told") if "answers" in chunks.columns else F.col("_told")
-    return chunks.join(told, "chunk").select("chunk", "doc_ids", "train", "lengths", "tokens", answers.alias("answers"))
+    return chunks.join(told, "chunk").select("chunk", "doc_ids", "train", "lengths", "tokens", "places", answers.alias("answers"))
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -328,26 +355,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield b.slice(i, 1).to_pylist()[0]
 
 
-def _replayed(row: dict, uni: Unigrams, parts: int, orders: list[Order], more: bool) -> Chunk:
-    """The chunk evaluated under all orders so far; more if a further one is to come."""
-    chunk = Chunk(row, pd.DataFrame(row["answers"]), uni, parts)
+def _replayed(row: dict, uni: Unigrams, parts: int, orders: list[Order], scored: bool) -> Chunk:
+    """The chunk taken through all orders so far: scored, or else named for a further one."""
+    chunk = Chunk(row, pd.DataFrame(row.pop("answers")), uni, parts, scored)
     for i, order in enumerate(orders):
-        chunk.step(i + 2, order, last=not more and i == len(orders) - 1)
+        chunk.step(i + 2, order, last=scored and i == len(orders) - 1)
     return chunk
 
 
 def _gram_answers(chunks: DataFrame, parts: int, uni: Unigrams, orders: list[Order], hot: np.ndarray, least_hot: float, last: bool) -> DataFrame:
-    """By chunk and partition: training counts of its n-grams of the next order (a), sums by context (b), ids (c); and sums, as chunk -1."""
+    """By chunk and partition: training counts of its n-grams of the next order (a), sums by context (b), ids in the partition (c); and sums, as chunk -1."""
     kind = len(orders) + 2
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            out, chunk = [], _replayed(row, uni, parts, orders, True)
+            out, chunk = [], _replayed(row, uni, parts, orders, False)
             chunk.grams(Order(hot))
             train = np.repeat(np.array(row["train"], bool), chunk.lengths)
             counts = np.bincount(chunk.inverse[train], minlength=len(chunk.context)).astype(np.uint32)
             # of what was seen, the share under the order below is the discounted count times a factor that the chunks have
-            below = chunk.counts[chunk.first]
+            below = chunk.counts[chunk.at]
             for part, o in chunk.spans:
                 out.append((part, row["chunk"], steps(chunk.contexts[chunk.context[o]]), squeeze(chunk.ids[chunk.word[o]]), squeeze(counts[o]), squeeze(below[o])))
             kinds = [pa.int64()] * 2 + [pa.binary()] * 4
@@ -381,14 +408,14 @@ def _gram_answers(chunks: DataFrame, parts: int, uni: Unigrams, orders: list[Ord
             at += size
             here, own_sums = total[mine], sums[of[mine][heads]]
             asked = own_sums[_unseen(here, heads), K + 1]
-            out.append((chunk, int(key[0]), kind, squeeze(here), squeeze(own_sums[:, : K + 1].T.reshape(-1).astype(np.int64)), None if last else steps(names[mine]), squeeze(asked), None, None, None, None))
+            out.append((chunk, int(key[0]), kind, squeeze(here), squeeze(own_sums[:, : K + 1].T.reshape(-1).astype(np.int64)), None if last else steps(mine.astype(np.uint64)), squeeze(asked), None, None, None, None))
         shared, often = np.isin(own, hot), total > least_hot
         n = [int(np.count_nonzero(total == r)) for r in range(1, K + 2)]
         out.append((-1, int(key[0]), kind, None, None, None, None, n, own[shared].astype(np.int64).tolist(), [] if last else names[often].astype(np.int64).tolist(), sums[shared].reshape(-1).tolist()))
         return _answer(out)
 
     schema = "part long, chunk long, contexts binary, words binary, counts binary, below binary"
-    return chunks.select("chunk", "train", "lengths", "tokens", "answers").mapInArrow(deal, schema).groupBy("part").applyInPandas(merge, ANSWER)
+    return chunks.select("chunk", "train", "lengths", "tokens", "places", "answers").mapInArrow(deal, schema).groupBy("part").applyInPandas(merge, ANSWER)
 
 
 def _ids(table: DataFrame, column: str) -> list[int]:
@@ -417,10 +444,9 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 10, chunk_tokens: int = CHU
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_mod("doc_id", held_out_mod) != 0, F.lit(True)).alias("train"))
     chunks = materialize(chunk_table(rows, chunk_tokens), "lm-chunks")
-    size = chunks.agg(F.sum(F.octet_length("tokens")), F.count("*")).first()
-    parts = max(1, -(-(size[0] or 0) // entries))  # a token takes one to two bytes there
-    n_train = chunks.select(F.col("train"), "lengths").mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0] or 0
-    least_hot = n_train / HOT
+    size = chunks.select("train", "lengths").mapInArrow(_sizes, "train long, tokens long").agg(F.sum("train"), F.sum("tokens")).first()
+    parts = max(1, -(-(size[1] or 0) // entries))
+    least_hot = (size[0] or 0) / HOT
     first = materialize(_unigram_answers(chunks, parts, least_hot), "lm-unigrams")
     sums = first.where("chunk = -1").agg(*[F.sum(F.col("n")[i]) for i in range(K + 3)]).first()
     uni = Unigrams(int(sums[0] or 0), int(sums[1] or 0), [int(x or 0) for x in sums[2:]])
@@ -435,26 +461,30 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 10, chunk_tokens: int = CHU
         orders = [*orders, _told(table, hot)]
         hot = np.array([*_ids(table, "hot_n"), parts * ((1 << 40) + kind)], np.int64).view(np.uint64)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            chunk = _replayed(row, uni, parts, orders, False)
-            seen = chunk.totals[chunk.tokens]
-            columns = {
-                "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                "held_out": pa.array(~np.array(row["train"], bool)),
-                "n_tokens": pa.array(chunk.lengths),
-                "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), chunk.starts)),
-                "train_tokens": pa.array(np.full(len(chunk.lengths), uni.n)),
-                "base_score": pa.array(np.add.reduceat(uni.base(seen), chunk.starts)),
-                "score": pa.array(np.add.reduceat(np.log10(chunk.chance), chunk.starts)),
-            }
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        row = rows.to_pylist()[0]
+        row["answers"] = [*row.get("answers", []), *answers.to_pylist()]
+        chunk = _replayed(row, uni, parts, orders, True)
+        seen = chunk.totals[chunk.tokens]
+        columns = {
+            "doc_id": pa.array(row["doc_ids"], pa.int64()),
+            "held_out": pa.array(~np.array(row["train"], bool)),
+            "n_tokens": pa.array(chunk.lengths),
+            "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), chunk.starts)),
+            "train_tokens": pa.array(np.full(len(chunk.lengths), uni.n)),
+            "base_score": pa.array(np.add.reduceat(uni.base(chunk.totals)[chunk.tokens], chunk.starts)),
+            "score": pa.array(np.add.reduceat(np.log10(chunk.chance), chunk.starts)),
+        }
+        return pa.table(columns)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _answered(chunks, table).mapInArrow(score, schema)
+    told = table.where("chunk >= 0").select("chunk", "part", "kind", "a", "b", "c", "e")
+    # the last order's answers stay rows of their own: joined, a task's chunks would be held whole, several times over
+    return chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
 
 
-def _train_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens and all tokens of chunks."""
     for b in batches:
-        n = [int(unsqueeze(x, np.int64)[np.array(t, bool)].sum()) for t, x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
+        lengths = [(np.array(t, bool), unsqueeze(x, np.int64)) for t, x in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([int(x[t].sum()) for t, x in lengths], pa.int64()), pa.array([int(x.sum()) for _, x in lengths], pa.int64())], names=["train", "tokens"])

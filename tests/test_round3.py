@@ -4,9 +4,11 @@ import glob
 import os
 import random
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.functions import ordered as O
@@ -142,3 +144,25 @@ def test_katz_holds_what_chunks_were_told_once(spark, monkeypatch):
     assert lm.katz_scores(docs, chunk_tokens=100, order=3).count() == 90
     there = {label: os.path.exists(t.inputFiles()[0].removeprefix("file://")) for label, t in tables.items()}
     assert there == {"lm-chunks": False, "lm-unigrams": False, "lm-told2": False, "lm-grams2": False, "lm-told3": True, "lm-grams3": True}
+
+
+def test_katz_grams_take_little_memory():
+    rng = np.random.default_rng(0)
+    tokens = (rng.zipf(1.3, 300_000) % 50_000).astype(np.uint32)
+    before = np.roll(tokens, 1).astype(np.int32)
+    tracemalloc.start()
+    context, word, at, inverse = lm._grams(before, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 * len(tokens)
+    assert (context[inverse] == before).all() and (word[inverse] == tokens).all() and (inverse[at] == np.arange(len(at))).all()
+    assert (np.diff(context.astype(np.int64) << 32 | word) > 0).all()
+
+
+def test_katz_tokens_go_by_rank(spark):
+    docs = spark.createDataFrame([(1, "b a a", True), (2, "a c", False)], "doc_id long, text string, train boolean").coalesce(1)
+    row = lm.chunk_table(docs).first()
+    ranks, places = lm.unsqueeze(row["tokens"], np.uint32), lm.unsqueeze(row["places"], np.uint32)
+    hashes = lm.unsqueeze(row["words"], np.uint64)
+    name = {xxhash.xxh64_intdigest(w): w for w in ("a", "b", "c")} | {lm.START: "start", lm.END: "end"}
+    assert [name[int(h)] for h in hashes[places[ranks]]] == ["b", "a", "a", "end", "a", "c", "end"] and ranks.max() == 3 and ranks[1] == 0
