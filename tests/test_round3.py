@@ -19,6 +19,7 @@ from tessera.operators import index as X
 from tessera.operators import joins, retrieval
 from tessera.operators import layout as L
 from tessera.operators.folds import ordered_fold
+from tessera.sources import files
 from tessera.plans import registry
 
 registry.load()
@@ -166,3 +167,18 @@ def test_katz_tokens_go_by_rank(spark):
     hashes = lm.unsqueeze(row["words"], np.uint64)
     name = {xxhash.xxh64_intdigest(w): w for w in ("a", "b", "c")} | {lm.START: "start", lm.END: "end"}
     assert [name[int(h)] for h in hashes[places[ranks]]] == ["b", "a", "a", "end", "a", "c", "end"] and ranks.max() == 3 and ranks[1] == 0
+
+
+def test_pages_are_moved_by_tasks(spark, tmp_path, monkeypatch):
+    keys, folder = ["book", "page"], tmp_path / "p"
+    rows = spark.createDataFrame([(f"b{i % 3}", i, f"t{i}") for i in range(40)] + [("a/b: c%[x]'=?", 1, "odd"), ("", 2, "empty"), (None, 3, None)], "book string, page int, text string")
+    rows.select(*keys, F.coalesce("text", F.lit("")).alias("value")).repartition(4, *keys).write.partitionBy(*keys).text(str(folder))  # what Spark's writer left
+    there = lambda: sorted(str(f.parent.relative_to(folder)) for f in folder.rglob("*") if f.is_file() and f.name not in ("_SUCCESS", "._SUCCESS.crc") and f.suffix != ".crc")
+    before = there()
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.text", None)  # a file is no folder's output any more
+    files.write_pages(rows, str(folder), keys, keys, "text")
+    assert there() == before and len(before) == 43 and {f.name for f in folder.rglob("part-*")} == {"part-0.txt"}
+    files.write_pages(rows.where("page = 7").withColumn("text", F.lit("new")), f"file://{folder}", keys, keys, "text")
+    got = {(r["meta"]["book"], r["meta"]["page"]): r["body"] for r in files.read_markdown(spark, str(folder), least=0, names="*.txt").collect()}
+    assert got == {(r["book"] or "", str(r["page"])): "new" if r["page"] == 7 else r["text"] or "" for r in rows.collect()}
+    assert not [f for f in folder.iterdir() if f.name.startswith(".pages")]
