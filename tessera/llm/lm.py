@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, drop, materialize, small_batches
+from .common import crc_mod, drop, materialize, settings, small_batches
 
 #: Tokens of a chunk, tokens for each partition of a count table, contexts that are dealt by word too.
 CHUNK, ENTRIES, HOT = 2_000_000, 500_000, 4_096
@@ -443,11 +443,13 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 10, chunk_tokens: int = CHU
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(crc_mod("doc_id", held_out_mod) != 0, F.lit(True)).alias("train"))
-    chunks = materialize(chunk_table(rows, chunk_tokens), "lm-chunks")
+    with settings(spark, codec="uncompressed"):  # arrays are compressed; a codec would hold all rows of a task once more
+        chunks = materialize(chunk_table(rows, chunk_tokens), "lm-chunks")
     size = chunks.select("train", "lengths").mapInArrow(_sizes, "train long, tokens long").agg(F.sum("train"), F.sum("tokens")).first()
     parts = max(1, -(-(size[1] or 0) // entries))
     least_hot = (size[0] or 0) / HOT
-    first = materialize(_unigram_answers(chunks, parts, least_hot), "lm-unigrams")
+    with settings(spark, codec="uncompressed", rows="1"):  # a row holds a chunk
+        first = materialize(_unigram_answers(chunks, parts, least_hot), "lm-unigrams")
     sums = first.where("chunk = -1").agg(*[F.sum(F.col("n")[i]) for i in range(K + 3)]).first()
     uni = Unigrams(int(sums[0] or 0), int(sums[1] or 0), [int(x or 0) for x in sums[2:]])
     orders: list[Order] = []
@@ -455,9 +457,10 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 10, chunk_tokens: int = CHU
     table = first
     for kind in range(2, order + 1):
         # what chunks have been told lies with them, once
-        chunks, gone = materialize(_answered(chunks, table), f"lm-told{kind}"), [chunks, table]
-        drop(*gone)
-        table = materialize(_gram_answers(chunks, parts, uni, orders, hot, least_hot, kind == order), f"lm-grams{kind}")
+        with settings(spark, codec="uncompressed", rows="1"):
+            chunks, gone = materialize(_answered(chunks, table), f"lm-told{kind}"), [chunks, table]
+            drop(*gone)
+            table = materialize(_gram_answers(chunks, parts, uni, orders, hot, least_hot, kind == order), f"lm-grams{kind}")
         orders = [*orders, _told(table, hot)]
         hot = np.array([*_ids(table, "hot_n"), parts * ((1 << 40) + kind)], np.int64).view(np.uint64)
 

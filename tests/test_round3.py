@@ -182,3 +182,18 @@ def test_pages_are_moved_by_tasks(spark, tmp_path, monkeypatch):
     got = {(r["meta"]["book"], r["meta"]["page"]): r["body"] for r in files.read_markdown(spark, str(folder), least=0, names="*.txt").collect()}
     assert got == {(r["book"] or "", str(r["page"])): "new" if r["page"] == 7 else r["text"] or "" for r in rows.collect()}
     assert not [f for f in folder.iterdir() if f.name.startswith(".pages")]
+
+
+def test_katz_chunks_go_one_at_a_time(spark, monkeypatch):
+    names, seen, keep = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.compression.codec"), {}, lm.materialize
+
+    def noted(rows, label):
+        seen[label] = tuple(spark.conf.get(n) for n in names)
+        return keep(rows, label)
+
+    monkeypatch.setattr(lm, "materialize", noted)
+    codec = spark.conf.get(names[1])
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c a") for i in range(30)], "doc_id long, text string")
+    assert lm.katz_scores(docs, chunk_tokens=100, order=2).count() == 30
+    assert seen.pop("lm-chunks")[1] == "uncompressed" and set(seen.values()) == {("1", "uncompressed")}
+    assert (spark.conf.get(names[0]), spark.conf.get(names[1])) == ("512", codec)
