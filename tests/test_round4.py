@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.operators import index as X
 from tessera.operators import joins, retrieval, scoring
 from tessera.plans import registry
 
@@ -77,3 +78,43 @@ def test_the_first_of_a_task_are_few():
     close = scoring.Best(1, 1)
     close.add(ids.slice(0, 3), np.array([[0.5], [0.5 + 5e-10], [0.5 + 1e-10]]))  # which of the first two is larger hangs on the last place
     assert close.rows()[0].column("d").to_pylist() == [0, 1]
+
+
+def test_index_deals_no_postings_and_reads_all_or_blocks(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: [f"w{int(rng.paretovariate(0.7))}" for _ in range(n)]
+    rows = [(i, text(rng.randint(1, 60))) for i in range(2000)] + [(5, ["w1", "again"]), (None, ["w2"]), (None, ["w2", "w3"]), (3000, []), (3001, None)]
+    docs = spark.createDataFrame(rows, "d long, t array<string>")
+    monkeypatch.setattr(scoring, "SEGMENT", 5000)
+    monkeypatch.setattr(X, "BLOCK", 16)
+    before = shuffled(spark)
+    X.add_source(docs.where("d <= 5"), "d", "t", str(tmp_path), "a")
+    X.add_source(docs.where("d > 5 OR d IS NULL"), "d", "t", str(tmp_path), "b")
+    index = X.Index(spark, str(tmp_path), ["a", "b"])
+    assert shuffled(spark) - before < 8 * sum(len(t or []) for _, t in rows) / 2  # of 40,000 tokens and more
+    blocks = index.blocks.collect()
+    assert len({(b["source"], b["token"], b["level"], b["chunk"]) for b in blocks}) == len(blocks) and max(b["size"] for b in blocks) == 16
+    assert all(b["size"] == len(b["entries"]) and b["best"] == max(e["impact"] for e in b["entries"]) for b in blocks)
+    bags = {}
+    for key, tokens in rows:
+        bags.setdefault(key, Counter()).update(tokens or [])
+    impacts = {(b["token"], e["key"]): e["impact"] for b in blocks for e in b["entries"]}
+    assert impacts == {(t, d): n / math.sqrt(len(bag) + 1) for d, bag in bags.items() for t, n in bag.items()}
+    queries = [(i, text(3)) for i in range(40)] + [(50, ["again", "nowhere"])]
+    weights = index.weights(spark.createDataFrame(queries, "q long, t array<string>"), "q", "t", {"w2": 2.0})
+    found = lambda *needed: sorted((r["query"], r["rank"], r["key"], round(r["score"], 6)) for r in index.top_k(weights, 3, *needed).collect())
+    want = sorted(best(queries, rows, 3, {"w2": 2.0}))
+    assert not index._meets_all(weights) and found() == want
+    monkeypatch.setattr(X, "MET", 1)
+    assert index._meets_all(weights) and found() == want == found(index.needed(weights, 3))
+
+
+def test_equal_keys_of_two_sources(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "MET", 0)
+    docs = spark.createDataFrame([(i, ["a", f"w{i % 2}"]) for i in range(8)], "d long, t array<string>")
+    for source in ("s", "r"):
+        X.add_source(docs, "d", "t", str(tmp_path), source)
+    index = X.Index(spark, str(tmp_path), ["s", "r"])
+    weights = index.weights(spark.createDataFrame([(1, ["a"])], "q long, t array<string>"), "q", "t")
+    assert index._meets_all(weights)
+    assert [(r["source"], r["key"]) for r in index.top_k(weights, 3).orderBy("rank").collect()] == [("r", 0), ("s", 0), ("r", 1)]
