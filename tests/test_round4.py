@@ -118,3 +118,8 @@ def test_equal_keys_of_two_sources(spark, tmp_path, monkeypatch):
     weights = index.weights(spark.createDataFrame([(1, ["a"])], "q long, t array<string>"), "q", "t")
     assert index._meets_all(weights)
     assert [(r["source"], r["key"]) for r in index.top_k(weights, 3).orderBy("rank").collect()] == [("r", 0), ("s", 0), ("r", 1)]
+
+
+def test_examples_go_to_documents(spark):
+    plan = registry.QUERIES["example_blocks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan and "MapInArrow" not in plan  # what was found is a table, and documents aren't dealt
