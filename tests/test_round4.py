@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.operators import index as X
-from tessera.operators import joins, retrieval, scoring
+from tessera.operators import alike, joins, retrieval, scoring
 from tessera.plans import registry
 
 registry.load()
@@ -123,3 +123,37 @@ def test_equal_keys_of_two_sources(spark, tmp_path, monkeypatch):
 def test_examples_go_to_documents(spark):
     plan = registry.QUERIES["example_blocks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan and "MapInArrow" not in plan  # what was found is a table, and documents aren't dealt
+
+
+def test_pairs_of_blocks(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [rng.sample(range(300), rng.choice([1, 3, 40, 120])) for _ in range(20)]
+    near = lambda x: [t for t in x if rng.random() > 0.05] + rng.sample(range(300, 600), rng.randint(0, max(1, len(x) // 15)))
+    sets = [(rng.choice("oooopq"), i, [f"w{t}" for t in near(rng.choice(base))]) for i in range(260)] + [(f"s{i // 2}", 1000 + i, ["a", "b", f"c{i % 4}"]) for i in range(60)]
+    rows = spark.createDataFrame(sets, "o string, k int, t array<string>")
+    like = lambda x, y, shares: len(x & y) >= (shares[1] if min(len(x), len(y)) >= 100 else shares[0]) * len(x | y) or (shares[2] and len(x & y) >= shares[2] * min(len(x), len(y)))
+    by_loops = lambda *shares: sorted((o, a, b) for o, a, x in sets for p, b, y in sets if o == p and a < b and x and y and like({*x}, {*y}, shares))
+    found = lambda *a: sorted(map(tuple, retrieval.similar_pairs(rows, "o", "k", "t", *a).collect()))
+    monkeypatch.setattr(retrieval, "SETS", 30)  # o has several blocks
+    monkeypatch.setattr(retrieval, "TOGETHER", 40)
+    assert found(0.88, 100, 0.93, 0.85) == by_loops(0.88, 0.93, 0.85) and found(0.5) == by_loops(0.5, 0.5, None)
+
+
+def test_alike_sets_of_a_task_a_few_at_a_time(monkeypatch):
+    rng = random.Random(12)
+    sets = [rng.sample(range(60), rng.randint(1, 40)) for _ in range(150)]
+    sets += [[t for t in x if rng.random() > 0.05] + [100 + i] for i, x in enumerate(sets)]
+    ids, sides = np.arange(len(sets)) * 7, np.arange(len(sets)) % 2
+    got = lambda apart: sorted(zip(*(x.tolist() for x in alike.alike(ids, sides, pa.array(sets, pa.list_(pa.int64())), apart, 0.7, None, None, 0.9)), strict=True))
+    like = lambda x, y: len(x & y) >= 0.7 * len(x | y) or len(x & y) >= 0.9 * min(len(x), len(y))
+    want = sorted((7 * i, 7 * j) for i, x in enumerate(sets) for j, y in enumerate(sets) if (len(x), i) < (len(y), j) and like({*x}, {*y}))
+    assert got(False) == want and len(want) > 150
+    monkeypatch.setattr(alike, "MEETINGS", 50)
+    assert got(False) == want and got(True) == [(p, q) for p, q in want if p % 2 != q % 2]
+
+
+def test_alike_segments_deals_sets_only(spark):
+    before = shuffled(spark)
+    assert registry.QUERIES["alike_segments"](spark, SF).count() >= 0
+    tokens = spark.read.parquet(f"{SF}/documents.parquet").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+")))).count()
+    assert shuffled(spark) - before < 3 * 8 * tokens  # eight bytes a token, dealt for equal sets and for pairs
